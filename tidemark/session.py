@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,15 +17,28 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names, so that a lost executor costs no re-run.
+def _stage_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` where the cluster names one, else a temporary folder for tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        return _local_folder()
+    raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is used only where that
-    setting is absent, which is the local test setup.
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and continue from the files.
+
+    The plan runs once, its branches read columns they need, and a lost executor costs nothing but
+    its own tasks.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=eager)
+    path = f"{_stage_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
