@@ -39,6 +39,8 @@ def _cell(v):
     if v is None:
         return None
     if isinstance(v, float):
+        if v == 0 and math.copysign(1, v) < 0:
+            return "-0.0"
         return None if math.isnan(v) else v
     if hasattr(v, "isoformat"):
         return v.isoformat()

@@ -138,8 +138,26 @@ FROM region"""
 DEPENDS = {"facts": ["bars"]}
 
 
+def unsigned_zero(sql: str) -> str:
+    """Write ``round(x, 6)`` as ``(round(x, 6) + 0.0)``, so that -0.0 compares equal to 0.0."""
+    out, at = [], 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, end = 0, start + 5
+        while True:
+            depth += (sql[end] == "(") - (sql[end] == ")")
+            end += 1
+            if depth == 0:
+                break
+        call = sql[start:end]
+        out.append(sql[at:start])
+        out.append(f"({call} + 0.0)" if call.endswith(", 6)") else call)
+        at = end
+    return "".join(out) + sql[at:]
+
+
 def prepend(names: list[str], sql: str) -> str:
     """Put the named views (and what they rest on) in front of a statement as CTEs."""
+    sql = unsigned_zero(sql)
     ordered: list[str] = []
     for name in names:
         for item in [*DEPENDS.get(name, []), name]:
