@@ -4,3 +4,4 @@ from tidemark.plans.registry import QUERIES  # noqa: F401
 from tidemark.plans import market  # noqa: F401,E402
 from tidemark.plans import backtests  # noqa: F401,E402
 from tidemark.plans import gating  # noqa: F401,E402
+from tidemark.plans import texts  # noqa: F401,E402

@@ -428,8 +428,7 @@ def _state_counts(t):
         AS blocked, count(*) FILTER (WHERE state = 'WATCH') AS watch,
       count(*) FILTER (WHERE state LIKE '%CANDIDATE%') AS candidates,
       strftime(max(data_as_of), '%Y-%m-%d %H:%M:%S') AS market_data_as_of,
-      array_to_string(list_sort(list_distinct(list(source_link))), ',') AS source_links,
-      array_to_string(list_sort(list_distinct(list(snapshot_id))), ',') AS snapshots,
+      count(DISTINCT source_link) AS sources,
       round(avg(market_score), 6) AS market_mean
     FROM sg WHERE is_current GROUP BY date_trunc('hour', recorded_at)""",
     "news",
@@ -438,12 +437,23 @@ def _monitoring_report(t):
     out = reports.monitoring(signal_history(t).filter("is_current"))
     return out.select(
         market.stamp("window_start"), "signals", "blocked", "watch", "candidates",
-        market.stamp("market_data_as_of"), F.array_join("source_links", ",").alias("source_links"),
-        F.array_join("snapshots", ",").alias("snapshots"),
+        market.stamp("market_data_as_of"), "sources",
         r6(F.col("market_mean")).alias("market_mean"),
     )
 
 
+@query(
+    "report_sources", "D-14",
+    "WITH " + SIGNALS_SQL + """
+    SELECT DISTINCT strftime(date_trunc('hour', recorded_at), '%Y-%m-%d %H:%M:%S') AS window_start,
+      source_link, snapshot_id FROM sg WHERE is_current""",
+    "news",
+)
+def _report_sources(t):
+    out = reports.report_sources(signal_history(t).filter("is_current"))
+    return out.select(market.stamp("window_start"), "source_link", "snapshot_id")
+
+
 @query(
     "monitoring_contract", "B-23",
     "WITH " + SIGNALS_SQL + """,
