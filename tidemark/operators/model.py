@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.clocks import CLOCKS, causal_rows, known_at, minutes, require_clocks
-from tidemark.operators.ordered import frames, latest_version, month, ordinals
+from tidemark.functions.scalars import logistic
+from tidemark.operators.ordered import frame_median, frames, latest_version, month, ordinals
 
 YEAR = math.sqrt(252)
 
@@ -25,3 +32,239 @@ def universe_benchmark(bars: DataFrame, delay_minutes: float = 30) -> tuple[Data
         F.count("*").alias("benchmark_constituent_count"),
     )
     return known, benchmark
+
+
+def supervised_dataset(
+    bars: DataFrame, benchmark: DataFrame, horizon: int, cost_bps: float = 8.0,
+    delay_minutes: float = 30,
+) -> DataFrame:
+    """Eight features and the label "beats the benchmark after costs over the horizon".
+
+    ``bars`` holds one vintage per (instrument, time). Rows known too late, with incomplete features
+    or without a full horizon are left out.
+    """
+    c = F.col
+    clocks = [f"benchmark_{x}" for x in CLOCKS if x != "event_time"]
+    joined = bars.join(benchmark, "event_time").filter(
+        known_at([*CLOCKS, *clocks]) <= c("event_time") + minutes(delay_minutes)
+    )
+    slim = joined.select(
+        "instrument_id", "event_time", c("total_return_close").alias("p"), "volume",
+        c("benchmark_total_return_close").alias("b"), c("bid_ask_spread_bps").alias("spread_bps"),
+    )
+    placed = ordinals(slim, ["instrument_id"], ["event_time"], month("event_time"))
+
+    def returns(w):
+        return {"ret": F.try_divide("p", F.lag("p").over(w)) - 1}
+
+    def features(w):
+        full = lambda n, x: F.when(c("ordinal") >= n, x)
+        last = lambda n: w.rowsBetween(-(n - 1), 0)
+        change = lambda n: F.try_divide("p", F.lag("p", n).over(w)) - 1
+        ahead = (
+            F.try_divide(F.lead("p", horizon).over(w), c("p"))
+            - F.try_divide(F.lead("b", horizon).over(w), c("b")) - cost_bps / 10000
+        )
+        return {
+            "momentum_21": change(21), "momentum_63": change(63), "momentum_126": change(126),
+            "volatility_21": full(22, F.stddev_samp("ret").over(last(21)) * YEAR),
+            "downside_21": full(
+                22, F.stddev_samp(F.least("ret", F.lit(0.0))).over(last(21)) * YEAR
+            ),
+            "trend_50": full(50, F.try_divide("p", F.avg("p").over(last(50))) - 1),
+            "volume_ratio": full(21, F.try_divide(c("volume"), frame_median(c("volume"), last(21)))),
+            "excess": ahead,
+        }
+
+    out = frames(placed, ["instrument_id"], [returns, features], back=126, ahead=horizon)
+    complete = out.filter(
+        known_features() & c("excess").isNotNull()
+    ).withColumn("label", (c("excess") > 0).cast("int"))
+    return complete.select("instrument_id", "event_time", *FEATURES, "label")
+
+
+FEATURES = (
+    "momentum_21", "momentum_63", "momentum_126", "volatility_21", "downside_21", "trend_50",
+    "volume_ratio", "spread_bps",
+)
+
+
+def known_features():
+    out = F.lit(True)
+    for name in FEATURES:
+        out = out & F.col(name).isNotNull() & ~F.isnan(name)
+    return out
+
+
+def fold_bounds(
+    samples: DataFrame, folds: int, min_train: int, purge: int, embargo: int, strict: bool = False
+) -> DataFrame:
+    """Fold table per group: train [0, train_end), test [test_start, test_end), 0-based.
+
+    ``samples`` has the group columns and ``n``. Groups too short for the folds are left out, or
+    fail the job in strict mode.
+    """
+    gap = purge + embargo
+    n = F.col("n")
+    enough = n > min_train + gap + folds
+    if strict:
+        samples = samples.filter(
+            F.when(~enough, F.raise_error(F.lit("too few samples")).cast("boolean")).otherwise(True)
+        )
+    size = F.greatest(F.lit(1), F.floor((n - min_train - gap) / folds))
+    return (
+        samples.filter(enough)
+        .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+        .withColumn("train_end", (min_train + F.col("fold") * size).cast("bigint"))
+        .withColumn("test_start", F.col("train_end") + gap)
+        .withColumn("test_end", F.least(n, F.col("test_start") + size))
+        .filter(F.col("test_end") > F.col("test_start"))
+        .drop("n")
+    )
+
+
+def walk_forward(
+    data: DataFrame, keys: list[str], horizon: int, folds: int = 3, embargo: int = 5
+) -> DataFrame:
+    """Assign rows to (fold, role) with role fit, calibrate or test.
+
+    Training rows end before a purge gap; inside training the last fifth (at least 20) calibrates
+    and is separated from the fit rows by the same gap.
+    """
+    c = F.col
+    placed = ordinals(data, keys, ["event_time"], month("event_time"), "_n").withColumn(
+        "_i", c("_n") - 1
+    ).drop("_n")
+    sizes = data.groupBy(*keys).agg(F.count("*").alias("n"))
+    bounds = fold_bounds(sizes, folds, max(80, horizon * 4), horizon, embargo)
+    joined = placed.join(bounds, keys)
+    calibrate_from = c("train_end") - F.greatest(F.lit(20), F.floor(c("train_end") / 5))
+    role = (
+        F.when((c("_i") >= c("test_start")) & (c("_i") < c("test_end")), "test")
+        .when((c("_i") >= calibrate_from) & (c("_i") < c("train_end")), "calibrate")
+        .when(c("_i") + horizon + embargo < calibrate_from, "fit")
+    )
+    return joined.withColumn("role", role).filter(c("role").isNotNull()).drop(
+        "_i", "train_end", "test_start", "test_end"
+    )
+
+
+def _newton(x: np.ndarray, y: np.ndarray, strength: float, steps: int = 100):
+    """L2-regularised logistic regression (free intercept): weights, intercept."""
+    design = np.column_stack([x, np.ones(len(x))])
+    penalty = np.append(np.full(x.shape[1], 1.0 / strength), 0.0)
+    beta = np.zeros(design.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
+        gradient = design.T @ (p - y) + penalty * beta
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty + 1e-12)
+        move = np.linalg.solve(hessian, gradient)
+        beta -= move
+        if np.abs(move).max() < 1e-10:
+            break
+    return beta[:-1], beta[-1]
+
+
+def _fit_fold(frame: pd.DataFrame) -> pd.DataFrame:
+    """Fit, calibrate and predict one (instrument, fold); single-class folds yield nothing."""
+    part = {r: frame[frame["role"] == r].sort_values("event_time") for r in ("fit", "calibrate", "test")}
+    empty = pd.DataFrame(columns=["instrument_id", "fold", "event_time", "label", "p", "p_base"])
+    if any(part[r].empty for r in part) or any(
+        part[r]["label"].nunique() < 2 for r in ("fit", "calibrate")
+    ):
+        return empty
+    x = part["fit"][list(FEATURES)].to_numpy(float)
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    sd[sd == 0] = 1.0
+    weights, intercept = _newton((x - mean) / sd, part["fit"]["label"].to_numpy(float), 0.5)
+
+    def raw(rows: pd.DataFrame) -> np.ndarray:
+        return ((rows[list(FEATURES)].to_numpy(float) - mean) / sd) @ weights + intercept
+
+    slope, shift = _newton(
+        raw(part["calibrate"])[:, None], part["calibrate"]["label"].to_numpy(float), 1.0
+    )
+    test = part["test"]
+    p = 1 / (1 + np.exp(-(raw(test) * slope[0] + shift)))
+    return pd.DataFrame(
+        {
+            "instrument_id": test["instrument_id"], "fold": test["fold"],
+            "event_time": test["event_time"], "label": test["label"], "p": p,
+            "p_base": np.where(test["momentum_63"] > 0, 0.58, 0.42),
+        }
+    )
+
+
+PREDICTION_SCHEMA = (
+    "instrument_id bigint, fold int, event_time timestamp, label int, p double, p_base double"
+)
+
+
+def evaluate_per_instrument(assigned: DataFrame) -> DataFrame:
+    """Calibrated test probabilities of small models, one per (instrument, fold).
+
+    A group is one instrument's own daily history, which is what the model is defined on; the
+    pooled form below trains on any number of rows.
+    """
+    return assigned.groupBy("instrument_id", "fold").applyInPandas(_fit_fold, PREDICTION_SCHEMA)
+
+
+def evaluate_pooled(assigned: DataFrame, fold: int) -> DataFrame:
+    """One model over all instruments for a fold: distributed fit, then distributed calibration.
+
+    The distributed loss is a mean, so the penalty is 1 / (C * rows).
+    """
+    data = assigned.filter(F.col("fold") == fold)
+    fit = data.filter(F.col("role") == "fit")
+    n = fit.count()
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="raw_features")
+    scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)
+    model = LogisticRegression(regParam=1.0 / (0.5 * max(n, 1)), standardization=False, maxIter=200)
+    fitted = Pipeline(stages=[assembler, scaler, model]).fit(fit)
+    score = vector_to_array(F.col("rawPrediction"))[1]
+
+    def scored(role: str) -> DataFrame:
+        part = fitted.transform(data.filter(F.col("role") == role))
+        return part.select("instrument_id", "event_time", "label", "momentum_63",
+                           score.alias("score"))
+
+    calibration = scored("calibrate")
+    m = calibration.count()
+    lift = VectorAssembler(inputCols=["score"], outputCol="features")
+    platt = LogisticRegression(regParam=1.0 / max(m, 1), standardization=False, maxIter=200).fit(
+        lift.transform(calibration)
+    )
+    slope, shift = float(platt.coefficients[0]), float(platt.intercept)
+    return scored("test").select(
+        "instrument_id", F.lit(fold).alias("fold"), "event_time", "label",
+        logistic(F.col("score") * slope + shift, 1.0).alias("p"),
+        F.when(F.col("momentum_63") > 0, 0.58).otherwise(0.42).alias("p_base"),
+    )
+
+
+def brier(predictions: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
+    c = F.col
+    return predictions.groupBy(*keys).agg(
+        F.avg(F.pow(c("p") - c("label"), 2)).alias("brier_score"),
+        F.avg(F.pow(c("p_base") - c("label"), 2)).alias("baseline_brier_score"),
+        F.count("*").alias("samples"),
+    )
+
+
+def calibration_error(predictions: DataFrame, keys: list[str] | tuple = (), bins: int = 10) -> DataFrame:
+    """Expected calibration error over equal bins, the last one closed."""
+    c = F.col
+    edge = F.least(F.floor(c("p") * bins), F.lit(bins - 1))
+    # Multiplying can land on the wrong side of an edge such as 0.3; compare with the edge itself.
+    edge = edge - F.when(c("p") < edge / bins, 1).otherwise(0)
+    edge = edge + F.when((edge < bins - 1) & (c("p") >= (edge + 1) / bins), 1).otherwise(0)
+    per_bin = predictions.groupBy(*keys, edge.alias("bin")).agg(
+        F.count("*").alias("n"), F.avg("label").alias("hit"), F.avg("p").alias("said")
+    )
+    return per_bin.groupBy(*keys).agg(
+        (F.sum(c("n") * F.abs(c("hit") - c("said"))) / F.sum("n")).alias("calibration_error")
+    )
+
+
+def model_status(score, baseline):
+    return F.when(score < baseline, "EXPERIMENTAL").otherwise("REJECTED")

@@ -5,3 +5,6 @@ from tidemark.plans import market  # noqa: F401,E402
 from tidemark.plans import backtests  # noqa: F401,E402
 from tidemark.plans import gating  # noqa: F401,E402
 from tidemark.plans import texts  # noqa: F401,E402
+from tidemark.plans import ledgers  # noqa: F401,E402
+from tidemark.plans import models  # noqa: F401,E402
+from tidemark.plans import alerting  # noqa: F401,E402

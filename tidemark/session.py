@@ -17,7 +17,7 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _stage_folder(spark: SparkSession) -> str:
+def stage_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` where the cluster names one, else a temporary folder for tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
@@ -39,6 +39,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     its own tasks.
     """
     spark = df.sparkSession
-    path = f"{_stage_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
