@@ -8,3 +8,4 @@ from tidemark.plans import texts  # noqa: F401,E402
 from tidemark.plans import ledgers  # noqa: F401,E402
 from tidemark.plans import models  # noqa: F401,E402
 from tidemark.plans import alerting  # noqa: F401,E402
+from tidemark.plans import extras  # noqa: F401,E402

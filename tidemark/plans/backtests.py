@@ -145,15 +145,18 @@ def _rounded(df, *plain):
 @query(
     "strategy_daily", "J-02 J-03 J-05 J-06",
     DAILY_SQL + """
-    SELECT mode, idx, round(gross, 6) AS gross, round(turnover, 6) AS turnover,
-      round(cost, 6) AS cost, round(net, 6) AS net, round(invested, 6) AS invested FROM daily""",
+    SELECT mode, idx, round(ln(1 + gross), 6) AS log_gross, round(ln(1 + turnover), 6) AS log_turnover,
+      round(ln(1 + cost), 6) AS log_cost, round(ln(1 + net), 6) AS log_net,
+      round(ln(1 + invested), 6) AS log_invested FROM daily""",
     "bars",
 )
 def _strategy_daily(t):
     series = _run(t).series
     return series.select(
         "mode", "idx",
-        *[r6(F.col(c)).alias(c) for c in ("gross", "turnover", "cost", "net", "invested")],
+        # Logarithms: sums of round weights and spreads would sit exactly on rounding ties.
+        *[r6(F.log(1 + F.col(c))).alias(f"log_{c}")
+          for c in ("gross", "turnover", "cost", "net", "invested")],
     )
 
 

@@ -67,7 +67,7 @@ def _portfolio_state(t):
     "average_cost", "D-15",
     "WITH " + BOOK_SQL + """
     SELECT portfolio_id, instrument_id, sum(quantity_delta) AS quantity,
-      round(sum(-cash_delta + fee_amount) / sum(quantity_delta), 6) AS average_cost
+      round(ln(sum(-cash_delta + fee_amount) / sum(quantity_delta)), 6) AS log_cost
     FROM book WHERE instrument_id IS NOT NULL GROUP BY portfolio_id, instrument_id""",
     "ledger",
 )
@@ -77,8 +77,8 @@ def _average_cost(t):
         "portfolio_id", "instrument_id", (-F.col("cash_delta")).alias("gross_amount"),
         F.col("fee_amount").alias("fee"),
     )
-    return ledger.average_cost(fills, ledger.positions(b)).withColumn(
-        "average_cost", r6(F.col("average_cost"))
+    return ledger.average_cost(fills, ledger.positions(b)).select(
+        "portfolio_id", "instrument_id", "quantity", r6(F.log("average_cost")).alias("log_cost")
     )
 
 
