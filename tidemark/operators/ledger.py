@@ -15,6 +15,7 @@ from tidemark.functions.hashing import content_key
 from tidemark.functions.scalars import close_to, is_finite
 from tidemark.operators.crosssection import concentration_rules
 from tidemark.operators.ordered import Running, asof, latest_version, month, running
+from tidemark.session import cut_lineage
 
 # The open lies 5 h 30 min before the bar's event time; entitlement one minute earlier.
 OPEN_BEFORE_EVENT = 330
@@ -71,40 +72,58 @@ def nav_history(entries: DataFrame, bars: DataFrame, at: datetime) -> DataFrame:
     price does. Those changes are summed per time and accumulated, so no (time x holding) panel is
     built. Only instruments held at ``at`` are marked, in the past as well.
     """
+    c = F.col
     booked = through(entries, at)
-    held = positions(booked).select(*HELD)
-    known = latest_version(bars, ["instrument_id", "event_time"])
-    prices = known.select("instrument_id", F.col("event_time").alias("t"), "close", "fx_rate")
-    quantity = (
-        booked.join(held, HELD, "left_semi").groupBy(*HELD, F.col("occurred_at").alias("t"))
-        .agg(F.sum("quantity_delta").alias("q"))
-        .select(*HELD, "t", "q", F.lit(None).cast("double").alias("close"),
-                F.lit(None).cast("double").alias("fx_rate"))
-    )
-    marks = held.join(prices, "instrument_id").select(
-        *HELD, "t", F.lit(0.0).alias("q"), "close", "fx_rate"
-    )
-    changes = quantity.unionByName(marks).groupBy(*HELD, "t").agg(
-        F.sum("q").alias("q"), F.max("close").alias("close"), F.max("fx_rate").alias("fx"),
-        F.bool_or(F.col("close").isNotNull()).alias("priced"),
+    bought = booked.filter(c("instrument_id").isNotNull()).select(
+        *HELD, "occurred_at", "entry_id", "quantity_delta"
     )
-    c = F.col
-    scanned = running(
-        changes, HELD, ["t"], month("t"),
+    held = positions(booked).select(*HELD).join(
+        bought.groupBy(*HELD).agg(F.min("occurred_at").alias("_since")), HELD
+    )
+    # Prices are carried forward once per instrument, not once per holder.
+    known = latest_version(bars, ["instrument_id", "event_time"]).select(
+        "instrument_id", c("event_time").alias("t"), "close", "fx_rate"
+    )
+    carried = running(
+        known, ["instrument_id"], ["t"], month("t"),
         {
-            "q1": Running("sum", c("q")), "q0": Running("sum", c("q"), True),
             "p1": Running("last", c("close")), "p0": Running("last", c("close"), True),
-            "f1": Running("last", c("fx")), "f0": Running("last", c("fx"), True),
+            "f1": Running("last", c("fx_rate")), "f0": Running("last", c("fx_rate"), True),
         },
     )
-    mark = lambda n: F.coalesce(c(f"q{n}") * c(f"p{n}") * c(f"f{n}"), F.lit(0.0))
+    worth = lambda n: F.coalesce(c(f"p{n}") * c(f"f{n}"), F.lit(0.0))
+    prices = cut_lineage(
+        carried.select("instrument_id", "t", worth(1).alias("px"), (worth(1) - worth(0)).alias("dpx"))
+    )
+    # A price move acts on the quantity held before it, a purchase on the price at its time.
+    priced = asof(
+        bought.join(held.select(*HELD), HELD, "left_semi"), prices, ["instrument_id"],
+        "occurred_at", "t", ["px"],
+    ).select(
+        *HELD, c("occurred_at").alias("t"), F.lit(1).alias("side"), c("entry_id").alias("tie"),
+        c("quantity_delta").alias("q"), F.lit(0.0).alias("dpx"),
+        (c("quantity_delta") * F.coalesce("px", F.lit(0.0))).alias("d"),
+    )
+    # Before the first purchase a price has nothing to act on, but it still is a valuation time.
+    moves = held.join(prices, "instrument_id")
+    marks = moves.filter(c("t") >= c("_since")).select(
+        *HELD, "t", F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("tie"),
+        F.lit(0.0).alias("q"), "dpx", F.lit(0.0).alias("d"),
+    )
+    scanned = running(
+        priced.unionByName(marks), HELD, ["t", "side", "tie"], month("t"),
+        {"before": Running("sum", c("q"), True)},
+    )
     moved = scanned.groupBy(*KEY, "t").agg(
-        F.sum(mark(1) - mark(0)).alias("d"), F.bool_or("priced").alias("priced")
+        F.sum(c("before") * c("dpx") + c("d")).alias("d"), (F.min("side") == 0).alias("priced")
+    )
+    early = moves.filter(c("t") < c("_since")).select(*KEY, "t").distinct().select(
+        *KEY, "t", F.lit(0.0).alias("d"), F.lit(True).alias("priced")
     )
     cash = booked.groupBy(*KEY, F.col("occurred_at").alias("t")).agg(
         F.sum("cash_delta").alias("d"), F.lit(False).alias("priced")
     )
-    steps = moved.unionByName(cash).groupBy(*KEY, "t").agg(
+    steps = moved.unionByName(early).unionByName(cash).groupBy(*KEY, "t").agg(
         F.sum("d").alias("d"), F.bool_or("priced").alias("priced")
     )
     total = running(steps, KEY, ["t"], month("t"), {"nav": Running("sum", c("d"))})

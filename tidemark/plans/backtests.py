@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import r6
 from tidemark.operators import backtest
-from tidemark.plans import views
+from tidemark.plans.market import staged_bars
 from tidemark.plans.registry import query
-from tidemark.session import cut_lineage
 
 YEAR = math.sqrt(252)
 
@@ -52,8 +51,7 @@ targets AS (SELECT mode, o.idx, i, CASE WHEN mode = 'momentum' THEN 1.0::DOUBLE
 
 
 def _run(t) -> backtest.Backtest:
-    """The bars view is an aggregate, so it is staged once like a registered snapshot."""
-    return backtest.Backtest(cut_lineage(views.facts(t)))
+    return backtest.Backtest(staged_bars(t))
 
 
 @query(
@@ -64,7 +62,7 @@ def _run(t) -> backtest.Backtest:
     "bars",
 )
 def _pit_targets(t):
-    shared = backtest.prepare(views.facts(t))
+    shared = backtest.prepare(staged_bars(t))
     return shared["weights"].join(shared["times"], "idx").select(
         "mode", F.date_format("event_time", "yyyy-MM-dd").alias("day"), "instrument_id",
         r6(F.col("weight")).alias("weight"),

@@ -101,7 +101,7 @@ def _range_contract(t):
     "bars",
 )
 def _benchmark_join(t):
-    known, bench = model.universe_benchmark(views.facts(t))
+    known, bench = model.universe_benchmark(market.staged_bars(t))
     validate.assert_unique(known, ["instrument_id", "event_time"])
     validate.assert_unique(bench, ["event_time"])
     return known.join(bench, "event_time").groupBy("instrument_id").agg(

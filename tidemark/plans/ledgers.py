@@ -140,7 +140,7 @@ nav AS (SELECT m.portfolio_id, t, marked + coalesce(cash, 0) AS nav FROM m ASOF
     "facts ledger",
 )
 def _nav_history(t):
-    known = point_in_time_slice(views.facts(t), AT)
+    known = point_in_time_slice(market.staged_bars(t), AT)
     out = ledger.nav_history(book(t), known, AT)
     return out.select("portfolio_id", market.stamp("valuation_time"), r6(F.col("nav")).alias("nav"))
 
@@ -160,7 +160,7 @@ def _nav_history(t):
     "facts ledger",
 )
 def _portfolio_valuation(t):
-    known = point_in_time_slice(views.facts(t), AT)
+    known = point_in_time_slice(market.staged_bars(t), AT)
     out = ledger.valuation(book(t), known, AT).filter(F.col("holdings").isNotNull())
     return out.select(
         "portfolio_id", r6(F.col("marked_nav")).alias("marked_nav"),
@@ -222,7 +222,7 @@ def _portfolio_gate(t):
     "facts ledger",
 )
 def _corporate_action_entries(t):
-    actions = ledger.corporate_actions(views.facts(t), AT)
+    actions = ledger.corporate_actions(market.staged_bars(t), AT)
     out = ledger.corporate_action_entries(book(t), actions)
     return out.select(
         "portfolio_id", "instrument_id", F.date_format("event_time", "yyyy-MM-dd").alias("day"),
@@ -260,14 +260,14 @@ def order_signals(t) -> DataFrame:
     "bars ledger",
 )
 def _next_bar(t):
-    out = ledger.next_executable_bar(order_signals(t), views.facts(t))
+    out = ledger.next_executable_bar(order_signals(t), market.staged_bars(t))
     return out.select("signal_id", market.stamp("bar_time"), r6(F.col("open")).alias("open"))
 
 
 @query("allocation", "H-11 H-12")
 def _allocation(t):
     """Candidates of each portfolio and month, filled at the next bar."""
-    priced = ledger.next_executable_bar(order_signals(t), views.facts(t))
+    priced = ledger.next_executable_bar(order_signals(t), market.staged_bars(t))
     k = F.col("signal_id")
     candidates = priced.join(views.instruments(t), "instrument_id").select(
         "portfolio_id", F.date_trunc("month", "data_as_of").alias("decided_at"), "signal_id",

@@ -34,6 +34,12 @@ def stamp(c: str, name: str | None = None):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(name or c)
 
 
+def staged_bars(t) -> DataFrame:
+    """The bars as a stored snapshot: scans over it prune columns, and no branch repeats the
+    aggregation that derives bars from lines."""
+    return cut_lineage(views.facts(t))
+
+
 # ------------------------------------------------------------------ contracts and clocks
 
 RAW_SQL = """
@@ -301,7 +307,7 @@ def _frame(n: int) -> str:
 
 
 def numbered(t) -> DataFrame:
-    slim = views.bars(t).select(
+    slim = staged_bars(t).select(
         "instrument_id", "event_time", F.col("total_return_close").alias("p"), "close", "volume",
         "bid_ask_spread_bps",
     )
@@ -370,7 +376,7 @@ def _window_factors(t):
 )
 def _drawdown(t):
     peaks = running(
-        views.bars(t).select("instrument_id", "event_time", "total_return_close"),
+        staged_bars(t).select("instrument_id", "event_time", "total_return_close"),
         ["instrument_id"], ["event_time"], month("event_time"),
         {"peak": Running("max", F.col("total_return_close"))},
     )
@@ -389,7 +395,7 @@ def _drawdown(t):
 )
 def _cumulative_split(t):
     out = running(
-        views.bars(t).select("instrument_id", "event_time", "split_factor"),
+        staged_bars(t).select("instrument_id", "event_time", "split_factor"),
         ["instrument_id"], ["event_time"], month("event_time"),
         {"cumulative": Running("product", F.col("split_factor"))},
     )
@@ -407,7 +413,7 @@ def _cumulative_split(t):
     "bars",
 )
 def _forward_fill(t):
-    masked = execution_mask(views.facts(t), ["open"]).select("instrument_id", "event_time", "open")
+    masked = execution_mask(staged_bars(t), ["open"]).select("instrument_id", "event_time", "open")
     out = running(
         masked, ["instrument_id"], ["event_time"], month("event_time"),
         {"open_known": Running("last", F.col("open"))},
@@ -429,7 +435,7 @@ def _forward_fill(t):
     "bars",
 )
 def _shift_and_change(t):
-    slim = views.bars(t).select("instrument_id", "event_time", "open", "total_return_close", "volume")
+    slim = staged_bars(t).select("instrument_id", "event_time", "open", "total_return_close", "volume")
     base = ordinals(slim, ["instrument_id"], ["event_time"], month("event_time"))
 
     def step(w):
@@ -460,7 +466,7 @@ def _shift_and_change(t):
     "bars",
 )
 def _cross_section_rank(t):
-    slim = views.bars(t).select("instrument_id", "event_time", "close")
+    slim = staged_bars(t).select("instrument_id", "event_time", "close")
     return percentile_rank(slim, ["event_time"], "close").select(
         "instrument_id", F.date_format("event_time", "yyyy-MM-dd").alias("day"),
         r6(F.col("pct_rank")).alias("pct_rank"), (F.col("pct_rank") >= 0.75).alias("selected"),
@@ -502,7 +508,7 @@ def _tail_rows(t):
     "bars",
 )
 def _capped_weights(t):
-    slim = views.bars(t).select(
+    slim = staged_bars(t).select(
         "event_time", "instrument_id", (F.lit(1.0) / F.col("bid_ask_spread_bps")).alias("w")
     )
     out = capped_weights(slim, ["event_time"], "w", "instrument_id", 0.80, 0.10)
@@ -523,7 +529,7 @@ def _capped_weights(t):
 def _gated_carry(t):
     tradable = F.col("available_at") <= F.col("event_time") + minutes(30)
     out = running(
-        views.bars(t).select("instrument_id", "event_time", "available_at", "bid_ask_spread_bps"),
+        staged_bars(t).select("instrument_id", "event_time", "available_at", "bid_ask_spread_bps"),
         ["instrument_id"], ["event_time"], month("event_time"),
         {"held": Running("last", F.when(tradable, F.col("bid_ask_spread_bps")))},
     )
@@ -626,8 +632,11 @@ def snapshot_of() -> dict:
 LIMITS = Limits(data_stale_after_minutes=STALE)
 
 
-def risk(t) -> DataFrame:
-    known = point_in_time_slice(views.facts(t), AT)
+def known_bars(t) -> DataFrame:
+    return point_in_time_slice(views.facts(t), AT)
+
+
+def risk(t, known: DataFrame) -> DataFrame:
     return gates.signal_risk(
         views.instruments(t), gates.bar_summary(known), views.registry(t), AT, LIMITS,
         snapshot_of(),
@@ -669,7 +678,7 @@ q AS (SELECT i.*, b.bar_count, TIMESTAMP '2001-06-01 00:00:00' - la > INTERVAL '
     "facts instruments registry",
 )
 def _risk_rules(t):
-    return risk(t).select("instrument_id", F.array_join("rules", ",").alias("rules"), "stale")
+    return risk(t, known_bars(t)).select("instrument_id", F.array_join("rules", ",").alias("rules"), "stale")
 
 
 def exposed_news(t) -> DataFrame:
@@ -746,8 +755,7 @@ def _news_evidence(t):
     )
 
 
-def scored(t) -> DataFrame:
-    known = point_in_time_slice(views.facts(t), AT)
+def scored(t, known: DataFrame) -> DataFrame:
     # One row per instrument, used for the universe median and again for the scores.
     vector = cut_lineage(factors.factor_vector(known))
     universe = factors.universe_median_return(vector).select("universe_return").scalar()
@@ -761,12 +769,13 @@ def scored(t) -> DataFrame:
 
 def signals(t) -> DataFrame:
     """Signal record per instrument: scores, risk codes, state, probability and budget."""
-    rules = risk(t).select(
+    known = cut_lineage(known_bars(t))
+    rules = risk(t, known).select(
         "instrument_id", "rules", "stale", "bar_count", "last_available", "last_as_of",
         "asset_class", "industry", "region", "mic", "liquidity_tier", "active", "leveraged",
         "inverse", "provider",
     )
-    record = factors.signal_record(rules.join(scored(t), "instrument_id"), LIMITS)
+    record = factors.signal_record(rules.join(scored(t, known), "instrument_id"), LIMITS)
     return record
 
 
@@ -812,7 +821,7 @@ SIGNAL_SQL = FACTOR_SQL + ",\n" + RISK_SQL.replace("known AS", "known_b AS").rep
 def _composite_scores(t):
     names = ("momentum_score", "trend_score", "relative_score", "risk_score", "market_score",
              "liquidity_score", "quality_score", "news_score", "macro_score")
-    return scored(t).select("instrument_id", *[r6(F.col(n)).alias(n) for n in names])
+    return scored(t, known_bars(t)).select("instrument_id", *[r6(F.col(n)).alias(n) for n in names])
 
 
 @query(
@@ -852,7 +861,7 @@ def signal_states(t):
     "facts instruments registry news macro",
 )
 def _evidence_split(t):
-    return factors.evidence(scored(t)).select(
+    return factors.evidence(scored(t, known_bars(t))).select(
         "instrument_id", F.size("supporting").alias("supporting"),
         F.size("opposing").alias("opposing"),
     )

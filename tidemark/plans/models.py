@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import r6
 from tidemark.operators import integrity, model
 from tidemark.plans import views
-from tidemark.plans.market import BENCH_SQL
+from tidemark.plans.market import BENCH_SQL, staged_bars
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage
 
@@ -40,7 +40,7 @@ ds AS (SELECT *, CASE WHEN excess > 0 THEN 1 ELSE 0 END AS label FROM d2
 
 
 def dataset(t):
-    known, bench = model.universe_benchmark(views.facts(t))
+    known, bench = model.universe_benchmark(staged_bars(t))
     return model.supervised_dataset(known, bench, HORIZON)
 
 

@@ -217,11 +217,16 @@ def bars(t: Tables) -> DataFrame:
         "l_tax",
     )
     spread = F.round(F.lit(2.0) + F.lit(300.0) * F.col("l_tax"), 4)
-    grouped = t.lineitem.groupBy("l_suppkey", "l_shipdate").agg(
-        F.min_by(F.struct(price.alias("open"), spread.alias("spread")), sequence).alias("first"),
-        F.max(price).alias("high"),
-        F.min(price).alias("low"),
-        F.max_by(price, sequence).alias("close"),
+    # Price and spread are computed once per line, then only compared.
+    priced = t.lineitem.select(
+        "l_suppkey", "l_shipdate", "l_quantity", price.alias("px"), spread.alias("spread"),
+        sequence.alias("seq"),
+    )
+    grouped = priced.groupBy("l_suppkey", "l_shipdate").agg(
+        F.min_by(F.struct(F.col("px").alias("open"), "spread"), "seq").alias("first"),
+        F.max("px").alias("high"),
+        F.min("px").alias("low"),
+        F.max_by("px", "seq").alias("close"),
         F.sum("l_quantity").alias("quantity"),
     )
     key, at = F.col("l_suppkey"), ship.cast("timestamp")
