@@ -81,7 +81,9 @@ def nav_history(entries: DataFrame, bars: DataFrame, at: datetime) -> DataFrame:
         bought.groupBy(*HELD).agg(F.min("occurred_at").alias("_since")), HELD
     )
     # Prices are carried forward once per instrument, not once per holder.
-    known = latest_version(bars, ["instrument_id", "event_time"]).select(
+    slim = bars.select("instrument_id", "event_time", "available_at", "first_seen_at", "revision",
+                       "close", "fx_rate")
+    known = latest_version(slim, ["instrument_id", "event_time"]).select(
         "instrument_id", c("event_time").alias("t"), "close", "fx_rate"
     )
     carried = running(
@@ -114,14 +116,14 @@ def nav_history(entries: DataFrame, bars: DataFrame, at: datetime) -> DataFrame:
         priced.unionByName(marks), HELD, ["t", "side", "tie"], month("t"),
         {"before": Running("sum", c("q"), True)},
     )
-    moved = scanned.groupBy(*KEY, "t").agg(
-        F.sum(c("before") * c("dpx") + c("d")).alias("d"), (F.min("side") == 0).alias("priced")
+    moved = scanned.select(
+        *KEY, "t", (c("before") * c("dpx") + c("d")).alias("d"), (c("side") == 0).alias("priced")
     )
-    early = moves.filter(c("t") < c("_since")).select(*KEY, "t").distinct().select(
+    early = moves.filter(c("t") < c("_since")).select(
         *KEY, "t", F.lit(0.0).alias("d"), F.lit(True).alias("priced")
     )
-    cash = booked.groupBy(*KEY, F.col("occurred_at").alias("t")).agg(
-        F.sum("cash_delta").alias("d"), F.lit(False).alias("priced")
+    cash = booked.select(
+        *KEY, c("occurred_at").alias("t"), c("cash_delta").alias("d"), F.lit(False).alias("priced")
     )
     steps = moved.unionByName(early).unionByName(cash).groupBy(*KEY, "t").agg(
         F.sum("d").alias("d"), F.bool_or("priced").alias("priced")
