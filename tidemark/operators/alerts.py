@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.clocks import cutoff, minutes
 from tidemark.operators.ordered import Running, running
+from tidemark.session import cut_lineage
 
 HOURS = (1, 2)
 
@@ -158,34 +159,94 @@ class Delivery:
         return "SENT"
 
 
-def deliver(alerts: DataFrame, limits) -> DataFrame:
-    """Outcome of every alert: COOLDOWN, SUPPRESSED (daily cap), PENDING (quiet hours) or SENT.
+CARRY = "subjects array<string>, times array<timestamp>"
+FOLD_SCHEMA = f"{OUTCOME_SCHEMA}, day int, {CARRY}"
+
 
-    ``alerts`` carries channel, alert_id, created_at, alert_type and instrument_id. Outcomes depend
-    on each other in time order within a channel. A channel is therefore streamed in order through
-    one pass whose state is small; its rows are never gathered. The day's cap comes first, then
-    quiet hours, and a suppressed alert starts no cooldown.
+def _fold_days(cooldown: int, limit: int):
+    """Stream rows ordered by (channel, day, kind, time); one small state at a time.
+
+    A row of kind 0 opens a day with what the day before left behind. Besides the outcomes, every
+    day ends with a row that holds what it leaves to the next.
     """
-    rows = alerts.select(
-        "channel", "alert_id", "created_at",
-        F.concat_ws("|", "alert_type", F.col("instrument_id").cast("string")).alias("subject"),
-        F.unix_date(local_day("created_at", limits.alert_zone)).alias("day"),
-        in_quiet_hours("created_at", limits).alias("quiet"),
-    )
-    ordered = rows.repartition("channel").sortWithinPartitions("channel", "created_at", "alert_id")
-    cooldown, limit = limits.cooldown_minutes, limits.daily_limit
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+        current, state, newest = None, None, None
+
+        def leave():
+            live = {s: t for s, t in state.raised.items() if t >= newest - state.cooldown}
+            names = sorted(live)
+            return (current[0], None, None, None, current[1] + 1, names, [live[n] for n in names])
+
         for batch in batches:
-            outcomes = []
-            for channel, at, subject, day, quiet in zip(
-                batch["channel"], batch["created_at"], batch["subject"], batch["day"],
-                batch["quiet"],
-            ):
-                if channel != current:
-                    current, state = channel, Delivery(cooldown, limit)
-                outcomes.append(state.decide(subject, at, day, quiet))
-            yield batch.assign(outcome=outcomes)[_OUTCOME_COLUMNS]
-
-    return ordered.mapInPandas(fold, OUTCOME_SCHEMA)
+            out = []
+            for row in batch.itertuples(index=False):
+                if (row.channel, row.day) != current:
+                    if state is not None and newest is not None:
+                        out.append(leave())
+                    current, newest = (row.channel, row.day), None
+                    state = Delivery(cooldown, limit)
+                if row.kind == 0:
+                    state.raised = dict(zip(row.subjects, pd.to_datetime(row.times)))
+                    continue
+                newest = row.created_at
+                outcome = state.decide(row.subject, row.created_at, row.day, row.quiet)
+                out.append((row.channel, row.alert_id, row.created_at, outcome, row.day, None, None))
+            yield pd.DataFrame(out, columns=FOLD_COLUMNS)
+        if state is not None and newest is not None:
+            yield pd.DataFrame([leave()], columns=FOLD_COLUMNS)
+
+    return fold
+
+
+FOLD_COLUMNS = ["channel", "alert_id", "created_at", "outcome", "day", "subjects", "times"]
+
+
+def deliver(alerts: DataFrame, limits) -> DataFrame:
+    """Outcome of every alert: COOLDOWN, SUPPRESSED (daily cap), PENDING (quiet hours) or SENT.
+
+    ``alerts`` carries channel, alert_id, created_at, alert_type and instrument_id. The day's cap
+    comes first, then quiet hours, and a suppressed alert starts no cooldown.
+
+    Outcomes depend on each other in time order. The cap starts afresh every local day, and only
+    the last cooldown of a day reaches into the next. So the days of a channel run in parallel: the
+    first pass assumes nothing is carried over, and passes repeat with what each day actually left
+    until that no longer changes, which makes the result that of one ordered pass. A busy day uses
+    up its cap and leaves nothing, a quiet one little, so few passes are needed.
+    """
+    if limits.cooldown_minutes > 24 * 60:
+        raise ValueError("a cooldown of more than a day would skip a whole day")
+    nothing = F.lit(None)
+    rows = cut_lineage(
+        alerts.select(
+            "channel", F.col("alert_id").cast("bigint").alias("alert_id"), "created_at",
+            F.concat_ws("|", "alert_type", F.col("instrument_id").cast("string")).alias("subject"),
+            F.unix_date(local_day("created_at", limits.alert_zone)).alias("day"),
+            in_quiet_hours("created_at", limits).alias("quiet"),
+            F.lit(1).alias("kind"), nothing.cast("array<string>").alias("subjects"),
+            nothing.cast("array<timestamp>").alias("times"),
+        )
+    )
+    days = rows.select("channel", "day").distinct()
+    carried = None
+    while True:
+        opened = rows if carried is None else rows.unionByName(
+            carried.withColumn("kind", F.lit(0)), allowMissingColumns=True
+        )
+        ordered = opened.repartition("channel", "day").sortWithinPartitions(
+            "channel", "day", "kind", "created_at", "alert_id"
+        )
+        fold = _fold_days(limits.cooldown_minutes, limits.daily_limit)
+        result = cut_lineage(ordered.mapInPandas(fold, FOLD_SCHEMA))
+        left = (
+            result.filter(F.col("subjects").isNotNull() & (F.size("subjects") > 0))
+            .select("channel", "day", "subjects", "times")
+            .join(days, ["channel", "day"], "left_semi")
+        )
+        if carried is None:
+            changed = not left.isEmpty()
+        else:
+            changed = not (left.exceptAll(carried).isEmpty() and carried.exceptAll(left).isEmpty())
+        if not changed:
+            return result.filter(F.col("outcome").isNotNull()).select(*_OUTCOME_COLUMNS)
+        carried = left

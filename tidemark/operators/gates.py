@@ -293,26 +293,19 @@ def event_gate(
     """Reasons why a calendar event may not raise an alert; regions are checked one by one."""
     c, now = F.col, cutoff(at, "utc")
     purposes = {"display", "algorithm", "cache"}
-    regions = events.select("provider_code", F.explode_outer("regions").alias("_region")).distinct()
-    checked = authorize(
-        regions, registry, purposes, licence_at or at, "provider_code", region="_region"
-    ).select(
-        "provider_code",
-        F.coalesce("_region", F.lit("")).alias("_region"),
-        (F.size("license_reasons") > 0).alias("_denied"),
-    )
-    verdict = checked.groupBy("provider_code").agg(
-        F.array_sort(F.collect_set(F.when(c("_denied"), c("_region")))).alias("_denied_regions"),
-        F.bool_and("_denied").alias("_all_denied"),
-    )
-    base = authorize(
-        events.select("provider_code").distinct(), registry, purposes, licence_at or at,
-        "provider_code",
-    ).select("provider_code", (F.size("license_reasons") > 0).alias("_base_denied"))
-    joined = events.join(verdict, "provider_code", "left").join(base, "provider_code", "left")
-    licence = c("_base_denied") | F.coalesce(
-        F.arrays_overlap(c("regions"), c("_denied_regions")), F.lit(False)
+    scopes = events.select("provider_code", "regions").distinct()
+    pairs = scopes.withColumn("_region", F.explode_outer("regions"))
+    denied = F.size("license_reasons") > 0
+    # Without regions the row still checks the provider itself.
+    verdict = (
+        authorize(pairs, registry, purposes, licence_at or at, "provider_code", region="_region")
+        .groupBy("provider_code", F.coalesce("regions", F.array().cast("array<string>")).alias("_rs"))
+        .agg(F.bool_or(denied).alias("_denied"))
     )
+    joined = events.withColumn(
+        "_rs", F.coalesce("regions", F.array().cast("array<string>"))
+    ).join(verdict, ["provider_code", "_rs"], "left")
+    licence = F.coalesce(c("_denied"), F.lit(True))
     ok = intact if intact is not None else F.lit(True)
     rules = reasons(
         ("EVENT_RECORD_INTEGRITY_FAILED", ~F.coalesce(ok, F.lit(False))),
@@ -339,9 +332,7 @@ def event_gate(
         ("SOURCE_URL_INVALID", normalize_url(c("source_uri")).isNull()),
         ("PROVIDER_LICENSE_BLOCKED", licence),
     )
-    return joined.withColumn("gate_reasons", rules).drop(
-        "_denied_regions", "_all_denied", "_base_denied"
-    )
+    return joined.withColumn("gate_reasons", rules).drop("_rs", "_denied")
 
 
 # ---------------------------------------------------------------- output gates
