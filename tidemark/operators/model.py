@@ -12,10 +12,12 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.clocks import CLOCKS, causal_rows, known_at, minutes, require_clocks
 from tidemark.functions.scalars import logistic
 from tidemark.operators.ordered import frame_median, frames, latest_version, month, ordinals
+from tidemark.session import cut_lineage
 
 YEAR = math.sqrt(252)
 
@@ -149,64 +151,99 @@ def walk_forward(
     )
 
 
-def _newton(x: np.ndarray, y: np.ndarray, strength: float, steps: int = 100):
-    """L2-regularised logistic regression (free intercept): weights, intercept."""
-    design = np.column_stack([x, np.ones(len(x))])
-    penalty = np.append(np.full(x.shape[1], 1.0 / strength), 0.0)
-    beta = np.zeros(design.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
-        gradient = design.T @ (p - y) + penalty * beta
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty + 1e-12)
-        move = np.linalg.solve(hessian, gradient)
-        beta -= move
-        if np.abs(move).max() < 1e-10:
-            break
-    return beta[:-1], beta[-1]
-
-
-def _fit_fold(frame: pd.DataFrame) -> pd.DataFrame:
-    """Fit, calibrate and predict one (instrument, fold); single-class folds yield nothing."""
-    part = {r: frame[frame["role"] == r].sort_values("event_time") for r in ("fit", "calibrate", "test")}
-    empty = pd.DataFrame(columns=["instrument_id", "fold", "event_time", "label", "p", "p_base"])
-    if any(part[r].empty for r in part) or any(
-        part[r]["label"].nunique() < 2 for r in ("fit", "calibrate")
-    ):
-        return empty
-    x = part["fit"][list(FEATURES)].to_numpy(float)
-    mean, sd = x.mean(axis=0), x.std(axis=0)
-    sd[sd == 0] = 1.0
-    weights, intercept = _newton((x - mean) / sd, part["fit"]["label"].to_numpy(float), 0.5)
-
-    def raw(rows: pd.DataFrame) -> np.ndarray:
-        return ((rows[list(FEATURES)].to_numpy(float) - mean) / sd) @ weights + intercept
-
-    slope, shift = _newton(
-        raw(part["calibrate"])[:, None], part["calibrate"]["label"].to_numpy(float), 1.0
-    )
-    test = part["test"]
-    p = 1 / (1 + np.exp(-(raw(test) * slope[0] + shift)))
-    return pd.DataFrame(
-        {
-            "instrument_id": test["instrument_id"], "fold": test["fold"],
-            "event_time": test["event_time"], "label": test["label"], "p": p,
-            "p_base": np.where(test["momentum_63"] > 0, 0.58, 0.42),
-        }
-    )
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _newton_step(beta: pd.Series, gradient: pd.Series, hessian: pd.Series) -> pd.Series:
+    """Solve one small system per group: beta - H^-1 g, with H given by its upper triangle."""
+    out = []
+    for b, g, h in zip(beta, gradient, hessian):
+        full = np.zeros((len(b), len(b)))
+        full[np.triu_indices(len(b))] = h
+        full = full + np.triu(full, 1).T
+        out.append(np.asarray(b) - np.linalg.solve(full, np.asarray(g)))
+    return pd.Series(out)
 
 
-PREDICTION_SCHEMA = (
-    "instrument_id bigint, fold int, event_time timestamp, label int, p double, p_base double"
-)
+def fit_logistic(
+    rows: DataFrame, keys: list[str], features: list[str], strength: float, steps: int = 7
+) -> DataFrame:
+    """L2-regularised logistic regression per group by Newton steps: ``beta``, intercept last.
+
+    A step is one aggregation: gradient and Hessian are sums that combine map-side, so a group may
+    hold any number of rows. Only the solution of the small system sees a group as one row. The
+    intercept is not penalised.
+    """
+    size = len(features) + 1
+    x = [F.col(f) for f in features] + [F.lit(1.0)]
+    penalty = [1.0 / strength] * len(features) + [1e-12]
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    beta = rows.select(*keys).distinct().withColumn("beta", F.array(*[F.lit(0.0)] * size))
+    for _ in range(steps):
+        b = [F.col("beta")[i] for i in range(size)]
+        score = sum((v * w for v, w in zip(x[1:], b[1:])), x[0] * b[0])
+        bounded = F.least(F.greatest(score, F.lit(-500.0)), F.lit(500.0))
+        scored = rows.join(beta, keys).withColumn("_p", logistic(bounded, 1.0)).withColumns(
+            {"_e": F.col("_p") - F.col("label"), "_w": F.col("_p") * (1 - F.col("_p"))}
+        )
+        sums = scored.groupBy(*keys).agg(
+            F.first("beta").alias("beta"),
+            *[F.sum(F.col("_e") * x[i]).alias(f"_g{i}") for i in range(size)],
+            *[F.sum(F.col("_w") * x[i] * x[j]).alias(f"_h{i}_{j}") for i, j in pairs],
+        )
+        gradient = F.array(*[F.col(f"_g{i}") + penalty[i] * F.col("beta")[i] for i in range(size)])
+        hessian = F.array(
+            *[F.col(f"_h{i}_{j}") + (penalty[i] if i == j else 0.0) for i, j in pairs]
+        )
+        beta = cut_lineage(
+            sums.select(*keys, _newton_step(F.col("beta"), gradient, hessian).alias("beta"))
+        )
+    return beta
 
 
 def evaluate_per_instrument(assigned: DataFrame) -> DataFrame:
-    """Calibrated test probabilities of small models, one per (instrument, fold).
+    """Calibrated test probabilities of one small model per (instrument, fold).
 
-    A group is one instrument's own daily history, which is what the model is defined on; the
-    pooled form below trains on any number of rows.
+    Features are standardised on the fit rows, the model is fitted there, and its score is
+    calibrated on the later calibration rows. Groups with a single class in either part are left
+    out.
     """
-    return assigned.groupBy("instrument_id", "fold").applyInPandas(_fit_fold, PREDICTION_SCHEMA)
+    c = F.col
+    keys = ["instrument_id", "fold"]
+    part = lambda r, x: F.when(c("role") == r, x)
+    stats = assigned.groupBy(*keys).agg(
+        *[F.avg(part("fit", c(f))).alias(f"_m_{f}") for f in FEATURES],
+        *[F.stddev_pop(part("fit", c(f))).alias(f"_s_{f}") for f in FEATURES],
+        *[F.min(part(r, c("label"))).alias(f"_lo_{r}") for r in ("fit", "calibrate")],
+        *[F.max(part(r, c("label"))).alias(f"_hi_{r}") for r in ("fit", "calibrate")],
+        F.count_if(c("role") == "test").alias("_tests"),
+    ).filter(
+        (c("_lo_fit") < c("_hi_fit")) & (c("_lo_calibrate") < c("_hi_calibrate")) & (c("_tests") > 0)
+    )
+    scaled = cut_lineage(
+        assigned.join(stats, keys).select(
+            *keys, "role", "event_time", "label", "momentum_63",
+            *[
+                ((c(f) - c(f"_m_{f}")) / F.when(c(f"_s_{f}") > 0, c(f"_s_{f}")).otherwise(1.0))
+                .alias(f"z{i}")
+                for i, f in enumerate(FEATURES)
+            ],
+        )
+    )
+    names = [f"z{i}" for i in range(len(FEATURES))]
+    beta = fit_logistic(scaled.filter(c("role") == "fit"), keys, names, 0.5)
+    score = c("beta")[len(names)]
+    for i, n in enumerate(names):
+        score = score + c("beta")[i] * c(n)
+    raw = cut_lineage(
+        scaled.filter(c("role") != "fit").join(beta, keys).select(
+            *keys, "role", "event_time", "label", "momentum_63", score.alias("score")
+        )
+    )
+    platt = fit_logistic(raw.filter(c("role") == "calibrate"), keys, ["score"], 1.0)
+    return raw.filter(c("role") == "test").join(platt, keys).select(
+        *keys, "event_time", "label",
+        logistic(c("score") * c("beta")[0] + c("beta")[1], 1.0).alias("p"),
+        F.when(c("momentum_63") > 0, 0.58).otherwise(0.42).alias("p_base"),
+    )
 
 
 def evaluate_pooled(assigned: DataFrame, fold: int) -> DataFrame:
