@@ -193,10 +193,9 @@ def fit_logistic(
         hessian = F.array(
             *[F.col(f"_h{i}_{j}") + (penalty[i] if i == j else 0.0) for i, j in pairs]
         )
-        beta = cut_lineage(
-            sums.select(*keys, _newton_step(F.col("beta"), gradient, hessian).alias("beta"))
-        )
-    return beta
+        beta = sums.select(*keys, _newton_step(F.col("beta"), gradient, hessian).alias("beta"))
+    # The steps form one job; each reads the rows once and depends only on the step before.
+    return cut_lineage(beta)
 
 
 def evaluate_per_instrument(assigned: DataFrame) -> DataFrame:
