@@ -79,7 +79,7 @@ def knowledge_events(seen: DataFrame) -> DataFrame:
     gap gather their own facts, and of those just the last 127 plus the number of gaps.
     """
     key = ["instrument_id"]
-    facts = ordinals(seen, key, ["event_time"], month("event_time"), "ordinal")
+    facts = cut_lineage(ordinals(seen, key, ["event_time"], month("event_time"), "ordinal"))
 
     def returns(w):
         return {"ret": F.col("p") / F.lag("p").over(w) - 1}
@@ -167,9 +167,11 @@ def targets(grid: DataFrame) -> DataFrame:
             )
         ),
     )
-    chosen = percentile_rank(both, ["mode", "idx"], "score").filter(
-        (c("pct_rank") >= 0.75) & (c("score") > 0)
-    ).select("mode", "idx", "instrument_id", "raw")
+    chosen = cut_lineage(
+        percentile_rank(both, ["mode", "idx"], "score").filter(
+            (c("pct_rank") >= 0.75) & (c("score") > 0)
+        ).select("mode", "idx", "instrument_id", "raw")
+    )
     model = capped_weights(
         chosen.filter(c("mode") == "model"), ["mode", "idx"], "raw", "instrument_id", 0.80, 0.10
     ).drop("raw")
@@ -205,7 +207,8 @@ def prepare(bars: DataFrame, delay_minutes: float = DEFAULTS.decision_delay_minu
             times, delay_minutes,
         ).select("instrument_id", "event_time", "p", "enter")
     )
-    weights = cut_lineage(targets(score_grid(knowledge_events(seen), times)))
+    events = cut_lineage(knowledge_events(seen))
+    weights = cut_lineage(targets(score_grid(events, times)))
     first, share = known_universe(seen, times)
     return {"times": times, "seen": seen, "weights": weights, "first": first, "share": share}
 
@@ -246,7 +249,9 @@ def trades(bars: DataFrame, shared: dict, delay_minutes: float) -> DataFrame:
             for m, w in wants.items()
         },
     }
-    scanned = running(joined, ["instrument_id"], ["idx"], steps_of("idx"), earlier)
+    scanned = running(
+        cut_lineage(joined), ["instrument_id"], ["idx"], steps_of("idx"), earlier
+    )
     opened = F.coalesce("open", "open_before")
     fx = F.coalesce("fx_rate", "fx_before")
     worth = (
@@ -337,7 +342,9 @@ def buy_and_hold(
         moves, ["instrument_id"], ["at"], steps_of("at"),
         {"after": Running("product", 1 + c("r")), "ahead": Running("product", 1 + c("r"), True)},
     )
-    deltas = grown.groupBy(c("at").alias("idx")).agg(F.sum(c("after") - c("ahead")).alias("d"))
+    deltas = cut_lineage(
+        grown.groupBy(c("at").alias("idx")).agg(F.sum(c("after") - c("ahead")).alias("d"))
+    )
     wealth = running(
         window.join(deltas, "idx", "left"), [], ["idx"], steps_of("idx"),
         {"gain": Running("sum", F.coalesce("d", F.lit(0.0))),
@@ -360,7 +367,7 @@ def buy_and_hold(
 def performance(series: DataFrame, keys: list[str], ret: str = "net", order: str = "idx") -> DataFrame:
     """Growth, risk and ratio metrics per key; rows that are not finite are ignored."""
     c = F.col
-    clean = series.filter(is_finite(c(ret)))
+    clean = cut_lineage(series.filter(is_finite(c(ret))).select(*keys, order, ret))
     wealth = running(clean, keys, [order], steps_of(order), {"wealth": Running("product", 1 + c(ret))})
     peaks = running(wealth, keys, [order], steps_of(order), {"peak": Running("max", c("wealth"))})
     loss = F.when(c(ret) < 0, c(ret))
@@ -528,7 +535,9 @@ class Backtest:
         self.shared = prepare(bars, delay)
         self.traded = cut_lineage(trades(bars, self.shared, delay))
         self.series = cut_lineage(
-            strategy_series(daily_flows(self.traded, fee, slip), self.shared["times"])
+            strategy_series(
+                cut_lineage(daily_flows(self.traded, fee, slip)), self.shared["times"]
+            )
         )
 
     def buy_hold(self) -> DataFrame:

@@ -128,7 +128,9 @@ def nav_history(entries: DataFrame, bars: DataFrame, at: datetime) -> DataFrame:
     steps = moved.unionByName(early).unionByName(cash).groupBy(*KEY, "t").agg(
         F.sum("d").alias("d"), F.bool_or("priced").alias("priced")
     )
-    total = running(steps, KEY, ["t"], month("t"), {"nav": Running("sum", c("d"))})
+    total = running(
+        cut_lineage(steps), KEY, ["t"], month("t"), {"nav": Running("sum", c("d"))}
+    )
     return total.filter("priced").select(*KEY, c("t").alias("valuation_time"), "nav")
 
 
@@ -229,7 +231,7 @@ def corporate_action_entries(
     that precede each action; nothing is replayed action by action.
     """
     c = F.col
-    splits = running(
+    splits = cut_lineage(running(
         actions.select("instrument_id", "effective_at", "split_factor", "dividend", "fx_rate",
                        "event_time", "revision"),
         ["instrument_id"], ["effective_at"], month("effective_at"),
@@ -237,7 +239,7 @@ def corporate_action_entries(
             "product": Running("product", c("split_factor")),
             "before": Running("product", c("split_factor"), True),
         },
-    )
+    ))
     bought = entries.filter(c("instrument_id").isNotNull()).select(
         *HELD, "occurred_at", "quantity_delta"
     )
@@ -246,8 +248,10 @@ def corporate_action_entries(
         bought, splits.select("instrument_id", "effective_at", "product"), ["instrument_id"],
         "occurred_at", "effective_at", ["product"], strict=True,
     )
-    units = scaled.groupBy(*HELD, "occurred_at").agg(
-        F.sum(c("quantity_delta") / F.coalesce("product", F.lit(1.0))).alias("u")
+    units = cut_lineage(
+        scaled.groupBy(*HELD, "occurred_at").agg(
+            F.sum(c("quantity_delta") / F.coalesce("product", F.lit(1.0))).alias("u")
+        )
     )
     held = running(units, HELD, ["occurred_at"], month("occurred_at"),
                    {"units": Running("sum", c("u"))})

@@ -65,7 +65,10 @@ def running(
     measures: dict[str, Running],
     reverse: bool = False,
 ) -> DataFrame:
-    """Add running measures along ``order`` within ``keys``; ``order`` must be total."""
+    """Add running measures along ``order`` within ``keys``; ``order`` must be total.
+
+    The input is read twice (bucket totals, rows), so nest scans over staged tables only.
+    """
     tagged = df.withColumn("_bucket", bucket)
     key_order = F.struct(*[F.col(c) for c in order])
     pick = F.min_by if reverse else F.max_by
