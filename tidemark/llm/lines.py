@@ -73,7 +73,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     k_id, k_text = row_key(id_col, text_col)
     starts = packed(later(line_windows(df.select(k_id, k_text, column(text_col).cast("string").alias("text")), span), own=True))
     whole = df.select(
-        F.struct(*[column(c) for c in df.columns]).alias("l_row"), k_id, k_text, column(text_col).cast("string").alias("l_text")
+        F.struct(F.lit(1).alias("one"), *[column(c) for c in df.columns if c != text_col]).alias("l_row"),
+        k_id, k_text, column(text_col).cast("string").alias("l_text"),
     ).join(starts, ["k_id", "k_text"], "left").select("l_row", "l_text", F.col("at").alias("l_at"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +90,6 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     added = StructType.fromDDL("l_text string, l_lines long, l_removed long").fields
     done = whole.mapInArrow(work, StructType([whole.schema["l_row"], *added]))
     inner = [F.col("l_text").alias(c) if c == text_col else F.col("l_row")[c].alias(c) for c in df.columns]
-
     return done.select(*inner, F.col("l_lines").alias("n_lines"), F.col("l_removed").alias("n_removed"))
 
 

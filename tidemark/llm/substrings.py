@@ -202,10 +202,10 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``df`` with repeated runs of words cut from its text; texts that lose nothing stay as they are."""
     report = substring_report(df, id_col, text_col, window, texts=True).select("k_id", "k_text", F.col("kept").alias("s_kept")).distinct()
     k_id, k_text = row_key(id_col, text_col)
-    whole = df.select(F.struct(*[column(c) for c in df.columns]).alias("s_row"), k_id, k_text)
+    whole = df.select(*[column(c).alias(f"s_{i}") for i, c in enumerate(df.columns)], k_id, k_text)
     joined = whole.join(report, ["k_id", "k_text"], "left")
     return joined.select(*[
-        (F.coalesce("s_kept", F.col("s_row")[c]) if c == text_col else F.col("s_row")[c]).alias(c) for c in df.columns
+        (F.coalesce("s_kept", f"s_{i}") if c == text_col else F.col(f"s_{i}")).alias(c) for i, c in enumerate(df.columns)
     ])
 
 
