@@ -1,4 +1,4 @@
 """All registered queries of this package."""
 
-from tidemark.llm import bpe, lines, mixing, substrings, urlfilter  # noqa: F401
+from tidemark.llm import bpe, lines, mixing, substrings, topk, urlfilter  # noqa: F401
 from tidemark.llm.registry import QUERIES  # noqa: F401
