@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 def steps(batch: pa.RecordBatch, name: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in runs of at most about ``limit`` bytes of one string column."""
     col = batch.column(batch.schema.get_field_index(name))
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
     group = np.cumsum(sizes) // limit
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
