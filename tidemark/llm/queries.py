@@ -1,4 +1,4 @@
 """All registered queries of this package."""
 
-from tidemark.llm import bpe, html, lines, mixing, simhash, substrings, topk, urlfilter  # noqa: F401
+from tidemark.llm import bpe, html, lines, media, mixing, simhash, substrings, topk, urlfilter  # noqa: F401
 from tidemark.llm.registry import QUERIES  # noqa: F401
