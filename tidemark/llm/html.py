@@ -5,7 +5,8 @@ headers and footers, sidebars, forms, scripts, styles) or by the words of their
 notices, comments ...) are left out whole, as are the blocks outside a page's ``article`` or ``main`` if it
 has one. The first pass decides the other blocks by link density, length and density of stop words. Short
 blocks, and those of middling density, stay open; in the second pass they take the label of the nearest
-decided neighbours, good only if both sides agree or the nearer one is good.
+decided neighbours: middling ones are bad only between bad ones, short ones follow both sides if these
+agree, else the nearer one.
 
 Defined cases: null and empty pages, and pages without a good block, give the empty text; unclosed tags,
 comments and pages cut off anywhere are read as far as they go; equal pages give equal texts. Each page is
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm.base import column, steps
 from tidemark.llm.registry import query
 
-SHORT, LONG = 70, 200  # characters
+SHORT, LONG = 70, 140  # characters
 STOP_LOW, STOP_HIGH = 0.15, 0.25  # parts of a block's words
 LINKED = 0.5  # part of a block's characters inside links
 
@@ -209,10 +210,10 @@ def second_pass(labels: list[str]) -> list[bool]:
                 seen = (labels[k], k)
         return out
 
-    # First the nearly good ones among good and bad, then the short ones, for which near ones count as decided.
+    # First the nearly good ones, which go only between two bad ones; then the short ones, next to what is decided.
     before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))
     labels = [
-        ("good" if "good" in (before[k][0], after[k][0]) or before[k][1] == after[k][1] == n else "bad") if x == "near" else x
+        ("bad" if before[k][0] == after[k][0] == "bad" and n not in (before[k][1], after[k][1]) else "good") if x == "near" else x
         for k, x in enumerate(labels)
     ]
     before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))

@@ -163,11 +163,14 @@ class ArchiveReader(DataSourceReader):
         store, root = _open(self.folder)
         with store.open_input_file(f"{root}/{MANIFEST}") as f:
             archives = json.loads(f.read())
-        return [
+        ranges = [
             Range(name, at, min(at + RANGE_BYTES, size)) for name, size in archives for at in range(0, max(size, 1), RANGE_BYTES)
         ]
+        return ranges or [Range("", 0, 0)]  # Spark wants one partition at least
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        if not partition.archive:
+            return
         store, root = _open(self.folder)
         path = f"{root}/{partition.archive}"
         with store.open_input_file(path) as f, zipfile.ZipFile(f) as directory:

@@ -66,6 +66,7 @@ SPEECH = frozenset(
     "dit disait écrit appelé affirme dijo dice llamó escribió afirmó".split()
 )
 OTHER, STRONG, WEAK, THREAT, TARGET, NEGATION, REPORT, QUOTE, CLAUSE, SENTENCE = range(10)
+ENDS = (QUOTE, CLAUSE, SENTENCE)  # what ends a clause; quoted words are clauses of their own
 TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»]|[.!?\n]|[,;:()]")
 MARKS = {c: QUOTE for c in "\"“”„«»"} | {c: SENTENCE for c in ".!?\n"} | {c: CLAUSE for c in ",;:()"}
 REACH = 3  # words after a negation that it reaches
@@ -82,22 +83,22 @@ PRIOR = 0.05  # weight of the prior, in observations
 
 
 def _insult(state: int, symbol: int) -> int:
-    if symbol in (CLAUSE, SENTENCE):
+    if symbol in ENDS:
         return 0
     return max(state, {WEAK: 1, STRONG: 2}.get(symbol, 0))
 
 
 def _threat(state: int, symbol: int) -> int:
-    return 0 if symbol in (CLAUSE, SENTENCE) else int(state or symbol == THREAT)
+    return 0 if symbol in ENDS else int(state or symbol == THREAT)
 
 
 def _target(state: int, symbol: int) -> int:
-    return 0 if symbol in (CLAUSE, SENTENCE) else int(state or symbol == TARGET)
+    return 0 if symbol in ENDS else int(state or symbol == TARGET)
 
 
 def _negation(state: int, symbol: int) -> int:
     """1...REACH: words still reached; REACH + 1: an insult was."""
-    if symbol in (CLAUSE, SENTENCE):
+    if symbol in ENDS:
         return 0
     if state == REACH + 1 or state and symbol in (STRONG, WEAK, THREAT):
         return REACH + 1
@@ -128,7 +129,7 @@ def compose() -> tuple[list[list[int]], list[list[int]]]:
             kind = NAMES.index(("strong" if insult == 2 else "weak") + how)
         elif threat and target and negated != REACH + 1:
             kind = NAMES.index("threat_reported" if reported else "threat_target")
-        out.append([kind if symbol in (CLAUSE, SENTENCE) else -1 for symbol in range(10)])
+        out.append([kind if symbol in ENDS else -1 for symbol in range(10)])
     return moves, out
 
 

@@ -67,7 +67,7 @@ class Automaton:
                     if b == ord("*"):
                         loops.append((at - 1, kind))
                     elif b == ord("?"):
-                        symbols.append((at, kind))
+                        symbols.append((at, "one " + kind))  # the first byte of a character
                         loops.append((at, "more"))
                         at += 1
                     else:
@@ -80,6 +80,7 @@ class Automaton:
             "any": np.ones(256, bool),
             "more": (np.arange(256) & 0xC0) == 0x80,  # continuation bytes of one character
         }
+        fits |= {"one " + kind: fits[kind] & ~fits["more"] for kind in ("host", "any")}
         self.step = np.zeros((256, self.words), np.uint64)
         self.keep = np.zeros((256, self.words), np.uint64)
         for table, entries in ((self.step, symbols), (self.keep, loops)):
