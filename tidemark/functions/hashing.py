@@ -12,20 +12,32 @@ NULL_MARK = "\\N"
 SEPARATOR = "\x1f"
 
 
+def escaped(c: Column) -> Column:
+    """Text without separators; only a NULL becomes a single backslash and N."""
+    text = F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\"))
+    return F.coalesce(F.replace(text, F.lit(SEPARATOR), F.lit("\\u")), F.lit(NULL_MARK))
+
+
 def canonical(name: str, kind: T.DataType) -> Column:
-    """Text that is equal exactly when the values are; doubles keep six decimals, times are UTC."""
+    """Text that is equal exactly when the values are, of one type.
+
+    Doubles keep every digit that tells them apart (both zeros are one value), times are UTC, arrays keep
+    their order and NULLs.
+    """
     c = F.col(name)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        usable = ~F.isnan(c) & (F.abs(c) < 1e30)
-        text = F.when(usable, F.round(c, 6).cast("decimal(38,6)").cast("string")).otherwise(
-            c.cast("string")
-        )
+        text = F.when(c == 0, F.lit("0.0")).otherwise(c.cast("string"))
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         text = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
-        text = F.concat(F.lit("["), F.array_join(F.array_sort(c), ","), F.lit("]"))
+        items = F.transform(c, lambda x: F.replace(escaped(x), F.lit(","), F.lit("\\c")))
+        text = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
     elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
-        text = F.to_json(c)
+        text = F.to_json(c, {"ignoreNullFields": "false"})
+    elif isinstance(kind, T.BinaryType):
+        text = F.hex(c)
+    elif isinstance(kind, T.StringType):
+        return escaped(c)
     else:
         text = c.cast("string")
     return F.coalesce(text, F.lit(NULL_MARK))

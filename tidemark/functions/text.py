@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import html
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Suspicious phrases, tags, control characters.
 INJECTION = (
@@ -13,44 +18,22 @@ INJECTION = (
 TAG = r"<[^>]+>"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 SPACES = r"(?U)[\s\x1c-\x1f]+"
-# Named character references (the markup set plus common typography).
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "copy": "©",
-    "reg": "®", "hellip": "…", "mdash": "—", "ndash": "–",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
-    "euro": "€", "eacute": "é", "egrave": "è", "agrave": "à",
-    "ccedil": "ç", "uuml": "ü", "ouml": "ö", "auml": "ä",
-    "szlig": "ß", "ntilde": "ñ", "middot": "·", "bull": "•",
-}
 AUDIT_SECRETS = (
     "authorization", "cookie", "password", "secret", "token", "api_key", "account_number",
 )
 
 
+@F.pandas_udf(T.StringType())
+def _references(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
 def unescape(c: Column) -> Column:
-    """Decode named and numeric character references in one left-to-right pass."""
-    names = F.create_map(*[F.lit(x) for kv in {**ENTITIES, "amp": "&"}.items() for x in kv])
-    pattern = F.lit(r"&(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z]{2,8});")
-    found = F.regexp_extract_all(c, pattern, F.lit(0))
-    plain = F.split(c, r"&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z]{2,8});", -1)
-
-    def decode(ref: Column) -> Column:
-        body = F.substring(ref, 2, 12)
-        body = F.substr(body, F.lit(1), F.length(body) - 1)
-        hexa = F.lower(F.substr(body, F.lit(2), F.lit(1))) == "x"
-        number = F.when(
-            hexa, F.conv(F.substr(body, F.lit(3), F.lit(8)), 16, 10).cast("int")
-        ).otherwise(F.try_to_number(F.substr(body, F.lit(2), F.lit(8)), F.lit("9999999")).cast("int"))
-        # Code point -> text through its UTF-32BE bytes.
-        usable = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        code = F.when(usable, number).otherwise(0xFFFD)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        named = F.coalesce(F.try_element_at(names, body), ref)
-        return F.when(F.substr(body, F.lit(1), F.lit(1)) == "#", F.coalesce(char, ref)).otherwise(named)
-
-    decoded = F.transform(found, decode)
-    pieces = F.zip_with(plain, decoded, lambda p, d: F.concat(p, F.coalesce(d, F.lit(""))))
-    return F.when(c.contains("&"), F.array_join(pieces, "")).otherwise(c)
+    """Decode all character references of HTML, also those without a semicolon.
+
+    The table of names is the standard library's; only texts with an ampersand reach it.
+    """
+    return F.coalesce(_references(F.when(c.contains("&"), c)), c)
 
 
 def plain_text(c: Column, max_length: int | None = None) -> Column:
@@ -66,7 +49,8 @@ def injection_suspected(plain: Column) -> Column:
 
 
 def _encode(c: Column) -> Column:
-    return F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A"))
+    plain = F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A"))
+    return F.replace(plain, F.lit("%7E"), F.lit("~"))
 
 
 def normalize_url(c: Column) -> Column:
@@ -87,7 +71,10 @@ def normalize_url(c: Column) -> Column:
             F.regexp_extract(kv, "^[^=]*=(.*)$", 1).alias("v"),
         ),
     )
-    decode = lambda x: F.coalesce(F.try_url_decode(x), x)
+    # A text with a bad escape stays as it is, but for its plus signs.
+    decode = lambda x: F.coalesce(
+        F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" "))
+    )
     kept = F.filter(
         pairs, lambda p: (p["v"] != "") & ~F.lower(decode(p["k"])).startswith("utm_")
     )
@@ -121,11 +108,37 @@ def redact_map(details: Column) -> Column:
     )
 
 
+_SECRET_KEY = re.compile(r'"(?:' + "|".join(AUDIT_SECRETS) + r')"\s*:\s*', re.I)
+_SCALAR = re.compile(r'"(?:[^"\\]|\\.)*"|[^\s,\]}"{\[]+')
+_BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]')
+
+
+def _value_end(text: str, at: int) -> int:
+    """Where the JSON value that starts at ``at`` ends; the text's end if it is never closed."""
+    if text[at : at + 1] not in ("{", "["):
+        m = _SCALAR.match(text, at)
+        return m.end() if m else at
+    depth = 0
+    for m in _BRACKETS.finditer(text, at):
+        depth += {"{": 1, "[": 1, "}": -1, "]": -1}.get(m[0], 0)
+        if not depth:
+            return m.end()
+    return len(text)
+
+
+def redact_text(text: str) -> str:
+    out, at = [], 0
+    while m := _SECRET_KEY.search(text, at):
+        out += [text[at : m.end()], '"[REDACTED]"']
+        at = _value_end(text, m.end())
+    return "".join([*out, text[at:]])
+
+
+@F.pandas_udf(T.StringType())
+def _redacted(text: pd.Series) -> pd.Series:
+    return text.map(redact_text, na_action="ignore")
+
+
 def redact_json(text: Column) -> Column:
-    """Mask secret string, number, boolean or null members at any depth of a JSON text."""
-    keys = "|".join(AUDIT_SECRETS)
-    return F.regexp_replace(
-        text,
-        rf'(?i)("(?:{keys})"\s*:\s*)("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null)',
-        r'$1"[REDACTED]"',
-    )
+    """Mask the whole value of secret members at any depth of a JSON text, objects and lists too."""
+    return _redacted(text)

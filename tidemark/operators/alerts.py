@@ -77,9 +77,10 @@ def expire_leases(runs: DataFrame, now: Column, lease_seconds: int = 720) -> Dat
     late = (F.col("status") == "RUNNING") & (
         now - F.col("started_at") > F.expr(f"make_dt_interval(0, 0, 0, {lease_seconds})")
     )
+    stored = F.col("error_code") if "error_code" in runs.columns else F.lit(None).cast("string")
     return runs.withColumns(
         {
-            "error_code": F.when(late, "TASK_LEASE_EXPIRED"),
+            "error_code": F.when(late, "TASK_LEASE_EXPIRED").otherwise(stored),
             "status": F.when(late, "FAILED").otherwise(F.col("status")),
         }
     )
@@ -88,18 +89,24 @@ def expire_leases(runs: DataFrame, now: Column, lease_seconds: int = 720) -> Dat
 def acknowledge(alerts: DataFrame, acks: DataFrame) -> DataFrame:
     """First acknowledgement of each intact alert; repeats change nothing."""
     first = acks.groupBy("alert_id").agg(
-        F.min("acked_at").alias("acknowledged_at"),
-        F.min_by("actor", F.struct("acked_at", "actor")).alias("acknowledged_by"),
+        F.min("acked_at").alias("_at"),
+        F.min_by("actor", F.struct("acked_at", "actor")).alias("_by"),
     )
     joined = alerts.join(first, "alert_id", "left")
-    taken = F.col("content_ok") & F.col("acknowledged_at").isNotNull()
+    kept = lambda c, kind: (
+        F.col(c) if c in alerts.columns else F.lit(None).cast(kind)
+    )
+    at = kept("acknowledged_at", first.schema["_at"].dataType)
+    by = kept("acknowledged_by", first.schema["_by"].dataType)
+    # What is stored came first, whatever is offered again.
+    taken = F.col("content_ok") & F.col("_at").isNotNull() & at.isNull()
     return joined.withColumns(
         {
             "status": F.when(taken, "ACKNOWLEDGED").otherwise(F.col("status")),
-            "acknowledged_by": F.when(taken, F.col("acknowledged_by")),
-            "acknowledged_at": F.when(taken, F.col("acknowledged_at")),
+            "acknowledged_by": F.when(taken, F.col("_by")).otherwise(by),
+            "acknowledged_at": F.when(taken, F.col("_at")).otherwise(at),
         }
-    )
+    ).drop("_at", "_by")
 
 
 def local_day(time: str, zone: str) -> Column:

@@ -13,7 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.clocks import execution_mask, known_at, minutes
+from tidemark.functions.clocks import (
+    CLOCKS, any_missing, execution_mask, known_at, minutes, require_clocks,
+)
 from tidemark.functions.scalars import is_finite
 from tidemark.operators.crosssection import capped_weights, percentile_rank
 from tidemark.operators.ordered import Running, asof, frames, month, ordinals, running
@@ -42,9 +44,13 @@ def visibility(facts: DataFrame, times: DataFrame, delay_minutes: float) -> Data
 
     A fact is usable at time t when event_time <= t and known_at <= t + delay. Facts known in time
     enter at their own event time; only late ones look up the next decision time. Facts that never
-    become usable are dropped.
+    become usable are dropped. A fact with a missing clock has no time at which it is usable for certain;
+    it fails the job rather than leak.
     """
-    need = F.greatest(F.col("event_time"), known_at() - minutes(delay_minutes))
+    require_clocks(facts, CLOCKS)
+    need = F.when(
+        any_missing(CLOCKS), F.raise_error(F.lit("a fact lacks one of its clocks")).cast("timestamp")
+    ).otherwise(F.greatest(F.col("event_time"), known_at() - minutes(delay_minutes)))
     tagged = facts.withColumn("_need", need)
     late = F.col("_need") > F.col("event_time")
     prompt = tagged.filter(~late).join(times.withColumnRenamed("idx", "enter"), "event_time")

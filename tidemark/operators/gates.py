@@ -18,12 +18,23 @@ from tidemark.settings import DATA_MODES, PURPOSE_RIGHTS
 
 
 def reasons(*rules: tuple[str, Column]) -> Column:
-    """Codes of the rules that hold, in order and without repeats."""
+    """Codes of the rules that hold or can't be decided, in order and without repeats.
+
+    A condition that is NULL counts as holding, so that missing values block; rules on optional fields say so
+    with ``optional``.
+    """
     return F.array_distinct(
-        F.array_compact(F.array(*[F.when(cond, F.lit(code)) for code, cond in rules]))
+        F.array_compact(
+            F.array(*[F.when(F.coalesce(cond, F.lit(True)), F.lit(code)) for code, cond in rules])
+        )
     )
 
 
+def optional(cond: Column) -> Column:
+    """A rule on a field that may be missing: NULL doesn't block."""
+    return F.coalesce(cond, F.lit(False))
+
+
 def unclear(scope: Column) -> Column:
     return F.coalesce((scope == "") | F.upper(scope).contains("UNCLEAR"), F.lit(True))
 
@@ -113,15 +124,16 @@ def bar_summary(bars: DataFrame) -> DataFrame:
     def ends(c: str) -> list[Column]:
         if c not in bars.columns:
             return [F.lit(None).cast("string").alias(f"{c}_min"),
-                    F.lit(None).cast("string").alias(f"{c}_max")]
-        return [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
+                    F.lit(None).cast("string").alias(f"{c}_max"), F.lit(0).alias(f"{c}_nulls")]
+        return [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"),
+                F.count_if(F.col(c).isNull()).alias(f"{c}_nulls")]
 
     return bars.groupBy("instrument_id").agg(
         F.count("*").alias("bar_count"),
         *ends("provider"),
         *ends("license_scope"),
         *ends("data_mode"),
-        F.bool_or(~F.col("data_mode").isin(*DATA_MODES)).alias("mode_unknown"),
+        F.bool_or(~F.coalesce(F.col("data_mode").isin(*DATA_MODES), F.lit(False))).alias("mode_unknown"),
         F.max("available_at").alias("last_available"),
         F.max("event_time").alias("last_event"),
         F.max("as_of").alias("last_as_of"),
@@ -164,7 +176,10 @@ def signal_risk(
     has = c("bar_count").isNotNull()
 
     def mismatch(name: str) -> Column:
-        same = (c(f"{name}_min") == snapshot[name]) & (c(f"{name}_max") == snapshot[name])
+        same = (
+            (c(f"{name}_min") == snapshot[name]) & (c(f"{name}_max") == snapshot[name])
+            & (c(f"{name}_nulls") == 0)
+        )
         return has & ~F.coalesce(same, F.lit(False))
 
     invalid = F.coalesce(c("time_invalid"), F.lit(False))
@@ -189,7 +204,8 @@ def signal_risk(
         ("DATA_MODE_MISMATCH", mismatch("data_mode")),
         ("INVALID_DATA_MODE", has & F.coalesce(c("mode_unknown"), F.lit(False))),
         ("INVALID_FACT_TIME", has & invalid),
-        ("FUTURE_FACT_TIME", has & ((c("last_event") > now) | (c("last_as_of") > now))),
+        # Missing times are INVALID_FACT_TIME already.
+        ("FUTURE_FACT_TIME", has & optional((c("last_event") > now) | (c("last_as_of") > now))),
         ("DATA_STALE", has & old),
         ("INVALID_PRICE", has & ~F.coalesce(c("last_close") > 0, F.lit(False))),
         ("SPREAD_TOO_WIDE_OR_UNKNOWN", has & ~F.coalesce(c("last_spread") <= 25, F.lit(False))),
@@ -205,12 +221,14 @@ def signal_risk(
 def model_rules(data_mode: Column) -> Column:
     """Codes for a row of the model table (name, version, feature_version, status, scope ...)."""
     c = F.col
-    demo = data_mode == "DEMO_FIXTURE"
-    unexpected = (c("model_name") != "RuleBasedV1") | (c("version") != "1.0.0")
+    demo = data_mode.eqNullSafe("DEMO_FIXTURE")
+    unexpected = ~(c("model_name").eqNullSafe("RuleBasedV1") & c("version").eqNullSafe("1.0.0"))
     detail = F.array_compact(
         F.array(
-            F.when(c("feature_version") != "rule-features-v1", "MODEL_FEATURE_VERSION_UNEXPECTED"),
-            F.when(c("status") != "EXPERIMENTAL", F.concat(F.lit("MODEL_STATUS_"), c("status"))),
+            F.when(~c("feature_version").eqNullSafe("rule-features-v1"),
+                   "MODEL_FEATURE_VERSION_UNEXPECTED"),
+            F.when(~c("status").eqNullSafe("EXPERIMENTAL"),
+                   F.concat(F.lit("MODEL_STATUS_"), F.coalesce(c("status"), F.lit("MISSING")))),
             F.when(demo & ~c("governance_scope").eqNullSafe("DEMO_FIXTURE_ONLY"),
                    "MODEL_GOVERNANCE_SCOPE_INVALID"),
             F.when(demo & ~c("real_data_candidate_gate").eqNullSafe("BLOCKED"),
@@ -312,14 +330,14 @@ def event_gate(
         ("EVENT_NOT_SCHEDULED", c("status") != "SCHEDULED"),
         ("EVENT_REVISION_NOT_CURRENT", ~c("is_current")),
         ("NOT_YET_PUBLICLY_ANNOUNCED", c("first_announced_at") > now),
-        ("PUBLISHED_IN_FUTURE", c("published_at") > now),
+        ("PUBLISHED_IN_FUTURE", optional(c("published_at") > now)),
         ("NOT_YET_FIRST_SEEN", c("first_seen_at") > now),
         ("NOT_YET_AVAILABLE", c("available_at") > now),
         ("AS_OF_IN_FUTURE", c("as_of") > now),
         ("INGESTED_IN_FUTURE", c("ingested_at") > now),
         ("ANNOUNCEMENT_AFTER_EVENT", c("first_announced_at") > c("scheduled_at")),
         ("FIRST_SEEN_BEFORE_ANNOUNCEMENT", c("first_announced_at") > c("first_seen_at")),
-        ("FIRST_SEEN_BEFORE_PUBLISHED", c("published_at") > c("first_seen_at")),
+        ("FIRST_SEEN_BEFORE_PUBLISHED", optional(c("published_at") > c("first_seen_at"))),
         ("AVAILABLE_BEFORE_FIRST_SEEN", c("first_seen_at") > c("available_at")),
         ("AVAILABLE_BEFORE_AS_OF", c("as_of") > c("available_at")),
         ("INGESTED_BEFORE_AVAILABLE", c("available_at") > c("ingested_at")),

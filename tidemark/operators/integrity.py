@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import NULL_MARK, row_hash
+from tidemark.functions.hashing import NULL_MARK, escaped, row_hash
 
 # Hex digits of the leaf groups and of the levels above; every step up has at most 256 children.
 LEVELS = (6, 4, 2, 0)
@@ -89,7 +89,7 @@ def policy_hash(
     )
     parts = ["sha256", "_master", "_rights", *others]
     joined = snapshots.join(master, "provider", "left").join(rights, "provider", "left")
-    texts = [F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in parts]
+    texts = [escaped(F.col(c)) for c in parts]
     return joined.select(
         "provider", F.sha2(F.concat_ws("\x1f", *texts, F.lit(settings)), 256).alias("policy_hash"),
         F.col("items").alias("instruments"),
@@ -132,7 +132,7 @@ AUDIT_FIELDS = ("event_type", "object_type", "object_id", "actor", "trace_id", "
 
 
 def _payload(previous: Column) -> Column:
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in AUDIT_FIELDS]
+    fields = [escaped(F.col(c)) for c in AUDIT_FIELDS]
     return F.concat_ws("\x1f", *fields, F.coalesce(previous, F.lit(NULL_MARK)))
 
 
@@ -156,7 +156,7 @@ def chain_records(df: DataFrame) -> DataFrame:
     ``chain`` names an append batch. A batch is bounded by its writer (at most a thousand records),
     which is what makes the inherently sequential step safe to run per group.
     """
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in AUDIT_FIELDS]
+    fields = [escaped(F.col(c)) for c in AUDIT_FIELDS]
     slim = df.select("chain", "sequence", F.concat_ws("\x1f", *fields).alias("body"))
     linked = slim.groupBy("chain").applyInPandas(
         _link, "chain bigint, sequence bigint, previous_hash string, record_hash string"

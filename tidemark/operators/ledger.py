@@ -285,6 +285,17 @@ def corporate_action_entries(
     )
     if booked_keys is None:
         return rows
+    if "revision" in booked_keys.columns:
+        # An action that was booked under another revision must not be dropped in silence.
+        stored = booked_keys.select("idempotency_key", F.col("revision").alias("_booked")).distinct()
+        rows = rows.join(stored, "idempotency_key", "left")
+        clash = F.col("_booked").isNotNull() & ~F.col("_booked").eqNullSafe(F.col("revision"))
+        rows = rows.withColumn(
+            "revision",
+            F.when(clash, F.raise_error(F.lit("corporate action was booked under another revision")))
+            .otherwise(F.col("revision")),
+        ).filter(F.col("_booked").isNull() | clash).drop("_booked")
+        return rows
     return rows.join(booked_keys.select("idempotency_key"), "idempotency_key", "left_anti")
 
 
@@ -315,6 +326,10 @@ ALLOCATION_SCHEMA = (
 )
 
 
+#: What becomes of a candidate whose portfolio has no book.
+NO_BOOK = (None, 0.0, "NO_BOOK", 0.0, None, 0.0, 0.0)
+
+
 class _Book:
     """Weights, caps, turnover and cash of one portfolio while its candidates pass by."""
 
@@ -395,11 +410,13 @@ def allocate(candidates: DataFrame, books: DataFrame, limits) -> DataFrame:
     Each acceptance changes what the next candidate may take, so a portfolio's candidates are
     streamed in order through one pass that keeps only the book, never the candidates. Candidates
     that no book could accept are decided before the shuffle and skip the ordered pass.
-    ``books`` has one row per portfolio with nav, cash and its current holdings.
+    ``books`` has one row per portfolio with nav, cash and its current holdings; candidates of a portfolio
+    without a book come out as NO_BOOK, so as many rows leave as enter.
     """
     c = F.col
-    hopeless = (c("news_score") <= -limits.news_threshold) | (
-        F.least("risk_budget_max", F.lit(limits.single_cap)) <= 1e-9
+    # Two-valued: a candidate without a news score or a budget is refused, not lost.
+    hopeless = F.coalesce(c("news_score") <= -limits.news_threshold, F.lit(True)) | (
+        F.coalesce(F.least(c("risk_budget_max"), F.lit(limits.single_cap)), F.lit(0.0)) <= 1e-9
     )
     columns = ["portfolio_id", "decided_at", "signal_id", "instrument_id", "asset_class",
                "industry", "region", "composite_score", "risk_budget_max", "news_score", "open",
@@ -420,15 +437,17 @@ def allocate(candidates: DataFrame, books: DataFrame, limits) -> DataFrame:
     )
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        book = None
+        book = key = None
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False, name="Row"):
-                row = row._replace() if hasattr(row, "_replace") else row
-                if getattr(row, "kind", None) == 0:
+                if key != (own := (row.portfolio_id, row.decided_at)):
+                    key, book = own, None
+                if row.kind == 0:
                     book = _Book(row, limits)
-                elif book is not None:
-                    out.append((row.portfolio_id, row.decided_at, row.signal_id, *book.decide(row)))
+                    continue
+                what = NO_BOOK if book is None else book.decide(row)
+                out.append((row.portfolio_id, row.decided_at, row.signal_id, *what))
             names = [x.split()[0] for x in ALLOCATION_SCHEMA.split(", ")]
             yield pd.DataFrame(out, columns=names)
 

@@ -53,16 +53,19 @@ def fact_rules(df: DataFrame) -> dict[str, Column]:
 
 
 def calendar_rules() -> dict[str, Column]:
+    """A missing value breaks the rules on it, but for ``published_at``, which is optional."""
     c = F.col
-    return {
+    needed = {
         "event_time_not_scheduled": c("event_time") != c("scheduled_at"),
         "first_seen_before_announced": c("first_announced_at") > c("first_seen_at"),
-        "first_seen_before_published": c("published_at") > c("first_seen_at"),
         "available_before_first_seen": c("first_seen_at") > c("available_at"),
         "available_before_as_of": c("as_of") > c("available_at"),
         "ingested_before_available": c("available_at") > c("ingested_at"),
         "status_unknown": ~c("status").isin("SCHEDULED", "CANCELLED", "POSTPONED"),
     }
+    rules = {name: F.coalesce(rule, F.lit(True)) for name, rule in needed.items()}
+    late = F.coalesce(c("published_at") > c("first_seen_at"), F.lit(False))
+    return rules | {"first_seen_before_published": late}
 
 
 def range_rules(bounds: dict[str, tuple[float, float]]) -> dict[str, Column]:

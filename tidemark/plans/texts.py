@@ -417,7 +417,7 @@ def _backfill_alerts(t):
 # ------------------------------------------------------------------ fingerprints
 
 ROW_SQL = """
-rh AS (SELECT sha256(CAST(CAST(round(close, 6) AS DECIMAL(38,6)) AS VARCHAR) || chr(31)
+rh AS (SELECT sha256(CAST(close AS VARCHAR) || chr(31)
          || strftime(event_time, '%Y-%m-%dT%H:%M:%S.%f') || chr(31) || instrument_id || chr(31)
          || revision) AS h FROM bars),
 l0 AS (SELECT h AS key, count(*) AS n, h || '*' || count(*) AS text FROM rh GROUP BY h),
