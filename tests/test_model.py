@@ -71,3 +71,18 @@ def test_calibration_error_edges(spark):
     df = spark.createDataFrame(pd.DataFrame({"p": p, "label": y}))
     got = model.calibration_error(df.withColumn("x", F.lit(0))).first()[0]
     assert got == pytest.approx(error, abs=2e-2)
+
+
+def test_separable_scores_converge(spark):
+    """Forty separable rows with scores up to 50, beside a group that needs a few steps only."""
+    rows = [(0, float(x), int(x > 3)) for x in np.linspace(-50, 50, 40)]
+    rows += [(1, float(x), int(x > 0) ^ int(i % 5 == 0)) for i, x in enumerate(np.linspace(-2, 2, 60))]
+    df = spark.createDataFrame(rows, "k long, score double, label int")
+    got = model.fit_logistic(df, ["k"], ["score"], 1.0, residual=True).collect()
+    assert len(got) == 2
+    for row in got:
+        x = np.array([[r[1], 1.0] for r in rows if r[0] == row.k])
+        y = np.array([r[2] for r in rows if r[0] == row.k])
+        beta = np.array(row.beta)
+        slope = x.T @ (1 / (1 + np.exp(-np.clip(x @ beta, -500, 500))) - y) + np.array([beta[0], 1e-12 * beta[1]])
+        assert np.abs(slope).max() < 1e-4 and row.slope <= 1e-7

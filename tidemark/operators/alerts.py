@@ -39,11 +39,18 @@ def once_per_window(attempts: DataFrame, time: str, ok: str, hours: int) -> Data
     )
 
 
-def schedule_state(runs: DataFrame, keys: list[str], now: Column, hours: int) -> DataFrame:
-    """NOT_RUN, FAILED, OVERDUE or CURRENT from the latest run of each task."""
+def schedule_state(
+    runs: DataFrame, keys: list[str], now: Column, hours: int, roster: DataFrame | None = None
+) -> DataFrame:
+    """NOT_RUN, FAILED, OVERDUE or CURRENT from the latest run of each task.
+
+    ``roster`` names the tasks that should run; without it only tasks that ran are known.
+    """
     last = runs.groupBy(*keys).agg(
         F.max_by(F.struct("status", "completed_at"), F.struct("started_at", "run_id")).alias("_l")
     )
+    if roster is not None:
+        last = roster.select(*keys).distinct().join(last, keys, "left")
     done = F.col("_l.completed_at")
     state = (
         F.when(F.col("_l").isNull(), "NOT_RUN")
@@ -65,11 +72,14 @@ def failure_episodes(runs: DataFrame, keys: list[str], bucket: Column) -> DataFr
     )
     episode = marked.filter(failed)
     first = episode.groupBy(*keys, "_ok").agg(F.min(F.struct(*order)).alias("_first"))
-    # Null-safe on the last success: failures before any success form one episode too.
-    marker = F.coalesce(F.to_json("_ok"), F.lit("-"))
-    left = episode.withColumn("_m", marker)
-    right = first.select(*keys, marker.alias("_m"), c("_first.run_id").alias("episode"))
-    return left.join(right, [*keys, "_m"]).drop("_m", "_ok")
+    # Joined on whether and after which success: failures before any success form one episode too.
+    after = lambda df: df.withColumns(
+        {"_m0": c("_ok").isNotNull(), "_m1": F.coalesce(c("_ok.started_at"), F.to_timestamp(F.lit("1970-01-01")).cast(kind)),
+         "_m2": F.coalesce(c("_ok.run_id"), F.lit(0).cast(number))}
+    )
+    kind, number = (runs.schema[n].dataType for n in ("started_at", "run_id"))
+    right = after(first).select(*keys, "_m0", "_m1", "_m2", c("_first.run_id").alias("episode"))
+    return after(episode).join(right, [*keys, "_m0", "_m1", "_m2"]).drop("_m0", "_m1", "_m2", "_ok")
 
 
 def expire_leases(runs: DataFrame, now: Column, lease_seconds: int = 720) -> DataFrame:

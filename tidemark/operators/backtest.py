@@ -54,11 +54,13 @@ def visibility(facts: DataFrame, times: DataFrame, delay_minutes: float) -> Data
     tagged = facts.withColumn("_need", need)
     late = F.col("_need") > F.col("event_time")
     prompt = tagged.filter(~late).join(times.withColumnRenamed("idx", "enter"), "event_time")
-    moved = asof(
-        tagged.filter(late),
+    # Only the distinct times look up a decision time; however many facts share one, they join it.
+    entered = asof(
+        tagged.filter(late).select("_need").distinct(),
         times.select(F.col("event_time").alias("_at"), F.col("idx").alias("enter")),
         [], "_need", "_at", ["enter"], forward=True,
     ).filter(F.col("enter").isNotNull())
+    moved = tagged.filter(late).join(entered.select("_need", "enter"), "_need")
     return prompt.select(*facts.columns, "enter").unionByName(
         moved.select(*facts.columns, "enter")
     )

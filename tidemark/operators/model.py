@@ -151,51 +151,82 @@ def walk_forward(
     )
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _newton_step(beta: pd.Series, gradient: pd.Series, hessian: pd.Series) -> pd.Series:
-    """Solve one small system per group: beta - H^-1 g, with H given by its upper triangle."""
+_POINT = T.ArrayType(T.DoubleType())
+_STATE = T.StructType(
+    [T.StructField("beta", _POINT), T.StructField("best", _POINT), T.StructField("slope", T.DoubleType())]
+)
+
+
+@F.pandas_udf(_STATE)
+def _newton_step(
+    beta: pd.Series, best: pd.Series, slope: pd.Series, gradient: pd.Series, hessian: pd.Series,
+    rows: pd.Series,
+) -> pd.DataFrame:
+    """One small system per group: the Newton step from a point that lowered the gradient, else half
+    the way back to the best point. H is given by its upper triangle."""
     out = []
-    for b, g, h in zip(beta, gradient, hessian):
+    for b, old, s, g, h, n in zip(beta, best, slope, gradient, hessian, rows):
+        b, old, g = np.asarray(b), np.asarray(old), np.asarray(g)
+        now = float(np.abs(g).max()) / max(n, 1)
+        if not now < s:
+            out.append(((b + old) / 2, old, s))
+            continue
         full = np.zeros((len(b), len(b)))
         full[np.triu_indices(len(b))] = h
         full = full + np.triu(full, 1).T
-        out.append(np.asarray(b) - np.linalg.solve(full, np.asarray(g)))
-    return pd.Series(out)
+        out.append((b - np.linalg.solve(full, g), b, now))
+    return pd.DataFrame(out, columns=["beta", "best", "slope"])
 
 
 def fit_logistic(
-    rows: DataFrame, keys: list[str], features: list[str], strength: float, steps: int = 7
+    rows: DataFrame, keys: list[str], features: list[str], strength: float, steps: int = 7,
+    tolerance: float = 1e-7, rounds: int = 12, residual: bool = False,
 ) -> DataFrame:
     """L2-regularised logistic regression per group by Newton steps: ``beta``, intercept last.
 
     A step is one aggregation: gradient and Hessian are sums that combine map-side, so a group may
     hold any number of rows. Only the solution of the small system sees a group as one row. The
-    intercept is not penalised.
+    intercept is not penalised. Steps that don't lower the largest gradient a row are halved; after
+    every ``steps`` of them the largest left of any group, one number, decides on another round.
+    ``residual`` adds it per group as ``slope``.
     """
     size = len(features) + 1
     x = [F.col(f) for f in features] + [F.lit(1.0)]
     penalty = [1.0 / strength] * len(features) + [1e-12]
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    beta = rows.select(*keys).distinct().withColumn("beta", F.array(*[F.lit(0.0)] * size))
-    for _ in range(steps):
-        b = [F.col("beta")[i] for i in range(size)]
-        score = sum((v * w for v, w in zip(x[1:], b[1:])), x[0] * b[0])
-        bounded = F.least(F.greatest(score, F.lit(-500.0)), F.lit(500.0))
-        scored = rows.join(beta, keys).withColumn("_p", logistic(bounded, 1.0)).withColumns(
-            {"_e": F.col("_p") - F.col("label"), "_w": F.col("_p") * (1 - F.col("_p"))}
-        )
-        sums = scored.groupBy(*keys).agg(
-            F.first("beta").alias("beta"),
-            *[F.sum(F.col("_e") * x[i]).alias(f"_g{i}") for i in range(size)],
-            *[F.sum(F.col("_w") * x[i] * x[j]).alias(f"_h{i}_{j}") for i, j in pairs],
-        )
-        gradient = F.array(*[F.col(f"_g{i}") + penalty[i] * F.col("beta")[i] for i in range(size)])
-        hessian = F.array(
-            *[F.col(f"_h{i}_{j}") + (penalty[i] if i == j else 0.0) for i, j in pairs]
-        )
-        beta = sums.select(*keys, _newton_step(F.col("beta"), gradient, hessian).alias("beta"))
-    # The steps form one job; each reads the rows once and depends only on the step before.
-    return cut_lineage(beta)
+    zero = F.array(*[F.lit(0.0)] * size)
+    state = rows.select(*keys).distinct().withColumns(
+        {"beta": zero, "best": zero, "slope": F.lit(float("inf"))}
+    )
+    kept = ("beta", "best", "slope")
+    for _ in range(rounds):
+        for _ in range(steps):
+            b = [F.col("beta")[i] for i in range(size)]
+            score = sum((v * w for v, w in zip(x[1:], b[1:])), x[0] * b[0])
+            bounded = F.least(F.greatest(score, F.lit(-500.0)), F.lit(500.0))
+            scored = rows.join(state, keys).withColumn("_p", logistic(bounded, 1.0)).withColumns(
+                {"_e": F.col("_p") - F.col("label"), "_w": F.col("_p") * (1 - F.col("_p"))}
+            )
+            sums = scored.groupBy(*keys).agg(
+                *[F.first(c).alias(c) for c in kept], F.count("*").alias("_n"),
+                *[F.sum(F.col("_e") * x[i]).alias(f"_g{i}") for i in range(size)],
+                *[F.sum(F.col("_w") * x[i] * x[j]).alias(f"_h{i}_{j}") for i, j in pairs],
+            )
+            gradient = F.array(
+                *[F.col(f"_g{i}") + penalty[i] * F.col("beta")[i] for i in range(size)]
+            )
+            hessian = F.array(
+                *[F.col(f"_h{i}_{j}") + (penalty[i] if i == j else 0.0) for i, j in pairs]
+            )
+            moved = _newton_step(*[F.col(c) for c in kept], gradient, hessian, F.col("_n"))
+            state = sums.select(*keys, moved.alias("_s")).select(*keys, "_s.*")
+        # The steps of a round form one job; each reads the rows once, after the step before.
+        state = cut_lineage(state)
+        left = state.agg(F.max("slope")).first()[0]
+        if left is None or left <= tolerance:
+            break
+    out = state.select(*keys, F.col("best").alias("beta"), *(["slope"] if residual else []))
+    return out
 
 
 def evaluate_per_instrument(assigned: DataFrame) -> DataFrame:
