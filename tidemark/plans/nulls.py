@@ -1,15 +1,19 @@
-"""The gates on tables with missing values: each must refuse, whatever is missing."""
+"""The gates on tables with missing values, where each must refuse; a back-fill and a report order."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.clocks import point_in_time_slice
-from tidemark.operators import gates, validate
+from tidemark.operators import gates, reports, validate
 from tidemark.plans import views
 from tidemark.plans.gating import NOW, REQUEST_SQL, events, requests
-from tidemark.plans.market import CUT
+from tidemark.plans.market import CUT, stamp
 from tidemark.plans.registry import query
+from tidemark.sources import snapshots
 
 
 @query(
@@ -109,3 +113,44 @@ def _null_calendar_contract(t):
         "available_at": F.when(day != 5, F.col("available_at")), "published_at": F.when(day != 6, F.col("published_at")),
     })
     return validate.count_violations(rows, validate.calendar_rules()).select("rule", "violations")
+
+
+@query(
+    "backfill_signals", "A-16",
+    """SELECT event_id AS signal_id,
+         strftime(CASE WHEN event_id % 3 <> 0 THEN ts ELSE ts + INTERVAL '1' HOUR END, '%Y-%m-%d %H:%M:%S') AS recorded_at,
+         CASE WHEN event_id % 4 = 0 THEN TRUE ELSE event_id % 2 = 0 END AS is_current
+       FROM events""",
+)
+def _backfill_signals(t):
+    key, at = F.col("event_id"), F.col("ts").cast("timestamp")
+    old = t.events.select(
+        key.alias("signal_id"), at.alias("seen_at"), F.when(key % 3 != 0, at).alias("recorded_at"),
+        F.when(key % 4 != 0, key % 2 == 0).alias("is_current"),
+    )
+    out = snapshots.backfill_signals(old, F.col("seen_at") + F.expr("make_dt_interval(0, 1)"))
+    return out.select("signal_id", stamp("recorded_at"), "is_current")
+
+
+@query(
+    "report_order", "G-09",
+    """WITH s AS (SELECT s_suppkey AS signal_id, s_name AS name, s_acctbal AS composite_score,
+           abs(s_acctbal) / 20000 AS probability FROM supplier),
+       o AS (SELECT signal_id, row_number() OVER (ORDER BY composite_score DESC, signal_id) AS a,
+           row_number() OVER (ORDER BY probability DESC, signal_id) AS b,
+           row_number() OVER (ORDER BY name, signal_id) AS c, row_number() OVER (ORDER BY signal_id) AS d FROM s)
+       SELECT 'score-desc' AS chosen, signal_id FROM o WHERE a <= 10
+       UNION ALL SELECT 'probability-desc', signal_id FROM o WHERE b <= 10
+       UNION ALL SELECT 'name-asc', signal_id FROM o WHERE c <= 10
+       UNION ALL SELECT 'default', signal_id FROM o WHERE d <= 10""",
+)
+def _report_order(t):
+    rows = t.supplier.select(
+        F.col("s_suppkey").alias("signal_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("composite_score"),
+        (F.abs("s_acctbal") / 20000).alias("probability"),
+    )
+    tops = [
+        reports.arrange(rows, by, "signal_id").limit(10).select(F.lit(by).alias("chosen"), "signal_id")
+        for by in ("score-desc", "probability-desc", "name-asc", "default")
+    ]
+    return reduce(DataFrame.unionByName, tops)
