@@ -16,6 +16,7 @@ read whole, in time proportional to its length. Only id, url and html are read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -109,9 +110,12 @@ def blocks_of(html: str) -> list[Block]:
             pieces.clear()
         linked, item = 0, False
 
+    standing: Counter = Counter()  # open elements by name, so that a stray end tag costs nothing
+
     def close(at: int):
         nonlocal hidden, articles, links
         for name, out_, article in open_[at:]:
+            standing[name] -= 1
             hidden -= out_
             articles -= article
             links -= name == "a"
@@ -153,6 +157,8 @@ def blocks_of(html: str) -> list[Block]:
                 pieces.append(" ")
             continue
         if m[1]:
+            if not standing[name]:
+                continue
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
                     close(k)
@@ -172,6 +178,7 @@ def blocks_of(html: str) -> list[Block]:
         gone = is_left_out(name, m[3], articles > 0)
         article = name in ("article", "main") and not gone and not hidden
         open_.append((name, gone, article))
+        standing[name] += 1
         hidden += gone
         articles += article
         links += name == "a"

@@ -175,10 +175,13 @@ def substring_report(
     k_id, k_text = row_key(id_col, text_col)
     docs = df.select(k_id, k_text, column(text_col).cast("string").alias("text"))
     narrow = cut_lineage(digests(docs))
-    lowest = narrow.groupBy("whole").agg(F.min("k_id").alias("lowest"))
-    narrow = cut_lineage(
-        narrow.join(lowest, "whole").withColumn("copy", (F.col("k_id") > F.col("lowest")) & (F.col("n_words") >= window)).drop("lowest").distinct()
+    # Written out, so that the join below is one of plain tables, in which a large group of copies is split.
+    lowest = cut_lineage(
+        narrow.groupBy("whole").agg(F.min("k_id").alias("lowest"), F.max("k_id").alias("highest"))
+        .where("lowest < highest").drop("highest")
     )
+    copy = F.coalesce(F.col("k_id") > F.col("lowest"), F.lit(False)) & (F.col("n_words") >= window)
+    narrow = cut_lineage(narrow.join(lowest, "whole", "left").withColumn("copy", copy).drop("lowest").distinct())
     near = shared(anchors(docs, window)).groupBy(F.col("doc").alias("k_text")).agg(F.collect_set("pos").alias("at"))
     near = near.join(narrow.where("not copy").select("k_id", "k_text"), "k_text")
     near = cut_lineage(docs.join(near, ["k_id", "k_text"]))
