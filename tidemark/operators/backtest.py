@@ -306,13 +306,23 @@ def daily_flows(traded: DataFrame, fee_bps: float, slippage_bps: float) -> DataF
     )
 
 
-def strategy_series(flows: DataFrame, times: DataFrame) -> DataFrame:
-    """Dense daily series from the first invested step of the model to the last but one time."""
+LEAST_TIMES = 130
+
+
+def strategy_series(flows: DataFrame, times: DataFrame, least: int = LEAST_TIMES) -> DataFrame:
+    """Dense daily series from the first invested step of the model to the last but one time.
+
+    Fewer than ``least`` times, or a model that never invests, fail the job.
+    """
     c = F.col
     start = flows.filter((c("mode") == "model") & (c("largest") > 0)).agg(
         F.min("idx").alias("start")
     ).scalar()
+    idle = F.raise_error(F.lit("the model is never invested")).cast("long")
+    short = F.raise_error(F.lit(f"a backtest needs {least} times or more")).cast("long")
+    start = F.coalesce(start, idle)
     end = times.agg(F.max("idx").alias("last")).scalar()
+    end = F.when(end >= least - 1, end).otherwise(short)
     calendar = times.filter(c("idx") < end).select(
         "idx", "event_time", F.explode(F.array(*[F.lit(m) for m in MODES])).alias("mode")
     )

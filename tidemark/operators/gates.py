@@ -353,6 +353,18 @@ def event_gate(
     return joined.withColumn("gate_reasons", rules).drop("_rs", "_denied")
 
 
+def lookup_by_hash(
+    df: DataFrame, digest: str, registry: DataFrame, columns: Iterable[str], name: str
+) -> DataFrame:
+    """Columns of the registry row whose ``sha256`` is the row's ``digest``, and why there is none."""
+    found = registry.select(F.col("sha256").alias("_sha"), F.struct(*columns).alias("_row"))
+    joined = df.join(found, F.col(digest) == F.col("_sha"), "left")
+    why = F.when(~is_sha256(F.col(digest)), "HASH_INVALID").when(F.col("_sha").isNull(), "NOT_FOUND")
+    return joined.withColumns(
+        {**{c: F.col("_row")[c] for c in columns}, name: why}
+    ).drop("_sha", "_row")
+
+
 # ---------------------------------------------------------------- output gates
 
 

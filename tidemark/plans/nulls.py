@@ -154,3 +154,45 @@ def _report_order(t):
         for by in ("score-desc", "probability-desc", "name-asc", "default")
     ]
     return reduce(DataFrame.unionByName, tops)
+
+
+@query(
+    "news_append", "A-06",
+    """WITH d AS (SELECT sha256(lang || ':' || lower(text)) AS dedupe_hash, sha256(lang) AS record_hash,
+           doc_id % 2 = 0 AS stored FROM documents)
+       SELECT dedupe_hash, record_hash, count(*) FILTER (WHERE stored) AS stored,
+         CASE WHEN bool_or(stored) THEN 0 ELSE 1 END AS appended
+       FROM d GROUP BY 1, 2""",
+)
+def _news_append(t):
+    rows = t.documents.select(
+        "doc_id", F.sha2(F.concat_ws(":", "lang", F.lower("text")), 256).alias("dedupe_hash"),
+        F.sha2("lang", 256).alias("record_hash"),
+    )
+    stored = rows.filter(F.col("doc_id") % 2 == 0).drop("doc_id").withColumn("was", F.lit(1))
+    offered = rows.filter(F.col("doc_id") % 2 != 0).drop("doc_id").withColumn("was", F.lit(0))
+    out = snapshots.apply_upsert(stored, offered, ["dedupe_hash"])
+    return out.groupBy("dedupe_hash", "record_hash").agg(
+        F.count_if(F.col("was") == 1).alias("stored"), F.sum(1 - F.col("was")).cast("int").alias("appended")
+    )
+
+
+@query(
+    "training_lookup", "C-12",
+    """WITH m AS (SELECT p_partkey AS model_id, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 7 = 0
+           THEN 'x' || p_brand ELSE sha256(p_brand) END AS training_hash FROM part),
+       s AS (SELECT sha256(p_brand) AS sha256, p_brand AS snapshot FROM part GROUP BY p_brand HAVING min(p_size) <= 2)
+       SELECT model_id, snapshot, CASE WHEN coalesce(NOT regexp_matches(lower(training_hash), '^[0-9a-f]{64}$'), TRUE)
+         THEN 'HASH_INVALID' WHEN s.sha256 IS NULL THEN 'NOT_FOUND' END AS lookup
+       FROM m LEFT JOIN s ON s.sha256 = m.training_hash""",
+)
+def _training_lookup(t):
+    key, brand = F.col("p_partkey"), F.col("p_brand")
+    models = t.part.select(
+        key.alias("model_id"),
+        F.when(key % 11 == 0, None).when(key % 7 == 0, F.concat(F.lit("x"), brand)).otherwise(F.sha2(brand, 256))
+        .alias("training_hash"),
+    )
+    stored = t.part.groupBy(brand.alias("snapshot")).agg(F.min("p_size").alias("least")).filter("least <= 2")
+    stored = stored.withColumn("sha256", F.sha2("snapshot", 256))
+    return gates.lookup_by_hash(models, "training_hash", stored, ["snapshot"], "lookup").drop("training_hash")

@@ -80,6 +80,21 @@ def classify_upsert(
     return joined.select(*keys, "offered", action.alias("action"))
 
 
+def apply_upsert(
+    existing: DataFrame, candidates: DataFrame, keys: Sequence[str], digest: str = "record_hash"
+) -> DataFrame:
+    """The stored rows and, once each, the new ones; a key offered with other content fails the job."""
+    actions = classify_upsert(existing, candidates, keys, digest)
+    clash = F.raise_error(F.lit("a stored key was offered with other content"))
+    checked = actions.withColumn(
+        "action", F.when(F.col("action") == "CONFLICT", clash).otherwise(F.col("action"))
+    )
+    fresh = checked.filter(F.col("action") == "NEW").select(*keys)
+    return existing.unionByName(
+        candidates.join(fresh, list(keys), "left_semi").dropDuplicates(list(keys))
+    )
+
+
 def supersede(versions: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Mark the newest version per key as current (slowly changing history).
 
