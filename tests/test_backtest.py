@@ -139,7 +139,8 @@ def test_corporate_action_returns(spark):
     assert [r.position_equal for r in rows] == [0.0, 1.0, 1.0]
 
 
-def test_delivery_against_a_plain_loop(spark):
+@pytest.mark.parametrize("cooldown", [240, 3000])
+def test_delivery_against_a_plain_loop(spark, cooldown):
     rng = np.random.default_rng(11)
     n = 900
     pdf = pd.DataFrame({
@@ -148,7 +149,7 @@ def test_delivery_against_a_plain_loop(spark):
             np.sort(rng.integers(0, 6 * 1440, n)), unit="m"),
         "alert_type": rng.choice(["X", "Y"], n), "instrument_id": rng.integers(0, 12, n),
     })
-    limits = Limits(daily_limit=9, cooldown_minutes=240)
+    limits = Limits(daily_limit=9, cooldown_minutes=cooldown)
     got = deliver(spark.createDataFrame(pdf), limits).toPandas().set_index("alert_id")["outcome"]
     want, history = {}, []
     for r in pdf.sort_values(["created_at", "alert_id"]).itertuples():
@@ -156,7 +157,7 @@ def test_delivery_against_a_plain_loop(spark):
         same = [h for h in history if h[0] == r.channel]
         recent = any(
             h[1:3] == (r.alert_type, r.instrument_id) and h[4] in ("SENT", "PENDING")
-            and h[3] >= r.created_at - pd.Timedelta(minutes=240) for h in same
+            and h[3] >= r.created_at - pd.Timedelta(minutes=cooldown) for h in same
         )
         if recent:
             want[r.alert_id] = "COOLDOWN"
@@ -168,4 +169,5 @@ def test_delivery_against_a_plain_loop(spark):
         history.append((r.channel, r.alert_type, r.instrument_id, r.created_at, state))
         want[r.alert_id] = state
     assert got.sort_index().to_dict() == want
-    assert set(want.values()) == {"COOLDOWN", "SUPPRESSED", "PENDING", "SENT"}
+    assert set(want.values()) >= {"COOLDOWN", "PENDING", "SENT"}
+    assert cooldown > 240 or "SUPPRESSED" in want.values()

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.clocks import cutoff, minutes
@@ -193,7 +193,7 @@ def _fold_days(cooldown: int, limit: int):
         def leave():
             live = {s: t for s, t in state.raised.items() if t >= newest - state.cooldown}
             names = sorted(live)
-            return (current[0], None, None, None, current[1] + 1, names, [live[n] for n in names])
+            return (current[0], None, None, None, current[1], names, [live[n] for n in names])
 
         for batch in batches:
             out = []
@@ -226,13 +226,12 @@ def deliver(alerts: DataFrame, limits) -> DataFrame:
     comes first, then quiet hours, and a suppressed alert starts no cooldown.
 
     Outcomes depend on each other in time order. The cap starts afresh every local day, and only
-    the last cooldown of a day reaches into the next. So the days of a channel run in parallel: the
+    the cooldowns alive at the end of a day reach into the next one that has alerts, however long they
+    are. So the days of a channel run in parallel: the
     first pass assumes nothing is carried over, and passes repeat with what each day actually left
     until that no longer changes, which makes the result that of one ordered pass. A busy day uses
     up its cap and leaves nothing, a quiet one little, so few passes are needed.
     """
-    if limits.cooldown_minutes > 24 * 60:
-        raise ValueError("a cooldown of more than a day would skip a whole day")
     nothing = F.lit(None)
     rows = cut_lineage(
         alerts.select(
@@ -244,7 +243,12 @@ def deliver(alerts: DataFrame, limits) -> DataFrame:
             nothing.cast("array<timestamp>").alias("times"),
         )
     )
-    days = rows.select("channel", "day").distinct()
+    # One row for each channel and day with alerts: the day that takes over what it leaves.
+    by_day = Window.partitionBy("channel").orderBy("day")
+    days = cut_lineage(
+        rows.select("channel", "day").distinct().withColumn("_next", F.lead("day").over(by_day))
+        .filter("_next is not null")
+    )
     carried = None
     while True:
         opened = rows if carried is None else rows.unionByName(
@@ -257,8 +261,8 @@ def deliver(alerts: DataFrame, limits) -> DataFrame:
         result = cut_lineage(ordered.mapInPandas(fold, FOLD_SCHEMA))
         left = (
             result.filter(F.col("subjects").isNotNull() & (F.size("subjects") > 0))
-            .select("channel", "day", "subjects", "times")
-            .join(days, ["channel", "day"], "left_semi")
+            .join(days, ["channel", "day"])
+            .select("channel", F.col("_next").alias("day"), "subjects", "times")
         )
         if carried is None:
             changed = not left.isEmpty()
