@@ -10,7 +10,8 @@ occurs, so that a negated or reported insult counts by what the labels say of su
 What counts as an insult is learned: words, and beginnings of words, that stand in many more labelled toxic
 than clean documents, by a likelihood ratio, besides fixed seeds. Weights are fitted with a prior at the
 grammar's own. Both use labelled rows only whose crc32 of the id modulo 5 isn't 0, at most ``SAMPLE`` of each
-label, picked by hash; every document is scored, over its whole text, from the text alone.
+label, picked by hash; in the fit a row counts for as many as its label's share stands for, so that scores mean
+the same at every size. Every document is scored, over its whole text, from the text alone.
 
 Defined cases: null and empty texts match no clause and get the score of a text without matches; a null id
 has the remainder of the empty text; rows without a 0/1 label, or whose id is null, teach nothing; several labels of one id
@@ -277,8 +278,8 @@ def _ratio(a: int, n: int, b: int, m: int) -> float:
     return 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, p) - part(b, m, p))
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> list[float]:
-    """Logistic weights by Newton steps with halving, drawn towards the grammar's own weights."""
+def _fit(x: np.ndarray, y: np.ndarray, count: np.ndarray) -> list[float]:
+    """Logistic weights by Newton steps with halving, drawn towards the grammar's own weights; row i stands for ``count[i]``."""
     prior = np.array([BIAS, *KINDS.values()])
     x = np.column_stack([np.ones(len(x)), np.log1p(x)])
     pull = np.full(len(prior), PRIOR)
@@ -286,15 +287,15 @@ def _fit(x: np.ndarray, y: np.ndarray) -> list[float]:
 
     def loss(w):
         z = x @ w
-        return float(np.logaddexp(0, z).sum() - z @ y + (pull * (w - prior) ** 2).sum() / 2)
+        return float(count @ (np.logaddexp(0, z) - z * y) + (pull * (w - prior) ** 2).sum() / 2)
 
     w, now = prior.copy(), loss(prior)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        slope = x.T @ (p - y) + pull * (w - prior)
+        slope = x.T @ (count * (p - y)) + pull * (w - prior)
         if np.abs(slope).max() < 1e-6:
             break
-        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), slope)
+        move = np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + np.diag(pull), slope)
         size = 1.0
         while size > 1e-6 and loss(w - size * move) > now:
             size /= 2
@@ -308,7 +309,7 @@ def held_out(id_):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(text, toxic) of at most about SAMPLE rows of each label; their ids and labels alone are broadcast."""
+    """(text, toxic, stands_for) of at most about SAMPLE rows of each label; all but the texts is broadcast."""
     known = (
         labels.select(column("doc_id").alias("id"), column("toxic").cast("int").alias("toxic"))
         .where("id is not null and toxic in (0, 1)").where(~held_out(F.col("id")))
@@ -318,8 +319,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, SAMPLE / max(n.get(1, 0), SAMPLE)).otherwise(SAMPLE / max(n.get(0, 0), SAMPLE))
     picked = known.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20))
+    picked = picked.withColumn("stands_for", 1 / share)
     rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(picked), "id").select("text", "toxic")
+    return rows.join(F.broadcast(picked), "id").select("text", "toxic", "stands_for")
 
 
 def without_copies(sample: DataFrame) -> DataFrame:
@@ -333,10 +335,11 @@ def without_copies(sample: DataFrame) -> DataFrame:
                 for text in part.column(0).to_pylist():
                     w = (text or "").split()
                     keys.append(min((xxhash.xxh3_64_intdigest(" ".join(w[i : i + 4])) for i in range(max(len(w) - 3, 1))), default=0) >> 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.int64())], ["text", "toxic", "likeness"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], ["text", "toxic", "stands_for", "likeness"])
 
-    marked = sample.mapInArrow(work, "text string, toxic int, likeness long")
-    return marked.groupBy("likeness", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+    marked = sample.mapInArrow(work, "text string, toxic int, stands_for double, likeness long")
+    one = marked.groupBy("likeness", "toxic").agg(F.min("text").alias("text"), F.first("stands_for").alias("stands_for"))
+    return one.select("text", "toxic", "stands_for")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Grammar:
@@ -349,16 +352,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for part in steps(batch, "text"):
                 counts = [grammar.match(t or "") for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(counts, pa.list_(pa.int32()))], ["toxic", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(counts, pa.list_(pa.int32()))], ["toxic", "stands_for", "counts"])
 
     # Equal rows are counted together; there are at most twice SAMPLE.
-    seen = sample.mapInArrow(work, "toxic int, counts array<int>").groupBy("toxic", "counts").agg(F.count("*").alias("n"))
+    seen = sample.mapInArrow(work, "toxic int, stands_for double, counts array<int>")
+    seen = seen.groupBy("toxic", "counts").agg((F.count("*") * F.first("stands_for")).alias("n"))
     rows = [(r["toxic"], r["counts"], r["n"]) for r in seen.orderBy("toxic", "counts").collect()]
     if len({t for t, _, _ in rows}) < 2:
         return grammar
-    y = np.concatenate([np.full(n, t, float) for t, _, n in rows])
-    x = np.concatenate([np.tile(np.array(c, float), (n, 1)) for _, c, n in rows])
-    return Grammar(strong, weak, _fit(x, y))
+    toxic, counts, n = (np.array(c, float) for c in zip(*rows))
+    return Grammar(strong, weak, _fit(counts, toxic, n))
 
 
 def score_texts(df: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
