@@ -1,9 +1,10 @@
 """Main text of web pages by block rules in two passes.
 
 Markup is cut into blocks at block-level tags. Elements that hold no article by their nature (menus, page
-headers and footers, sidebars, forms, scripts, styles) or by the words of their class, id or role (adverts,
-notices, comments ...) are left out whole, as are the blocks outside a page's ``article`` or ``main`` if it
-has one. The first pass decides the other blocks by link density, length and density of stop words. Short
+headers and footers, sidebars, forms, scripts, styles) or by their role are left out whole. So are those whose
+class or id is a boilerplate name as a whole (adverts, notices, comments ...), unless only they hold an article or a
+long dense block; such words in a longer name only count as evidence against a block. Blocks outside a page's
+``article`` or ``main`` are left out if it has one. The first pass decides the other blocks by link density, length and density of stop words. Short
 blocks, and those of middling density, stay open; in the second pass they take the label of the nearest
 decided neighbours: middling ones are bad only between bad ones, short ones follow both sides if these
 agree, else the nearer one.
@@ -66,36 +67,41 @@ WORDS = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("text", "linked", "inside", "item")
+    __slots__ = ("text", "linked", "inside", "item", "hint", "named")
 
-    def __init__(self, text: str, linked: int, inside: bool, item: bool):
-        self.text, self.linked, self.inside, self.item = text, linked, inside, item
+    def __init__(self, text: str, linked: int, inside: bool, item: bool, hint: bool = False, named: int = -1):
+        self.text, self.linked, self.inside, self.item, self.hint, self.named = text, linked, inside, item, hint, named
 
 
-def is_left_out(name: str, attributes: str, in_article: bool) -> bool:
+def standing_of(name: str, attributes: str, in_article: bool) -> str:
+    """out: left out by nature; named: by a boilerplate name; hint: a name holds such a word; or nothing."""
     if name in ("html", "body", "main"):
-        return False
+        return ""
     if name in LEFT_OUT and not (name == "header" and in_article):
-        return True
+        return "out"
     if not attributes:
-        return False
-    words: list[str] = []
+        return ""
+    names: list[list[str]] = []
     for key, *values in ATTRIBUTE.findall(attributes):
         value = values[0] or values[1] or values[2]
         if key.lower() in ("class", "id"):
-            words += [w.lower() for w in PARTS.findall(value)]
+            names += [[w.lower() for w in PARTS.findall(x)] for x in value.split()]
         elif key.lower() == "role" and value.lower() in ROLES:
-            return True
-    marks = MARKS.intersection(words)
-    if name == "article":
-        return in_article and bool(marks)
-    return bool(marks - {"header"}) or ("header" in marks and not in_article)
+            return "out"
+    if name == "article" and not in_article:
+        return ""
+    marks = MARKS - {"header"} if in_article and name != "article" else MARKS
+    if any(words and marks.issuperset(words) for words in names):
+        return "named"
+    return "hint" if any(not marks.isdisjoint(words) for words in names) else ""
 
 
 def blocks_of(html: str) -> list[Block]:
     """The blocks that aren't left out, in page order."""
     out: list[Block] = []
     open_: list[tuple[str, bool, bool]] = []  # name, left out, article
+    state: list[tuple[bool, int]] = [(False, -1)]  # hint and number of the named element, by depth
+    named = 0
     hidden = articles = links = 0
     pieces: list[str] = []
     linked = 0
@@ -106,7 +112,7 @@ def blocks_of(html: str) -> list[Block]:
         if pieces:
             text = SPACE.sub(" ", "".join(pieces)).strip()
             if text:
-                out.append(Block(text, linked, articles > 0, item))
+                out.append(Block(text, linked, articles > 0, item, *state[-1]))
             pieces.clear()
         linked, item = 0, False
 
@@ -120,6 +126,7 @@ def blocks_of(html: str) -> list[Block]:
             articles -= article
             links -= name == "a"
         del open_[at:]
+        del state[at + 1 :]
 
     def text(s: str):
         nonlocal linked, item
@@ -175,9 +182,15 @@ def blocks_of(html: str) -> list[Block]:
                     break
                 if open_[k][0] not in INLINE:
                     break
-        gone = is_left_out(name, m[3], articles > 0)
+        how = standing_of(name, m[3], articles > 0)
+        gone = how == "out"
         article = name in ("article", "main") and not gone and not hidden
         open_.append((name, gone, article))
+        hint, within = state[-1]
+        if how == "named" and within < 0:
+            within, named = named, named + 1
+        # An article is its own evidence, whatever it is wrapped in.
+        state.append(((hint or how == "hint") and not (article and how == ""), within))
         standing[name] += 1
         hidden += gone
         articles += article
@@ -186,18 +199,36 @@ def blocks_of(html: str) -> list[Block]:
     return out
 
 
+def density_of(text: str) -> float:
+    words = WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+
+
+def speaks(b: Block) -> bool:
+    """Whether a block is main text by itself: in an article, or long, dense and not linked."""
+    return b.inside and not b.hint or len(b.text) >= LONG and b.linked <= LINKED * len(b.text) and density_of(b.text) >= STOP_HIGH
+
+
+def without_named(blocks: list[Block]) -> list[Block]:
+    """Elements of a boilerplate name go, but for those that hold main text while nothing outside them does."""
+    outside = [b for b in blocks if b.named < 0]
+    if len(outside) == len(blocks) or any(map(speaks, outside)):
+        return outside
+    held = {b.named for b in blocks if speaks(b)}
+    return [b for b in blocks if b.named < 0 or b.named in held]
+
+
 def first_pass(b: Block) -> str:
     """good, bad, near (rather good) or short."""
     n = len(b.text)
     share = b.linked / n
-    if b.inside:  # structure decides; only lists of links stay behind
+    if b.inside and not b.hint:  # structure decides; only lists of links stay behind
         return "bad" if b.item and share > 0.8 else "good"
     if share > LINKED:
         return "bad"
     if n < SHORT:
         return "bad" if b.linked else "short"
-    words = WORDS.findall(b.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+    density = density_of(b.text)
     if density >= STOP_HIGH:
         return "good" if n >= LONG else "near"
     return "near" if density >= STOP_LOW else "bad"
@@ -234,11 +265,14 @@ def second_pass(labels: list[str]) -> list[bool]:
 
 
 def main_text(html: str | None) -> str:
-    blocks = blocks_of(html or "")
+    blocks = without_named(blocks_of(html or ""))
     if any(b.inside for b in blocks):
         blocks = [b for b in blocks if b.inside]
-    good = second_pass([first_pass(b) for b in blocks])
-    return " ".join([b.text for b, g in zip(blocks, good) if g])
+    labelled = [(b, first_pass(b)) for b in blocks]
+    # What a name speaks against, and the rules too, is no neighbour.
+    labelled = [(b, x) for b, x in labelled if not (b.hint and x == "bad")]
+    good = second_pass([x for _, x in labelled])
+    return " ".join([b.text for (b, _), g in zip(labelled, good) if g])
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
