@@ -1,4 +1,4 @@
 """All registered queries of this package."""
 
-from tidemark.llm import bpe, html, lines, media, merkle, mixing, simhash, substrings, topk, toxicity, urlfilter  # noqa: F401
+from tidemark.llm import bpe, html, lexical, lines, media, merkle, mixing, simhash, substrings, suffixes, topk, toxicity, urlfilter  # noqa: F401
 from tidemark.llm.registry import QUERIES  # noqa: F401
