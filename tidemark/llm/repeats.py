@@ -44,7 +44,10 @@ class Windows:
         self.sums = np.zeros(n + 1, U64)
         np.cumsum(symbols * _powers(odd, n + 1)[:n], dtype=U64, out=self.sums[1:])
 
-    def at(self, start: np.ndarray, length: int) -> np.ndarray:
+    def at(self, start: np.ndarray | slice, length: int) -> np.ndarray:
+        if isinstance(start, slice):  # places in a row: no gathering
+            a, b = start.start, start.stop
+            return mixed((self.sums[a + length : b + length] - self.sums[a:b]) * self.back[a:b])
         return mixed((self.sums[start + length] - self.sums[start]) * self.back[start])
 
 

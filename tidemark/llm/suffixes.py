@@ -37,7 +37,7 @@ from tidemark.session import cut_lineage
 
 LENGTH = 200
 #: Bytes of text hashed at a time; longer texts overlap by a string.
-PIECE = 1 << 21
+PIECE = 1 << 18
 #: Contexts and context bytes that a task sorts together.
 CHUNK = 8192
 CHUNK_BYTES = 4 << 20
@@ -78,17 +78,17 @@ class Segments:
         self.raw = np.frombuffer(b"".join(texts), np.uint8)
         n = np.array([len(t) for t in texts], np.int64)
         self.base = np.cumsum(n) - n
-        self.doc = np.repeat(np.arange(len(n)), n)
-        pos = np.arange(len(self.raw)) - self.base[self.doc]
-        left = n[self.doc] - pos
-        self.string = left >= length  # a whole string starts here
-        self.can = left >= self.size
-        at = np.flatnonzero(self.can)
-        self.key = np.zeros(len(self.raw), U64)
-        self.key[at] = Windows(self.raw.astype(U64) + U64(1)).at(at, self.size)
-        value = np.full(len(self.raw), np.iinfo(U64).max, U64)
-        value[at] = (self.key[at] & ~U64(LOW)) | at.astype(U64)
-        self.value = value
+        self.left = np.repeat((self.base + n).astype(np.int32), n) - np.arange(len(self.raw), dtype=np.int32)
+        self.string = self.left >= length  # a whole string starts here
+        #: Hashes of the anchors; those that reach into the next text lose to all others.
+        self.key = np.full(len(self.raw), np.iinfo(U64).max, U64)
+        count = max(0, len(self.raw) - self.size + 1)
+        self.key[:count] = Windows(self.raw.astype(U64)).at(slice(0, count), self.size)
+        self.value = (self.key & ~U64(LOW)) | np.arange(len(self.raw), dtype=U64)
+        self.value[self.left < self.size] = np.iinfo(U64).max
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.base, at, "right") - 1
 
     def chosen(self, width: int) -> np.ndarray:
         """Where the smallest of ``width`` neighbours is, for each place; only valid inside a text."""
@@ -101,15 +101,11 @@ class Segments:
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the anchors, and the first and last string that hold the neighbours that each wins over."""
         n, width = places(self.length)
-        edge = np.zeros(len(self.raw) + 1, np.int32)
-        start = np.flatnonzero(self.string)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + n - width + 1, -1)
-        runs = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+        runs = np.flatnonzero(self.left >= self.size + width - 1)
         won = self.chosen(width)[runs]
         first = np.flatnonzero(np.r_[True, (won[1:] != won[:-1]) | (runs[1:] != runs[:-1] + 1)])
         last = np.r_[first[1:], len(runs)] - 1
-        return won[first], np.maximum(runs[first] - (n - width), self.base[self.doc[won[first]]]), runs[last]
+        return won[first], np.maximum(runs[first] - (n - width), self.base[self.text_of(won[first])]), runs[last]
 
 
 def segments(texts: list[bytes], length: int) -> Iterator[tuple[Segments, list[int], list[int]]]:
@@ -140,7 +136,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                 doc = part.column(0).to_numpy(zero_copy_only=False)
                 for s, who, start in segments(part.column(1).to_pylist(), length):
                     at, _, _ = s.anchors()
-                    seg = s.doc[at]
+                    seg = s.text_of(at)
                     pos = at - s.base[seg] + np.array(start, np.int64)[seg]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(s.key[at].view(np.int64)), pa.array(doc[np.array(who)[seg]]), pa.array(pos)], ["key", "doc", "pos"]
@@ -228,7 +224,7 @@ def contexts(near: DataFrame, length: int) -> DataFrame:
                         out.append((digest, body if times < 2 else None))
                     if len(sent) > KNOWN:
                         sent.clear()
-                    seg = s.doc[live[cut]]
+                    seg = s.text_of(live[cut])
                     two = np.frombuffer(b"".join(d for d, _ in out), np.int64).reshape(-1, 2)
                     cols = [
                         s.key[main[cut]].view(np.int64), two[:, 0], two[:, 1], [ids[0][who[i]] for i in seg], [ids[1][who[i]] for i in seg],
