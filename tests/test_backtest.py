@@ -51,7 +51,8 @@ def grid_of(spark, pdf):
     df = spark.createDataFrame(pdf)
     times = backtest.time_index(df)
     seen = backtest.visibility(df.withColumn("p", F.col("total_return_close")), times, 30)
-    grid = backtest.score_grid(backtest.knowledge_events(seen), times).join(times, "idx")
+    spans = backtest.score_spans(backtest.knowledge_events(seen), times)
+    grid = spans.withColumn("idx", F.explode(F.sequence("enter", "until"))).join(times, "idx")
     return {
         (r.event_time, r.instrument_id): (r.momentum_63, r.volatility_63, r.trend_50)
         for r in grid.collect()

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.crosssection import capped_weights, exact_median, percentile_rank
+from tidemark.operators.crosssection import capped_weights, exact_median, percentile_rank, top_spans
 from tidemark.operators.ordered import Running, asof, frame_median, frames, ordinals, running
 
 
@@ -124,3 +124,32 @@ def test_capped_weights(spark):
         ref = _waterfill(part.set_index("i")["w"], 0.8, 0.1).sort_index()
         got = out[out["g"] == g].set_index("i")["weight"].sort_index()
         np.testing.assert_allclose(got, ref.reindex(got.index).fillna(0), atol=1e-9)
+
+
+@pytest.mark.parametrize("digits, equal", [(2, False), (6, False), (3, True)])
+def test_top_spans_rank_every_step(spark, digits, equal):
+    """The steps at which a span's percentile reaches 0.75, against ranks of a dense panel."""
+    rng = np.random.default_rng(digits)
+    rows = []
+    for g in ("a", "b"):
+        for i in range(40):
+            at = int(rng.integers(0, 30))
+            while at < 200 and (i or g == "a"):
+                end = min(199, at + int(rng.integers(0, 40)))
+                score = 0.5 if equal else round(float(rng.normal(0, 0.3)), digits)
+                rows.append((g, i, at, end, score))
+                at = end + 1 + int(rng.integers(0, 2) * 5)
+    pdf = pd.DataFrame(rows, columns=["g", "i", "enter", "until", "x"])
+    out = top_spans(spark.createDataFrame(pdf), ["g"], "x", 0.75).toPandas()
+    dense = pdf.assign(idx=[range(a, b + 1) for a, b in zip(pdf["enter"], pdf["until"])]).explode("idx")
+    pct = dense.groupby(["g", "idx"])["x"].rank(pct=True)
+    want = dense[pct >= 0.75]
+    key = ["g", "idx", "i"]
+    assert sorted(map(tuple, out[key].to_numpy().tolist())) == sorted(map(tuple, want[key].to_numpy().tolist()))
+    assert len(out) > 300 or equal
+
+
+def test_equal_scores_of_one_group_are_one_value(spark):
+    df = spark.range(50_000).select(F.lit(1).alias("k"), F.lit(0.25).alias("x"), "id")
+    out = percentile_rank(df, ["k"], "x").agg(F.min("pct_rank"), F.max("pct_rank"), F.count("*")).first()
+    assert out[0] == out[1] == pytest.approx((50_000 + 1) / 2 / 50_000) and out[2] == 50_000

@@ -55,8 +55,9 @@ def row_hash(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
 
 
 def content_key(*parts: Column) -> Column:
-    """SHA-256 of the parts joined by colons."""
-    return F.sha2(F.concat_ws(":", *parts), 256)
+    """SHA-256 of the parts joined by colons; colons inside a part are escaped, NULL has a text of its own."""
+    texts = [F.replace(escaped(p), F.lit(":"), F.lit("\\c")) for p in parts]
+    return F.sha2(F.concat_ws(":", *texts), 256)
 
 
 def is_sha256(c: Column) -> Column:

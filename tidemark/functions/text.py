@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 
 import pandas as pd
@@ -108,7 +109,7 @@ def redact_map(details: Column) -> Column:
     )
 
 
-_SECRET_KEY = re.compile(r'"(?:' + "|".join(AUDIT_SECRETS) + r')"\s*:\s*', re.I)
+_STRING = re.compile(r'"((?:[^"\\]|\\.)*)"(\s*:\s*)?', re.S)
 _SCALAR = re.compile(r'"(?:[^"\\]|\\.)*"|[^\s,\]}"{\[]+')
 _BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]')
 
@@ -126,12 +127,25 @@ def _value_end(text: str, at: int) -> int:
     return len(text)
 
 
+def _names_secret(key: str) -> bool:
+    """Whether a member's name as it stands in the text, escapes included, is a secret one."""
+    if "\\" in key:
+        try:
+            key = json.loads(f'"{key}"', strict=False)
+        except ValueError:
+            return True  # no name can be told: masked
+    return key.lower() in AUDIT_SECRETS
+
+
 def redact_text(text: str) -> str:
-    out, at = [], 0
-    while m := _SECRET_KEY.search(text, at):
-        out += [text[at : m.end()], '"[REDACTED]"']
-        at = _value_end(text, m.end())
-    return "".join([*out, text[at:]])
+    """Walk the strings of a JSON text in order; one before a colon is a member's name."""
+    out, done, at = [], 0, 0
+    while m := _STRING.search(text, at):
+        at = m.end()
+        if m[2] and _names_secret(m[1]):
+            out += [text[done:at], '"[REDACTED]"']
+            done = at = _value_end(text, at)
+    return "".join([*out, text[done:]])
 
 
 @F.pandas_udf(T.StringType())

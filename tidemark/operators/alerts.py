@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,128 +146,118 @@ OUTCOME_SCHEMA = "channel string, alert_id bigint, created_at timestamp, outcome
 _OUTCOME_COLUMNS = ["channel", "alert_id", "created_at", "outcome"]
 
 
-class Delivery:
-    """State of one channel: when each subject last raised an alert, and deliveries of the day.
+def decide(last: int | None, at: int, cooldown: int, full: bool, quiet: bool) -> str:
+    """Outcome of an alert whose subject was last raised at ``last``, on a day whose cap is used up or not."""
+    if cooldown and last is not None and last >= at - cooldown:
+        return "COOLDOWN"
+    if full:
+        return "SUPPRESSED"  # does not start a cooldown
+    return "PENDING" if quiet else "SENT"
+
+
+def alert_rows(alerts: DataFrame, limits) -> DataFrame:
+    """Channel, subject, local day and quiet hours of alerts."""
+    return alerts.select(
+        "channel", F.col("alert_id").cast("bigint").alias("alert_id"), F.unix_micros("created_at").alias("at"),
+        F.concat_ws("|", "alert_type", F.col("instrument_id").cast("string")).alias("subject"),
+        F.unix_date(local_day("created_at", limits.alert_zone)).alias("day"),
+        in_quiet_hours("created_at", limits).alias("quiet"),
+    )
 
-    Only subjects younger than the cooldown are kept, so the state does not grow with the history.
-    """
 
-    def __init__(self, cooldown_minutes: int, daily_limit: int):
-        self.cooldown = timedelta(minutes=cooldown_minutes)
-        self.limit = daily_limit
-        self.raised: dict[str, datetime] = {}
-        self.day, self.sent, self.seen = None, 0, 0
-
-    def decide(self, subject: str, at: datetime, day, quiet: bool) -> str:
-        if day != self.day:
-            self.day, self.sent = day, 0
-        last = self.raised.get(subject)
-        if self.cooldown and last is not None and last >= at - self.cooldown:
-            return "COOLDOWN"
-        self.seen += 1
-        if self.seen % 4096 == 0:
-            self.raised = {k: v for k, v in self.raised.items() if v >= at - self.cooldown}
-        if self.sent >= self.limit:
-            return "SUPPRESSED"  # does not start a cooldown
-        self.raised[subject] = at
-        if quiet:
-            return "PENDING"
-        self.sent += 1
-        return "SENT"
-
-
-CARRY = "subjects array<string>, times array<timestamp>"
-FOLD_SCHEMA = f"{OUTCOME_SCHEMA}, day int, {CARRY}"
-
-
-def _fold_days(cooldown: int, limit: int):
-    """Stream rows ordered by (channel, day, kind, time); one small state at a time.
-
-    A row of kind 0 opens a day with what the day before left behind. Besides the outcomes, every
-    day ends with a row that holds what it leaves to the next.
+FOLD = "channel string, subject string, day int, alert_id bigint, at bigint, outcome string, last bigint"
+
+
+def _fold_subjects(cooldown: int):
+    """Stream rows ordered by (channel, subject, day, kind, at, alert_id); the state is one time.
+
+    A row of kind 0 opens the day of a subject with the time it was last raised before. A day ends with
+    a row that holds the time it leaves. Times are microseconds.
     """
+    names = [f.split()[0] for f in FOLD.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, newest = None, None, None
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = last = None
 
-        def leave():
-            live = {s: t for s, t in state.raised.items() if t >= newest - state.cooldown}
-            names = sorted(live)
-            return (current[0], None, None, None, current[1], names, [live[n] for n in names])
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*out)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False):
-                if (row.channel, row.day) != current:
-                    if state is not None and newest is not None:
-                        out.append(leave())
-                    current, newest = (row.channel, row.day), None
-                    state = Delivery(cooldown, limit)
-                if row.kind == 0:
-                    state.raised = dict(zip(row.subjects, pd.to_datetime(row.times)))
+            for channel, subject, day, kind, at, alert_id, quiet, cut_at, cut_id in zip(*[c.to_pylist() for c in batch.columns]):
+                if (channel, subject, day) != current:
+                    if last is not None:
+                        out.append((*current, None, None, None, last))
+                    current, last = (channel, subject, day), None
+                if kind == 0:
+                    last = at
                     continue
-                newest = row.created_at
-                outcome = state.decide(row.subject, row.created_at, row.day, row.quiet)
-                out.append((row.channel, row.alert_id, row.created_at, outcome, row.day, None, None))
-            yield pd.DataFrame(out, columns=FOLD_COLUMNS)
-        if state is not None and newest is not None:
-            yield pd.DataFrame([leave()], columns=FOLD_COLUMNS)
+                full = cut_at is not None and (at, alert_id) > (cut_at, cut_id)
+                outcome = decide(last, at, cooldown, full, quiet)
+                if outcome in ("PENDING", "SENT"):
+                    last = at
+                out.append((*current, alert_id, at, outcome, None))
+            yield batch_of(out)
+        if last is not None:
+            yield batch_of([(*current, None, None, None, last)])
 
     return fold
 
 
-FOLD_COLUMNS = ["channel", "alert_id", "created_at", "outcome", "day", "subjects", "times"]
-
-
 def deliver(alerts: DataFrame, limits) -> DataFrame:
     """Outcome of every alert: COOLDOWN, SUPPRESSED (daily cap), PENDING (quiet hours) or SENT.
 
     ``alerts`` carries channel, alert_id, created_at, alert_type and instrument_id. The day's cap
     comes first, then quiet hours, and a suppressed alert starts no cooldown.
 
-    Outcomes depend on each other in time order. The cap starts afresh every local day, and only
-    the cooldowns alive at the end of a day reach into the next one that has alerts, however long they
-    are. So the days of a channel run in parallel: the
-    first pass assumes nothing is carried over, and passes repeat with what each day actually left
-    until that no longer changes, which makes the result that of one ordered pass. A busy day uses
-    up its cap and leaves nothing, a quiet one little, so few passes are needed.
+    Alerts depend on each other in two ways only: a channel's day has one alert after which its cap is used
+    up, and a subject's day begins with the time it was last raised. Both are small tables. Given them, every
+    day of every subject is decided on its own, in time order, with one time as state, so a busy channel spreads
+    over its subjects and a busy subject over its days. Passes repeat with what the last one found until neither
+    table changes. That gives the outcomes of one ordered pass: the first day depends on nothing
+    before it, a cut-off that came too late or too early is found out once the days before are right, and
+    days further on settle alongside unless they truly hang together.
     """
-    nothing = F.lit(None)
-    rows = cut_lineage(
-        alerts.select(
-            "channel", F.col("alert_id").cast("bigint").alias("alert_id"), "created_at",
-            F.concat_ws("|", "alert_type", F.col("instrument_id").cast("string")).alias("subject"),
-            F.unix_date(local_day("created_at", limits.alert_zone)).alias("day"),
-            in_quiet_hours("created_at", limits).alias("quiet"),
-            F.lit(1).alias("kind"), nothing.cast("array<string>").alias("subjects"),
-            nothing.cast("array<timestamp>").alias("times"),
-        )
-    )
-    # One row for each channel and day with alerts: the day that takes over what it leaves.
-    by_day = Window.partitionBy("channel").orderBy("day")
-    days = cut_lineage(
-        rows.select("channel", "day").distinct().withColumn("_next", F.lead("day").over(by_day))
-        .filter("_next is not null")
-    )
-    carried = None
+    cooldown = limits.cooldown_minutes * 60_000_000
+    limit, c = limits.daily_limit, F.col
+    rows = cut_lineage(alert_rows(alerts, limits))
+    # One row for each subject and day with alerts: its next day takes over what it leaves.
+    order = Window.partitionBy("channel", "subject").orderBy("day")
+    days = rows.groupBy("channel", "subject", "day").agg(F.min("at").alias("_begin"))
+    days = cut_lineage(days.select(
+        "channel", "subject", "day", F.lead("day").over(order).alias("_next"), F.lead("_begin").over(order).alias("_begin")
+    ).filter("_next is not null"))
+    sent_order = Window.partitionBy("channel", "day").orderBy("at", "alert_id")
+    none = F.lit(None).cast("bigint")
+    cuts = carried = None
     while True:
-        opened = rows if carried is None else rows.unionByName(
-            carried.withColumn("kind", F.lit(0)), allowMissingColumns=True
-        )
-        ordered = opened.repartition("channel", "day").sortWithinPartitions(
-            "channel", "day", "kind", "created_at", "alert_id"
+        opened = rows.withColumn("kind", F.lit(1))
+        if cuts is None:
+            opened = opened.withColumns({"cut_at": none, "cut_id": none})
+        else:
+            opened = opened.join(cuts, ["channel", "day"], "left").unionByName(
+                carried.withColumn("kind", F.lit(0)), allowMissingColumns=True
+            )
+        key = ["channel", "subject", "day"]
+        ordered = opened.select(*key, "kind", "at", "alert_id", "quiet", "cut_at", "cut_id").repartition(
+            *key).sortWithinPartitions(*key, "kind", "at", "alert_id")
+        result = cut_lineage(ordered.mapInArrow(_fold_subjects(cooldown), FOLD))
+        # Both tables are read for the comparison and by the next pass, so they are written.
+        sent = result.filter("outcome = 'SENT'").withColumn("_n", F.row_number().over(sent_order))
+        now_cuts = cut_lineage(sent.filter(c("_n") == limit).select(
+            "channel", "day", c("at").alias("cut_at"), c("alert_id").alias("cut_id")
+        ))
+        now_carried = cut_lineage(
+            result.filter("last is not null").join(days, key).filter(c("last") >= c("_begin") - cooldown)
+            .select("channel", "subject", c("_next").alias("day"), c("last").alias("at"))
         )
-        fold = _fold_days(limits.cooldown_minutes, limits.daily_limit)
-        result = cut_lineage(ordered.mapInPandas(fold, FOLD_SCHEMA))
-        left = (
-            result.filter(F.col("subjects").isNotNull() & (F.size("subjects") > 0))
-            .join(days, ["channel", "day"])
-            .select("channel", F.col("_next").alias("day"), "subjects", "times")
+        same = cuts is not None and all(
+            a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+            for a, b in ((cuts, now_cuts), (carried, now_carried))
         )
-        if carried is None:
-            changed = not left.isEmpty()
-        else:
-            changed = not (left.exceptAll(carried).isEmpty() and carried.exceptAll(left).isEmpty())
-        if not changed:
-            return result.filter(F.col("outcome").isNotNull()).select(*_OUTCOME_COLUMNS)
-        carried = left
+        cuts, carried = now_cuts, now_carried
+        if same:
+            done = result.filter(c("outcome").isNotNull())
+            return done.withColumn("created_at", F.timestamp_micros("at")).select(*_OUTCOME_COLUMNS)

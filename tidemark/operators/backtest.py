@@ -17,8 +17,10 @@ from tidemark.functions.clocks import (
     CLOCKS, any_missing, execution_mask, known_at, minutes, require_clocks,
 )
 from tidemark.functions.scalars import is_finite
-from tidemark.operators.crosssection import capped_weights, percentile_rank
-from tidemark.operators.ordered import Running, asof, frames, month, ordinals, running
+from tidemark.operators.crosssection import capped_weights, top_spans
+from tidemark.operators.ordered import (
+    PART, Running, asof, frames, month, ordinals, range_buckets, running,
+)
 from tidemark.session import cut_lineage
 from tidemark.settings import DEFAULTS
 
@@ -33,8 +35,8 @@ def steps_of(c: str, width: int = 256) -> Column:
 
 def time_index(facts: DataFrame) -> DataFrame:
     """Every distinct event time with its 0-based position."""
-    times = facts.select("event_time").distinct()
-    return ordinals(times, [], ["event_time"], month("event_time"), "_n").select(
+    times = range_buckets(facts.select("event_time").distinct(), ["event_time"])
+    return ordinals(times, [], ["event_time"], F.col(PART), "_n").select(
         "event_time", (F.col("_n") - 1).alias("idx")
     )
 
@@ -58,7 +60,7 @@ def visibility(facts: DataFrame, times: DataFrame, delay_minutes: float) -> Data
     entered = asof(
         tagged.filter(late).select("_need").distinct(),
         times.select(F.col("event_time").alias("_at"), F.col("idx").alias("enter")),
-        [], "_need", "_at", ["enter"], forward=True,
+        [], "_need", "_at", ["enter"], forward=True, spread=True,
     ).filter(F.col("enter").isNotNull())
     moved = tagged.filter(late).join(entered.select("_need", "enter"), "_need")
     return prompt.select(*facts.columns, "enter").unionByName(
@@ -146,26 +148,25 @@ def knowledge_events(seen: DataFrame) -> DataFrame:
     )
 
 
-def score_grid(events: DataFrame, times: DataFrame) -> DataFrame:
-    """Carry each event's features to every decision time before the instrument's next event."""
+def score_spans(events: DataFrame, times: DataFrame) -> DataFrame:
+    """Each event's features with the decision times they hold for: up to the instrument's next event."""
     end = times.agg(F.max("idx").alias("last")).scalar()
     spans = running(
         events, ["instrument_id"], ["enter"], steps_of("enter"),
         {"next": Running("last", F.col("enter"), exclusive=True)}, reverse=True,
     )
-    until = F.coalesce(F.col("next") - 1, end)
-    return spans.withColumn("idx", F.explode(F.sequence(F.col("enter"), until))).drop("next", "enter")
+    return spans.withColumn("until", F.coalesce(F.col("next") - 1, end)).drop("next")
 
 
-def targets(grid: DataFrame) -> DataFrame:
+def targets(spans: DataFrame) -> DataFrame:
     """Non-zero target weights of the model and the momentum strategy at every decision time."""
     c = F.col
     model_score = (
         0.20 * c("momentum_21") + 0.30 * c("momentum_63") + 0.35 * c("momentum_126")
         + 0.15 * c("trend_50") - 0.03 * c("volatility_63")
     )
-    both = grid.select(
-        "instrument_id", "idx",
+    both = cut_lineage(spans.select(
+        "instrument_id", "enter", "until",
         F.inline(
             F.array(
                 F.struct(F.lit("model").alias("mode"), model_score.alias("score"),
@@ -174,11 +175,10 @@ def targets(grid: DataFrame) -> DataFrame:
                          F.lit(1.0).alias("raw")),
             )
         ),
-    )
+    ).filter(c("score").isNotNull()))
     chosen = cut_lineage(
-        percentile_rank(both, ["mode", "idx"], "score").filter(
-            (c("pct_rank") >= 0.75) & (c("score") > 0)
-        ).select("mode", "idx", "instrument_id", "raw")
+        top_spans(both, ["mode"], "score", 0.75).filter(c("score") > 0)
+        .select("mode", "idx", "instrument_id", "raw")
     )
     model = capped_weights(
         chosen.filter(c("mode") == "model"), ["mode", "idx"], "raw", "instrument_id", 0.80, 0.10
@@ -207,6 +207,9 @@ def prepare(bars: DataFrame, delay_minutes: float = DEFAULTS.decision_delay_minu
 
     The weights are read by several branches, so their lineage is cut once.
     """
+    twice = bars.groupBy("instrument_id", "event_time").agg(F.count("*").alias("n")).filter("n > 1")
+    if not twice.isEmpty():
+        raise ValueError("two bars of one instrument at one time")
     times = cut_lineage(time_index(bars))
     seen = cut_lineage(
         visibility(
@@ -216,7 +219,7 @@ def prepare(bars: DataFrame, delay_minutes: float = DEFAULTS.decision_delay_minu
         ).select("instrument_id", "event_time", "p", "enter")
     )
     events = cut_lineage(knowledge_events(seen))
-    weights = cut_lineage(targets(score_grid(events, times)))
+    weights = cut_lineage(targets(score_spans(events, times)))
     first, share = known_universe(seen, times)
     return {"times": times, "seen": seen, "weights": weights, "first": first, "share": share}
 

@@ -8,10 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import last_rows, ordinals
+from tidemark.operators.ordered import PART, Running, last_rows, ordinals, range_buckets, running
+from tidemark.session import cut_lineage
 
-# Score axis cut into slices, so that one crowded group is ranked by many tasks.
+# Score axis cut into slices for counting along time.
 SLICES_PER_UNIT = 64
+# Steps of time that share a row of slice counts.
+STEPS = 64
 
 
 def score_slice(c: str) -> Column:
@@ -19,34 +22,76 @@ def score_slice(c: str) -> Column:
     return F.floor(bounded * SLICES_PER_UNIT)
 
 
-def percentile_rank(
-    df: DataFrame, keys: Sequence[str], score: str, bucket: Column | None = None
+def placed_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, value, _same, _below): how often each value occurs, and how many rows of its group lie below.
+
+    Copies are counted first, so a group in which all are equal is one row; the distinct values are dealt
+    by sampled ranges, so a crowded group is many tasks.
+    """
+    values = df.groupBy(*keys, value).agg(F.count("*").alias("_same"))
+    return running(
+        range_buckets(values, [*keys, value]), keys, [value], F.col(PART),
+        {"_below": Running("sum", F.col("_same"), exclusive=True)},
+    ).drop(PART)
+
+
+def percentile_rank(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    """Average-rank percentile in (0, 1]: ties share the mean of their ranks. NULL scores have none."""
+    known = df.filter(F.col(score).isNotNull())
+    placed = placed_values(known, keys, score)
+    totals = known.groupBy(*keys).agg(F.count("*").alias("_total"))
+    rank = (F.col("_below") + 1 + (F.col("_same") - 1) / 2.0) / F.col("_total")
+    return (
+        known.join(placed, [*keys, score]).join(totals, list(keys))
+        .withColumn("pct_rank", rank).drop("_same", "_below", "_total")
+    )
+
+
+def top_spans(
+    spans: DataFrame, keys: Sequence[str], score: str, share: float, start: str = "enter", stop: str = "until"
 ) -> DataFrame:
-    """Average-rank percentile in (0, 1]: ties share the mean of their ranks.
+    """Spans of time with a score, one row for each step at which the score's percentile reaches ``share``.
 
-    Equal scores always fall into one slice, so ranks inside a slice plus the rows of the lower
-    slices are exact.
+    The percentile is that of ``percentile_rank`` among the spans that hold at the step. No panel is
+    built: spans come and go as +1 and -1 on slices of the score axis; running sums give each step's
+    count per slice, and so the slice in which the cut-off lies. Spans above it are expanded as they
+    are; those in it are ranked by value; those below never are. ``spans`` should be a stored table.
     """
-    sliced = df.withColumn("_slice", bucket if bucket is not None else score_slice(score))
-    counts = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*keys)
-    below = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(
-        *keys, "_slice",
-        F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"),
-        F.sum("_n").over(group).alias("_total"),
+    c = F.col
+    sliced = spans.withColumn("_slice", score_slice(score))
+    moves = sliced.select(*keys, "_slice", F.inline(F.array(
+        F.struct(c(start).alias("_at"), F.lit(1).alias("_d")),
+        F.struct((c(stop) + 1).alias("_at"), F.lit(-1).alias("_d")),
+    ))).groupBy(*keys, "_slice", "_at").agg(F.sum("_d").alias("_d"))
+    # A slice has a row for each step at most, a step one for each slice.
+    along = Window.partitionBy(*keys, "_slice").orderBy("_at")
+    levels = moves.select(
+        *keys, "_slice", "_at", F.sum("_d").over(along).alias("_n"), F.lead("_at").over(along).alias("_end")
+    ).filter("_n > 0")
+    counts = levels.select(*keys, "_slice", "_n", F.explode(F.sequence("_at", c("_end") - 1)).alias("idx"))
+    step = Window.partitionBy(*keys, "idx")
+    below = F.coalesce(
+        F.sum("_n").over(step.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    ranked = Window.partitionBy(*keys, "_slice").orderBy(score)
-    peers = ranked.rangeBetween(Window.currentRow, Window.currentRow)
-    return (
-        sliced.join(counts, [*keys, "_slice"])
-        .withColumns({"_rank": F.rank().over(ranked), "_same": F.count("*").over(peers)})
-        .withColumn(
-            "pct_rank",
-            (F.col("_below") + F.col("_rank") + (F.col("_same") - 1) / 2.0) / F.col("_total"),
-        )
-        .drop("_slice", "_below", "_total", "_rank", "_same")
+    placed = counts.withColumns({"_below": below, "_total": F.sum("_n").over(step)}).filter(
+        (c("_below") + c("_n")) / c("_total") >= share
     )
+    reached = placed.groupBy(*keys, "_slice", F.expr(f"idx div {STEPS}").alias("_bin")).agg(
+        F.collect_list(F.struct(
+            "idx", "_below", "_total", ((c("_below") + 1) / c("_total") >= share).alias("_sure")
+        )).alias("_steps")  # at most one entry a step
+    )
+    pieces = sliced.withColumn(
+        "_bin", F.explode(F.sequence(F.expr(f"{start} div {STEPS}"), F.expr(f"{stop} div {STEPS}")))
+    ).join(reached, [*keys, "_slice", "_bin"])
+    inside = F.filter("_steps", lambda x: x["idx"].between(c(start), c(stop)))
+    kept = [x for x in spans.columns if x not in (start, stop)]
+    found = cut_lineage(pieces.select(*kept, F.inline(inside)))
+    edge = found.filter(~c("_sure"))
+    values = placed_values(edge, [*keys, "idx"], score).withColumnRenamed("_below", "_under")
+    rank = (c("_below") + c("_under") + 1 + (c("_same") - 1) / 2.0) / c("_total")
+    in_edge = edge.join(values, [*keys, "idx", score]).filter(rank >= share)
+    return found.filter("_sure").select(*kept, "idx").unionByName(in_edge.select(*kept, "idx"))
 
 
 def exact_median(
@@ -54,7 +99,9 @@ def exact_median(
 ) -> DataFrame:
     """Median by position rather than by collecting a group: average of the middle one or two."""
     known = df.filter(F.col(value).isNotNull()).select(*keys, value, tie)
-    placed = ordinals(known, keys, [value, tie], score_slice(value), "_place")
+    placed = ordinals(
+        range_buckets(known, [*keys, value, tie]), keys, [value, tie], F.col(PART), "_place"
+    )
     size = known.groupBy(*keys).agg(F.count("*").alias("_n"))
     sized = placed.join(size, list(keys)) if keys else placed.withColumn("_n", size.scalar())
     middle = sized.filter(

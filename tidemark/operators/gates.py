@@ -64,29 +64,33 @@ def authorize(
     rights = registry.select(
         F.col("provider_code").alias(provider), F.struct(*registry.columns).alias("_r")
     )
-    r = F.col("_r")
+    col = lambda name: None if name is None else F.col(name)
+    found = license_reasons(F.col("_r"), cutoff(at, "utc"), purposes, col(market), col(region))
+    return requests.join(rights, provider, "left").withColumn(name, found).drop("_r")
+
+
+def license_reasons(
+    r: Column, at: Column, purposes: set[str], market: Column | None = None,
+    region: Column | None = None,
+) -> Column:
+    """Codes for a struct of rights (NULL: not registered) at a time."""
     known = sorted(purposes & PURPOSE_RIGHTS.keys())
     unknown = sorted(purposes - PURPOSE_RIGHTS.keys())
-    expired = r["expires_at"].isNotNull() & (r["expires_at"] <= cutoff(at, "utc"))
     rules = [
         ("NOT_REGISTERED", r.isNull()),
         ("NOT_APPROVED", r.isNotNull() & (r["review_status"] != "APPROVED")),
-        ("EXPIRED", expired),
+        ("EXPIRED", r["expires_at"].isNotNull() & (r["expires_at"] <= at)),
         ("PURPOSE_UNKNOWN", F.lit(bool(unknown))),
         *[
             (f"PURPOSE_DENIED:{p}", r.isNotNull() & ~F.coalesce(r[PURPOSE_RIGHTS[p]], F.lit(False)))
             for p in known
         ],
     ]
-    for column, code, listed in ((market, "MARKET", "markets"), (region, "REGION", "regions")):
-        if column is not None:
-            inside = F.coalesce(F.array_contains(r[listed], F.col(column)), F.lit(False))
-            rules.append(
-                (f"{code}_DENIED", r.isNotNull() & F.col(column).isNotNull() & ~inside)
-            )
-    return (
-        requests.join(rights, provider, "left").withColumn(name, reasons(*rules)).drop("_r")
-    )
+    for place, code, listed in ((market, "MARKET", "markets"), (region, "REGION", "regions")):
+        if place is not None:
+            inside = F.coalesce(F.array_contains(r[listed], place), F.lit(False))
+            rules.append((f"{code}_DENIED", r.isNotNull() & place.isNotNull() & ~inside))
+    return reasons(*rules)
 
 
 def licensed_rows(
@@ -218,9 +222,12 @@ def signal_risk(
     )
 
 
-def model_rules(data_mode: Column) -> Column:
-    """Codes for a row of the model table (name, version, feature_version, status, scope ...)."""
-    c = F.col
+def model_rules(data_mode: Column, model: Column | None = None) -> Column:
+    """Codes for a row of the model table (name, version, feature_version, status, scope ...).
+
+    The row's columns, or those of the struct ``model``.
+    """
+    c = F.col if model is None else (lambda name: model[name])
     demo = data_mode.eqNullSafe("DEMO_FIXTURE")
     unexpected = ~(c("model_name").eqNullSafe("RuleBasedV1") & c("version").eqNullSafe("1.0.0"))
     detail = F.array_compact(
@@ -245,8 +252,10 @@ def model_rules(data_mode: Column) -> Column:
     )
 
 
-def tradable_instrument() -> Column:
-    return F.col("active") & ~F.col("leveraged") & ~F.col("inverse") & (F.col("liquidity_tier") <= 2)
+def tradable_instrument(instrument: Column | None = None) -> Column:
+    """Whether a row of the instrument master (or the struct ``instrument``) may be executed."""
+    c = F.col if instrument is None else (lambda name: instrument[name])
+    return c("active") & ~c("leveraged") & ~c("inverse") & (c("liquidity_tier") <= 2)
 
 
 def executable_signal(mode: str = "DEMO_FIXTURE") -> Column:
@@ -356,8 +365,11 @@ def event_gate(
 def lookup_by_hash(
     df: DataFrame, digest: str, registry: DataFrame, columns: Iterable[str], name: str
 ) -> DataFrame:
-    """Columns of the registry row whose ``sha256`` is the row's ``digest``, and why there is none."""
-    found = registry.select(F.col("sha256").alias("_sha"), F.struct(*columns).alias("_row"))
+    """Columns of the registry row whose ``sha256`` is the row's ``digest``, and why there is none.
+
+    A digest registered more than once counts once, with its smallest row.
+    """
+    found = registry.groupBy(F.col("sha256").alias("_sha")).agg(F.min(F.struct(*columns)).alias("_row"))
     joined = df.join(found, F.col(digest) == F.col("_sha"), "left")
     why = F.when(~is_sha256(F.col(digest)), "HASH_INVALID").when(F.col("_sha").isNull(), "NOT_FOUND")
     return joined.withColumns(

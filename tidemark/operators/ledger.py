@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.clocks import CLOCKS, cutoff, known_at, minutes
-from tidemark.functions.hashing import content_key
+from tidemark.functions.hashing import SEPARATOR, content_key, escaped
 from tidemark.functions.scalars import close_to, is_finite
 from tidemark.operators.crosssection import concentration_rules
 from tidemark.operators.ordered import Running, asof, latest_version, month, running
@@ -186,29 +186,68 @@ def valuation(
     )
 
 
-def portfolio_gate(valued: DataFrame, weights: DataFrame, limits, nav: str = "nav") -> DataFrame:
-    """Risk codes per portfolio from its valuation and the concentration of its holdings."""
+def portfolio_gate(
+    entries: DataFrame, bars: DataFrame, instruments: DataFrame, limits, at: datetime,
+    stale_after_minutes: int | None = None, initial_cash: float = 1_000_000.0,
+) -> DataFrame:
+    """Risk codes per portfolio, and a hash of what they were decided by.
+
+    A book without positions is judged by its cash alone, and only if it was ever opened. Otherwise NAV and
+    drawdown come from the valuation; holdings missing from the instrument master stop the check of
+    concentration. An opening of nothing counts as ``initial_cash``.
+    """
     c = F.col
-    breaches = concentration_rules(weights, KEY, limits).groupBy(*KEY).agg(
+    valued = cut_lineage(valuation(entries, bars, at, stale_after_minutes))
+    marks = bars.groupBy("instrument_id").agg(
+        F.max_by(c("close") * c("fx_rate"),
+                 F.struct("event_time", "available_at", "first_seen_at", "revision")).alias("_px")
+    )
+    master = instruments.select("instrument_id", "asset_class", "industry", "region",
+                                F.lit(True).alias("_known"))
+    holdings = cut_lineage(
+        positions(entries, at).join(marks, "instrument_id", "left")
+        .join(valued.select(*KEY, "nav"), KEY).join(master, "instrument_id", "left")
+        .withColumn("weight", F.try_divide(c("quantity") * c("_px"), c("nav")))
+    )
+    unknown = holdings.groupBy(*KEY).agg(F.bool_or(c("_known").isNull()).alias("_unknown"))
+    breaches = concentration_rules(holdings, KEY, limits).groupBy(*KEY).agg(
         # At most one entry per breached cap: 1 / smallest cap per level bounds the list.
         F.array_sort(F.collect_list(F.struct("level", "rule"))).alias("_b")
     )
-    opened = F.coalesce(c("opening"), F.lit(0.0))
-    checks = F.array_compact(
-        F.array(
-            F.when(c(nav).isNull(), "PORTFOLIO_VALUATION_UNAVAILABLE"),
-            F.when(c(nav).isNotNull() & (opened <= 0), "PORTFOLIO_OPENING_CAPITAL_INVALID"),
-            F.when((opened > 0) & (F.try_divide(c(nav), opened) - 1 <= -limits.max_loss),
-                   "PORTFOLIO_MAX_SIMULATION_LOSS"),
-            F.when(c(nav).isNotNull() & (c("max_drawdown") <= -limits.max_drawdown),
-                   "PORTFOLIO_MAX_DRAWDOWN"),
-        )
+    flat, marked = c("holdings").isNull(), c("nav").isNotNull() & c("max_drawdown").isNotNull()
+    funds = F.when(flat, c("opening")).otherwise(
+        F.when(F.coalesce("opening", F.lit(0.0)) == 0, F.lit(initial_cash)).otherwise(c("opening"))
     )
-    extra = F.when(c(nav).isNotNull(), F.transform(
+    priced = F.when(flat, c("opening").isNotNull()).otherwise(marked)
+    lost = F.try_divide(c("nav"), c("_funds")) - 1 <= -limits.max_loss
+    held = ~flat & marked
+    named = F.transform(
         F.coalesce("_b", F.array().cast("array<struct<level:int,rule:string>>")),
         lambda x: F.concat(F.lit("PORTFOLIO_"), x["rule"]),
-    )).otherwise(F.array().cast("array<string>"))
-    return valued.join(breaches, KEY, "left").withColumn("rules", F.concat(checks, extra)).drop("_b")
+    )
+    no_codes = F.array().cast("array<string>")
+    rules = F.concat(
+        F.array_compact(F.array(
+            F.when(~flat & ~marked, "PORTFOLIO_VALUATION_UNAVAILABLE"),
+            F.when(priced & (c("_funds") <= 0), "PORTFOLIO_OPENING_CAPITAL_INVALID"),
+            F.when(priced & (c("_funds") > 0) & lost, "PORTFOLIO_MAX_SIMULATION_LOSS"),
+            F.when(held & (c("max_drawdown") <= -limits.max_drawdown), "PORTFOLIO_MAX_DRAWDOWN"),
+            F.when(held & c("_unknown"), "PORTFOLIO_INSTRUMENT_MASTER_MISSING"),
+        )),
+        F.when(held & ~c("_unknown"), named).otherwise(no_codes),
+    )
+    bounds = [limits.max_loss, limits.max_drawdown]
+    caps = [limits.single_cap, limits.asset_class_cap, limits.industry_cap, limits.region_cap, limits.cash_floor]
+    text = lambda xs: F.lit("|".join(repr(float(x)) for x in xs))
+    context = F.sha2(F.concat_ws(
+        SEPARATOR, F.array_join(F.transform("rules", escaped), SEPARATOR),
+        F.when(flat, text(bounds)).otherwise(text([*bounds, *caps])),
+    ), 256)
+    return (
+        valued.join(unknown, KEY, "left").join(breaches, KEY, "left")
+        .withColumn("_funds", funds).withColumn("rules", rules).withColumn("context_hash", context)
+        .drop("_funds", "_unknown", "_b")
+    )
 
 
 def corporate_actions(bars: DataFrame, at: datetime) -> DataFrame:

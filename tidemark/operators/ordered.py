@@ -7,7 +7,8 @@ A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Here a
 * trailing and leading frames run over chunks of consecutive ordinals, where the rows a frame may
   look back on (or ahead to) are copied into the neighbouring chunk.
 
-``bucket`` is any expression that never decreases along the order, for example a month.
+``bucket`` is any expression that never decreases along the order, for example a month. Where the data
+give none that splits evenly, ``range_buckets`` deals the rows by sampled ranges of the order itself.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 CHUNK = 4096
 
 
@@ -102,6 +105,17 @@ def running(
     return scanned.select(*kept, *[c.alias(n) for n, c in combined.items()])
 
 
+PART = "_part"
+
+
+def range_buckets(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows, written once, with ``PART``: a range of ``order`` from sampled splitters.
+
+    As a bucket it follows the data: no range holds much more than its share unless one value does.
+    """
+    return cut_lineage(df.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
+
+
 def ordinals(df, keys, order, bucket, name: str = "ordinal") -> DataFrame:
     """Exact 1-based row number along a total order."""
     return running(df, keys, order, bucket, {name: Running("sum", F.lit(1).cast("bigint"))})
@@ -159,11 +173,13 @@ def asof(
     forward: bool = False,
     strict: bool = False,
     ties: Sequence[str] = (),
+    spread: bool = False,
 ) -> DataFrame:
     """Attach to each left row the nearest right row at or before (after) its time.
 
     ``strict`` excludes equal times. Both sides are merged and scanned, so nothing is compared
-    pairwise. ``ties`` order right rows of equal time; the nearest in that order wins.
+    pairwise. ``ties`` order right rows of equal time; the nearest in that order wins. ``spread`` takes
+    ranges of the times themselves as buckets, for keys too few or too crowded for calendar ones.
     """
     right_first = forward != (not strict)
     right_side, left_side = (0, 1) if right_first else (1, 0)
@@ -185,11 +201,12 @@ def asof(
         F.lit(None).cast(rows.schema["_value"].dataType).alias("_value"),
         F.struct(*[F.col(c) for c in left.columns]).alias("_row"),
     )
+    both, order = rows.unionByName(wanted), ["_time", "_side", *[f"_tie_{t}" for t in ties]]
     merged = running(
-        rows.unionByName(wanted),
+        range_buckets(both, [*keys, "_time", "_side"]) if spread else both,
         keys,
-        ["_time", "_side", *[f"_tie_{t}" for t in ties]],
-        bucket(F.col("_time")),
+        order,
+        F.col(PART) if spread else bucket(F.col("_time")),
         {"_hit": Running("last", F.col("_value"))},
         reverse=forward,
     )

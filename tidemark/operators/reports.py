@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.clocks import cutoff, minutes
 from tidemark.functions.hashing import content_key
-from tidemark.operators.ordered import Running, running
+from tidemark.operators.ordered import Running, ordinals, running
+from tidemark.session import cut_lineage
 from tidemark.settings import CANDIDATE_STATES
 
 BLOCKED_STATES = ("BLOCKED_BY_RISK", "DATA_STALE")
@@ -103,7 +104,8 @@ def _counts() -> list[Column]:
 
 def state_counts(signals: DataFrame) -> DataFrame:
     return signals.agg(
-        *_counts(), F.avg("market_score").alias("market_mean"), F.avg("news_score").alias("news_mean")
+        *_counts(),
+        *[F.avg(f"{part}_score").alias(f"{part}_mean") for part in ("market", "macro", "news", "liquidity")],
     )
 
 
@@ -153,7 +155,7 @@ METRIC_BOUNDS = {
 
 
 def bounded_metrics(df: DataFrame, column: str = "metrics") -> DataFrame:
-    """Only known metrics inside their bounds leave; blocked rows have none."""
+    """Only known metrics inside their bounds leave; ``refused`` names the others, sorted."""
 
     def inside(k: Column, v: Column) -> Column:
         tests = [(k == n) & v.between(a, b) for n, (a, b) in METRIC_BOUNDS.items()]
@@ -162,7 +164,9 @@ def bounded_metrics(df: DataFrame, column: str = "metrics") -> DataFrame:
             out = out | test
         return out
 
-    return df.withColumn(column, F.map_filter(column, inside))
+    kept = F.map_filter(column, inside)
+    refused = F.array_sort(F.array_except(F.map_keys(column), F.map_keys(kept)))
+    return df.withColumn("refused", refused).withColumn(column, kept)
 
 
 def envelope(df: DataFrame, data_mode: str, disclaimer: str) -> DataFrame:
@@ -185,3 +189,9 @@ def arrange(df: DataFrame, by: str, tie: str) -> DataFrame:
         "name-asc": [F.collate(F.col("name"), "zh")],
     }.get(by, [])
     return df.orderBy(*order, F.col(tie))
+
+
+def positions(df: DataFrame, by: str, tie: str) -> DataFrame:
+    """Every row with its ``position`` in the chosen order, from the sort's own ranges."""
+    placed = cut_lineage(arrange(df, by, tie).withColumn("_at", F.monotonically_increasing_id()))
+    return ordinals(placed, [], ["_at"], F.shiftright("_at", 33), "position").drop("_at")

@@ -9,4 +9,5 @@ from tidemark.plans import ledgers  # noqa: F401,E402
 from tidemark.plans import models  # noqa: F401,E402
 from tidemark.plans import alerting  # noqa: F401,E402
 from tidemark.plans import extras  # noqa: F401,E402
+from tidemark.plans import governance  # noqa: F401,E402
 from tidemark.plans import nulls  # noqa: F401,E402

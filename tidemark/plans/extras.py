@@ -11,8 +11,7 @@ from tidemark.functions.clocks import minutes
 from tidemark.functions.scalars import r6
 from tidemark.functions.text import normalize_url
 from tidemark.operators import backtest, gates, integrity, ledger, model, news, reports, validate
-from tidemark.operators.crosssection import score_slice
-from tidemark.operators.ordered import ordinals
+from tidemark.operators.ordered import PART, ordinals, range_buckets
 from tidemark.plans import gating, ledgers, market, views
 from tidemark.plans.registry import query
 
@@ -122,7 +121,9 @@ def _ranked_candidates(t):
     s = gating.signal_history(t).filter(F.col("state").contains("CANDIDATE")).withColumn(
         "down", -F.col("composite_score")
     )
-    return ordinals(s, ["snapshot_id"], ["down", "signal_id"], score_slice("down"), "place").select(
+    order = ["down", "signal_id"]
+    slim = range_buckets(s.select("snapshot_id", *order), ["snapshot_id", *order])
+    return ordinals(slim, ["snapshot_id"], order, F.col(PART), "place").select(
         "snapshot_id", "signal_id", "place"
     )
 
@@ -164,7 +165,7 @@ def _news_links(t):
 
 @query(
     "system_alerts", "K-09",
-    """SELECT DISTINCT sha256('SYSTEM:monitor:' || event_type || ':' || user_id) AS dedupe_key FROM events
+    """SELECT DISTINCT sha256('SYSTEM:monitor\\c' || event_type || '\\c' || user_id) AS dedupe_key FROM events
        WHERE event_type = 'error'""",
 )
 def _system_alerts(t):

@@ -194,7 +194,7 @@ def _event_gate(t):
     "event_alerts", "K-08",
     "WITH " + GATE_SQL + """
     SELECT event_code, sha256('KNOWN_EVENT:' || provider_code || ':' || event_code || ':' || revision
-        || ':' || strftime(scheduled_at, '%Y-%m-%d %H:%M:%S')) AS dedupe_key,
+        || ':' || strftime(scheduled_at, '%Y-%m-%d %H\\c%M\\c%S')) AS dedupe_key,
       round(date_diff('minute', TIMESTAMP '2001-06-01 00:00:00', scheduled_at) / 60.0, 6)
         AS hours_until
     FROM gr WHERE len(reasons) = 0
@@ -297,6 +297,8 @@ def signal_history(t) -> DataFrame:
         F.col("event_time").alias("recorded_at"), state.alias("state"),
         score.alias("composite_score"), F.col("severity").alias("probability"),
         F.col("direction").alias("news_score"), F.col("relevance").alias("market_score"),
+        ((k % 21).cast("double") / 10.0 - 1.0).alias("macro_score"),
+        ((F.col("event_id") % 11).cast("double") / 10.0).alias("liquidity_score"),
         rules.alias("rules"), (F.col("event_id") % 6 != 5).alias("is_current"),
         F.when(k % 13 == 0, "STALE").otherwise("ON_TIME").alias("latency_status"),
         F.when(F.col("event_id") % 101 == 7, "DELAYED").otherwise("DEMO_FIXTURE").alias("data_mode"),
@@ -312,6 +314,8 @@ SIGNALS_SQL = """
 sg0 AS (SELECT event_id AS signal_id, user_id AS instrument_id, event_time AS recorded_at, flagged,
     CAST((k * 7 + event_id * 3) % 200 AS DOUBLE) / 100.0::DOUBLE - 1.0::DOUBLE AS composite_score,
     severity AS probability, direction AS news_score, relevance AS market_score,
+    CAST(k % 21 AS DOUBLE) / 10.0::DOUBLE - 1.0::DOUBLE AS macro_score,
+    CAST(event_id % 11 AS DOUBLE) / 10.0::DOUBLE AS liquidity_score,
     event_id % 6 <> 5 AS is_current, CASE WHEN k % 13 = 0 THEN 'STALE' ELSE 'ON_TIME' END
       AS latency_status,
     CASE WHEN event_id % 101 = 7 THEN 'DELAYED' ELSE 'DEMO_FIXTURE' END AS data_mode,
@@ -409,14 +413,15 @@ def _signal_alerts(t):
     SELECT count(*) AS signals, count(*) FILTER (WHERE state LIKE '%CANDIDATE%') AS candidates,
       count(*) FILTER (WHERE state IN ('BLOCKED_BY_RISK', 'DATA_STALE')) AS blocked,
       count(*) FILTER (WHERE state = 'WATCH') AS watch,
-      round(avg(market_score), 6) AS market_mean, round(avg(news_score), 6) AS news_mean
+      round(avg(market_score), 6) AS market_mean, round(avg(macro_score), 6) AS macro_mean,
+      round(avg(news_score), 6) AS news_mean, round(avg(liquidity_score), 6) AS liquidity_mean
     FROM sg WHERE is_current""",
     "news",
 )
 def _state_counts(t):
     return reports.state_counts(signal_history(t).filter("is_current")).select(
-        "signals", "candidates", "blocked", "watch", r6(F.col("market_mean")).alias("market_mean"),
-        r6(F.col("news_mean")).alias("news_mean"),
+        "signals", "candidates", "blocked", "watch",
+        *[r6(F.col(f"{p}_mean")).alias(f"{p}_mean") for p in ("market", "macro", "news", "liquidity")],
     )
 
 
@@ -494,34 +499,6 @@ def _monitoring_contract(t):
     )
 
 
-@query(
-    "output_health", "B-21 G-02",
-    "WITH " + SIGNALS_SQL + """,
-    bad AS (SELECT 4 AS p, 'SIGNAL_RECORD_INTEGRITY_FAILED' AS reason FROM sg
-        WHERE is_current AND data_as_of > available_at
-      UNION ALL SELECT 6, 'MARKET_SNAPSHOT_INTEGRITY_FAILED' FROM sg WHERE is_current
-        AND snapshot_id = '3'
-      UNION ALL SELECT 9, 'CURRENT_SIGNAL_SNAPSHOT_SET_INVALID' FROM (SELECT count(DISTINCT
-        snapshot_id) AS n FROM sg WHERE is_current) z WHERE n <> 1)
-    SELECT arg_min(reason, p) AS reason, count(*) AS failures FROM bad""",
-    "news",
-)
-def _output_health(t):
-    current = signal_history(t).filter("is_current")
-    c = F.col
-    snapshots = current.agg(F.count_distinct("snapshot_id").alias("n"))
-    empty = current.agg(F.count("*").alias("n"))
-    return gates.first_failure(
-        [
-            gates.failing(empty, 3, "NO_CURRENT_SIGNALS", c("n") == 0),
-            gates.failing(current, 4, "SIGNAL_RECORD_INTEGRITY_FAILED",
-                          c("data_as_of") > c("available_at")),
-            gates.failing(current, 6, "MARKET_SNAPSHOT_INTEGRITY_FAILED", c("snapshot_id") == "3"),
-            gates.failing(snapshots, 9, "CURRENT_SIGNAL_SNAPSHOT_SET_INVALID", c("n") != 1),
-        ]
-    )
-
-
 @query(
     "alert_display", "B-22",
     "WITH " + SIGNALS_SQL + """

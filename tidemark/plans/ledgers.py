@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.clocks import minutes, point_in_time_slice
@@ -13,6 +14,7 @@ from tidemark.functions.scalars import r6
 from tidemark.operators import integrity, ledger, validate
 from tidemark.plans import gating, market, views
 from tidemark.plans.registry import query
+from tidemark.session import cut_lineage
 from tidemark.settings import DEFAULTS
 
 UTC = timezone.utc
@@ -168,35 +170,114 @@ def _portfolio_valuation(t):
     )
 
 
+# Books in every condition: opened with nothing, with a debt, with little; without purchases; with a
+# holding that no master knows.
+GATE_SQL = BOOK_SQL + """,
+gbook AS (SELECT * EXCLUDE (cash_delta, instrument_id),
+    CASE WHEN entry_type <> 'OPENING_CASH' THEN cash_delta WHEN portfolio_id % 7 = 0 THEN 0
+         WHEN portfolio_id % 7 = 1 THEN -500 WHEN portfolio_id % 7 < 5 THEN 300
+         ELSE 20000 END::DOUBLE AS cash_delta,
+    CASE WHEN portfolio_id % 13 = 5 AND instrument_id = 3 THEN 1000003 ELSE instrument_id END
+      AS instrument_id
+  FROM book WHERE entry_type <> 'BUY' OR portfolio_id % 17 <> 9),
+monthly AS (SELECT instrument_id, date_trunc('month', event_time) + INTERVAL '27' DAY AS event_time,
+    arg_max(close, event_time) AS close, 1.0::DOUBLE AS fx_rate FROM facts
+  WHERE event_time < TIMESTAMP '2001-06-01 00:00:00' GROUP BY 1, 2),
+mb AS (SELECT *, event_time AS available_at FROM (SELECT * FROM monthly UNION ALL
+  SELECT instrument_id + 1000000, event_time, close, fx_rate FROM monthly WHERE instrument_id = 3))
+""" + NAV_SQL[len(BOOK_SQL):].replace("FROM facts", "FROM mb").replace("FROM book ", "FROM gbook ") + """,
+pk AS (SELECT *, max(nav) OVER (PARTITION BY portfolio_id ORDER BY t) AS peak FROM nav),
+tr AS (SELECT portfolio_id, arg_max(nav, t) AS nav, min(nav / nullif(peak, 0) - 1) AS dd FROM pk
+  GROUP BY 1),
+lt AS (SELECT instrument_id, max(event_time) AS last, arg_max(close, event_time) AS px FROM kb GROUP BY 1),
+cm AS (SELECT portfolio_id, coalesce(min(last) = max(last) AND bool_and(last IS NOT NULL), FALSE) AS ok
+  FROM held LEFT JOIN lt ON lt.instrument_id = held.instrument_id GROUP BY 1),
+op AS (SELECT portfolio_id, sum(cash_delta) AS cash,
+    sum(CASE WHEN entry_type = 'OPENING_CASH' THEN cash_delta END) AS opening FROM bk GROUP BY 1),
+vg AS (SELECT op.portfolio_id, cm.portfolio_id IS NULL AS flat, coalesce(ok, TRUE) AS ok,
+    CASE WHEN cm.portfolio_id IS NULL THEN cash WHEN ok THEN nav END AS nav, dd,
+    CASE WHEN cm.portfolio_id IS NULL THEN opening WHEN coalesce(opening, 0) = 0 THEN 1000000
+      ELSE opening END AS funds
+  FROM op LEFT JOIN cm ON cm.portfolio_id = op.portfolio_id LEFT JOIN tr ON tr.portfolio_id = op.portfolio_id),
+gw AS (SELECT held.portfolio_id, held.instrument_id, asset_class, industry, region, i.name IS NULL AS unknown,
+    q * px / vg.nav AS weight
+  FROM (SELECT portfolio_id, instrument_id, sum(quantity_delta) AS q FROM bk WHERE instrument_id IS NOT NULL
+        GROUP BY 1, 2 HAVING abs(sum(quantity_delta)) > 1e-9) held
+  JOIN vg ON vg.portfolio_id = held.portfolio_id LEFT JOIN lt ON lt.instrument_id = held.instrument_id
+  LEFT JOIN instruments i ON i.instrument_id = held.instrument_id),
+un AS (SELECT portfolio_id, bool_or(unknown) AS unknown FROM gw GROUP BY 1),
+gbr AS (SELECT portfolio_id, 0 AS level, 'SINGLE_ETF_CAP:' || instrument_id AS rule FROM gw WHERE weight > 0.10 + 1e-9
+  UNION ALL SELECT portfolio_id, 1, 'ASSET_CLASS_CAP:' || asset_class FROM gw
+    GROUP BY portfolio_id, asset_class HAVING sum(weight) > 0.45 + 1e-9
+  UNION ALL SELECT portfolio_id, 2, 'INDUSTRY_CAP:' || industry FROM gw
+    GROUP BY portfolio_id, industry HAVING sum(weight) > 0.30 + 1e-9
+  UNION ALL SELECT portfolio_id, 3, 'REGION_CAP:' || region FROM gw
+    GROUP BY portfolio_id, region HAVING sum(weight) > 0.60 + 1e-9
+  UNION ALL SELECT portfolio_id, 4, 'CASH_FLOOR' FROM gw GROUP BY portfolio_id HAVING sum(weight) > 0.80 + 1e-9),
+grules AS (SELECT vg.portfolio_id, vg.nav, vg.dd, list_concat(list_filter([
+    CASE WHEN NOT flat AND (vg.nav IS NULL OR dd IS NULL) THEN 'PORTFOLIO_VALUATION_UNAVAILABLE' END,
+    CASE WHEN funds <= 0 AND (flat OR vg.nav IS NOT NULL) THEN 'PORTFOLIO_OPENING_CAPITAL_INVALID' END,
+    CASE WHEN funds > 0 AND vg.nav / funds - 1 <= -0.10 THEN 'PORTFOLIO_MAX_SIMULATION_LOSS' END,
+    CASE WHEN NOT flat AND vg.nav IS NOT NULL AND dd <= -0.04 THEN 'PORTFOLIO_MAX_DRAWDOWN' END,
+    CASE WHEN NOT flat AND vg.nav IS NOT NULL AND unknown THEN 'PORTFOLIO_INSTRUMENT_MASTER_MISSING' END],
+    lambda x: x IS NOT NULL),
+    CASE WHEN NOT flat AND vg.nav IS NOT NULL AND NOT unknown THEN coalesce((SELECT list('PORTFOLIO_' || rule
+      ORDER BY level, rule) FROM gbr WHERE gbr.portfolio_id = vg.portfolio_id), []) ELSE [] END) AS rules
+  FROM vg LEFT JOIN un ON un.portfolio_id = vg.portfolio_id)"""
+GATE_LIMITS = replace(DEFAULTS, max_drawdown=0.04)
+
+
+def gate_book(t) -> DataFrame:
+    c, p = F.col, F.col("portfolio_id") % 7
+    opening = (
+        F.when(p == 0, 0.0).when(p == 1, -500.0).when(p < 5, 300.0).otherwise(20000.0)
+    )
+    lost = (c("portfolio_id") % 13 == 5) & (c("instrument_id") == 3)
+    return book(t).filter((c("entry_type") != "BUY") | (c("portfolio_id") % 17 != 9)).withColumns({
+        "cash_delta": F.when(c("entry_type") == "OPENING_CASH", opening).otherwise(c("cash_delta")),
+        "instrument_id": F.when(lost, F.lit(1000003).cast("bigint")).otherwise(c("instrument_id")),
+    })
+
+
+def monthly_bars(t) -> DataFrame:
+    """The last price of each month at one common time, so that books can be valued at all."""
+    at = F.date_trunc("month", "event_time") + F.make_dt_interval(F.lit(27))
+    known = views.facts(t).filter(F.col("event_time") < F.lit("2001-06-01T00:00:00Z").cast("timestamp"))
+    monthly = cut_lineage(known.groupBy("instrument_id", at.alias("event_time")).agg(
+        F.max_by("close", known["event_time"]).alias("close")
+    ))
+    twin = monthly.filter("instrument_id = 3").withColumn("instrument_id", F.col("instrument_id") + 1000000)
+    clocks = ("published_at", "first_seen_at", "available_at", "as_of")
+    return monthly.unionByName(twin).withColumns(
+        {**{x: F.col("event_time") for x in clocks}, "fx_rate": F.lit(1.0), "revision": F.lit("v1")}
+    )
+
+
+def gated(t) -> DataFrame:
+    return ledger.portfolio_gate(gate_book(t), monthly_bars(t), views.instruments(t), GATE_LIMITS, AT)
+
+
 @query(
     "portfolio_gate", "H-09",
-    "WITH " + gating.WEIGHT_SQL + """,
-    v AS (SELECT portfolio_id, 1000.0::DOUBLE * (portfolio_id % 30 - 12) AS nav,
-            CASE WHEN portfolio_id % 7 <> 0 THEN 10000.0::DOUBLE ELSE 0 END AS opening,
-            -0.01::DOUBLE * (portfolio_id % 20) AS dd FROM (SELECT DISTINCT portfolio_id FROM w) x)
-    SELECT v.portfolio_id, array_to_string(list_filter([
-        CASE WHEN opening <= 0 THEN 'PORTFOLIO_OPENING_CAPITAL_INVALID' END,
-        CASE WHEN opening > 0 AND nav / opening - 1 <= -0.10 THEN 'PORTFOLIO_MAX_SIMULATION_LOSS' END,
-        CASE WHEN dd <= -0.15 THEN 'PORTFOLIO_MAX_DRAWDOWN' END], lambda x: x IS NOT NULL), ',')
-        AS rules, (SELECT count(*) FROM br WHERE br.portfolio_id = v.portfolio_id) AS breaches
-    FROM v""",
-    "instruments",
+    "WITH " + GATE_SQL + """
+    SELECT portfolio_id, round(nav, 6) AS nav, round(dd, 6) AS max_drawdown,
+      array_to_string(rules, ',') AS rules,
+      dense_rank() OVER (ORDER BY array_to_string(rules, ',') || CASE WHEN dd IS NULL THEN '-' ELSE '+' END)
+        AS context
+    FROM grules""",
+    "facts ledger instruments",
 )
 def _portfolio_gate(t):
-    p = F.col("portfolio_id")
-    weights = gating.weights(t)
-    valued = weights.select("portfolio_id").distinct().select(
-        p, (F.lit(1000.0) * (p % 30 - 12)).alias("nav"),
-        F.when(p % 7 != 0, 10000.0).otherwise(0.0).alias("opening"),
-        (F.lit(-0.01) * (p % 20)).alias("max_drawdown"),
-    )
-    out = ledger.portfolio_gate(valued, weights, DEFAULTS)
-    capital = ("PORTFOLIO_OPENING_CAPITAL_INVALID", "PORTFOLIO_MAX_SIMULATION_LOSS",
-               "PORTFOLIO_MAX_DRAWDOWN")
-    own = F.filter("rules", lambda x: x.isin(*capital))
-    return out.select(
-        "portfolio_id", F.array_join(own, ",").alias("rules"),
-        (F.size("rules") - F.size(own)).cast("bigint").alias("breaches"),
+    """Books fed by their valuation. Equal context numbers stand for equal context hashes."""
+    out = cut_lineage(gated(t))
+    kinds = out.groupBy("context_hash").agg(F.min(F.concat(
+        F.array_join("rules", ","), F.when(F.col("holdings").isNull(), "-").otherwise("+")
+    )).alias("kind"))
+    number = kinds.withColumn("context", F.dense_rank().over(Window.orderBy("kind")).cast("bigint"))
+    return out.join(number, "context_hash").select(
+        "portfolio_id", r6(F.col("nav")).alias("nav"),
+        F.when(F.col("holdings").isNotNull(), r6(F.col("max_drawdown"))).alias("max_drawdown"),
+        F.array_join("rules", ",").alias("rules"), "context",
     )
 
 

@@ -139,21 +139,20 @@ def _backfill_signals(t):
        o AS (SELECT signal_id, row_number() OVER (ORDER BY composite_score DESC, signal_id) AS a,
            row_number() OVER (ORDER BY probability DESC, signal_id) AS b,
            row_number() OVER (ORDER BY name, signal_id) AS c, row_number() OVER (ORDER BY signal_id) AS d FROM s)
-       SELECT 'score-desc' AS chosen, signal_id FROM o WHERE a <= 10
-       UNION ALL SELECT 'probability-desc', signal_id FROM o WHERE b <= 10
-       UNION ALL SELECT 'name-asc', signal_id FROM o WHERE c <= 10
-       UNION ALL SELECT 'default', signal_id FROM o WHERE d <= 10""",
+       SELECT 'score-desc' AS chosen, signal_id, a AS position FROM o
+       UNION ALL SELECT 'probability-desc', signal_id, b FROM o
+       UNION ALL SELECT 'name-asc', signal_id, c FROM o UNION ALL SELECT 'default', signal_id, d FROM o""",
 )
 def _report_order(t):
     rows = t.supplier.select(
         F.col("s_suppkey").alias("signal_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("composite_score"),
         (F.abs("s_acctbal") / 20000).alias("probability"),
     )
-    tops = [
-        reports.arrange(rows, by, "signal_id").limit(10).select(F.lit(by).alias("chosen"), "signal_id")
+    orders = [
+        reports.positions(rows, by, "signal_id").select(F.lit(by).alias("chosen"), "signal_id", "position")
         for by in ("score-desc", "probability-desc", "name-asc", "default")
     ]
-    return reduce(DataFrame.unionByName, tops)
+    return reduce(DataFrame.unionByName, orders)
 
 
 @query(

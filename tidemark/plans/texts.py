@@ -310,22 +310,27 @@ def _new_instruments(t):
 
 @query(
     "known_holdings", "A-12",
-    """SELECT b.instrument_id, 'HOLDING-' || CAST(k AS VARCHAR) AS holding_id, w AS weight, industry,
-         strftime(event_time, '%Y-%m-%d') AS as_of
-       FROM bars b JOIN instruments i ON i.instrument_id = b.instrument_id,
-         (VALUES (1, 0.35::DOUBLE), (2, 0.25::DOUBLE), (3, 0.2::DOUBLE),
-          (4, 0.12::DOUBLE), (5, 0.08::DOUBLE)) v(k, w)
-       WHERE event_time + INTERVAL '1' DAY <= TIMESTAMP '1996-03-01 00:00:00'""",
-    "bars instruments",
+    """WITH p AS (SELECT l_suppkey AS instrument_id, l_partkey AS part, last_day(l_shipdate) AS as_of,
+           sum(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2, 3)
+       SELECT p.instrument_id, 'PART-' || part AS holding_id, strftime(as_of, '%Y-%m-%d') AS as_of, industry,
+         round(value / sum(value) OVER (PARTITION BY p.instrument_id, as_of), 6) AS weight
+       FROM p JOIN instruments i ON i.instrument_id = p.instrument_id
+       WHERE as_of + INTERVAL '1' DAY <= TIMESTAMP '1998-03-01 00:00:00'""",
+    "instruments",
 )
 def _known_holdings(t):
-    reported = views.bars(t).select("instrument_id", "event_time").join(
-        views.instruments(t), "instrument_id"
+    """What each supplier held at a month's end: its parts by value, as far as that was known."""
+    lines = t.lineitem.select(
+        F.col("l_suppkey").alias("instrument_id"),
+        F.concat(F.lit("PART-"), F.col("l_partkey").cast("string")).alias("holding_id"),
+        F.last_day("l_shipdate").cast("timestamp").alias("as_of"), F.col("l_extendedprice").alias("value"),
+    )
+    cut = market.cutoff(datetime(1998, 3, 1, tzinfo=timezone.utc))
+    known = payloads.holdings(lines).filter(F.col("available_at") <= cut)
+    return known.join(views.instruments(t).select("instrument_id", "industry"), "instrument_id").select(
+        "instrument_id", "holding_id", F.date_format("as_of", "yyyy-MM-dd").alias("as_of"), "industry",
+        r6(F.col("weight")).alias("weight"),
     )
-    cut = market.cutoff(datetime(1996, 3, 1, tzinfo=timezone.utc))
-    known = payloads.holdings(reported, F.col("event_time")).filter(F.col("available_at") <= cut)
-    return known.select("instrument_id", "holding_id", "weight", "industry",
-                        F.date_format("as_of", "yyyy-MM-dd").alias("as_of"))
 
 
 # ------------------------------------------------------------------ upserts and back-fills
@@ -607,17 +612,23 @@ def _audit_reconcile(t):
 @query(
     "redacted_details", "A-13",
     """SELECT event_id, '[REDACTED]' AS token, CAST(user_id AS VARCHAR) AS user_field,
-         '{"k":1,"Password":"[REDACTED]","note":"' || event_type || '"}' AS nested FROM events""",
+         '{"k":1,"Password":"[REDACTED]","note":"' || event_type || '"}' AS nested,
+         '{"\\u0074oken":"[REDACTED]","say":"\\"token\\": x","list":[{"API_KEY" : "[REDACTED]"},' || event_id || ']}' AS deep
+       FROM events""",
 )
 def _redacted_details(t):
     details = F.create_map(
         F.lit("Token"), F.col("props"), F.lit("user"), F.col("user_id").cast("string")
     )
     nested = F.concat(F.lit('{"k":1,"Password":"a\\"b","note":"'), F.col("event_type"), F.lit('"}'))
+    deep = F.concat(
+        F.lit('{"\\u0074oken":{"a":[1,"]"]},"say":"\\"token\\": x","list":[{"API_KEY" : 5},'),
+        F.col("event_id").cast("string"), F.lit("]}"),
+    )
     clean = text.redact_map(details)
     return t.events.select(
         "event_id", clean["Token"].alias("token"), clean["user"].alias("user_field"),
-        text.redact_json(nested).alias("nested"),
+        text.redact_json(nested).alias("nested"), text.redact_json(deep).alias("deep"),
     )
 
 

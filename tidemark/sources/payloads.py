@@ -123,15 +123,15 @@ def resolve_identifiers(
     )
 
 
-def holdings(instruments: DataFrame, as_of: Column) -> DataFrame:
-    """Position weights per instrument, knowable one day after their as-of date."""
-    # Weights of the five positions.
-    weights = F.array(*[F.lit(w) for w in (0.35, 0.25, 0.20, 0.12, 0.08)])
-    return instruments.select(
-        "instrument_id", "industry", "region", as_of.alias("as_of"),
-        F.posexplode(weights).alias("_i", "weight"),
-    ).select(
-        "instrument_id", F.concat(F.lit("HOLDING-"), (F.col("_i") + 1).cast("string"))
-        .alias("holding_id"), "weight", "industry", "region", "as_of",
-        (F.col("as_of") + F.expr("make_dt_interval(1)")).alias("available_at"),
+def holdings(positions: DataFrame, day: str = "as_of") -> DataFrame:
+    """Weights of reported positions (instrument_id, holding_id, as-of day, value), knowable a day later.
+
+    A weight is the position's share of its instrument's total of the day; totals are aggregated, so an
+    instrument with very many positions isn't gathered.
+    """
+    held = positions.groupBy("instrument_id", "holding_id", day).agg(F.sum("value").alias("_value"))
+    totals = positions.groupBy("instrument_id", day).agg(F.sum("value").alias("_total"))
+    return held.join(totals, ["instrument_id", day]).select(
+        "instrument_id", "holding_id", F.try_divide("_value", "_total").alias("weight"),
+        F.col(day).alias("as_of"), (F.col(day) + F.expr("make_dt_interval(1)")).alias("available_at"),
     )
