@@ -176,9 +176,8 @@ def targets(spans: DataFrame) -> DataFrame:
             )
         ),
     ).filter(c("score").isNotNull()))
-    chosen = cut_lineage(
-        top_spans(both, ["mode"], "score", 0.75).filter(c("score") > 0)
-        .select("mode", "idx", "instrument_id", "raw")
+    chosen = top_spans(both, ["mode"], "score", 0.75).filter(c("score") > 0).select(
+        "mode", "idx", "instrument_id", "raw"
     )
     model = capped_weights(
         chosen.filter(c("mode") == "model"), ["mode", "idx"], "raw", "instrument_id", 0.80, 0.10

@@ -11,15 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.ordered import PART, Running, last_rows, ordinals, range_buckets, running
 from tidemark.session import cut_lineage
 
-# Score axis cut into slices for counting along time.
-SLICES_PER_UNIT = 64
+# Slices of the score axis in which spans are counted along time.
+SLICES = 64
 # Steps of time that share a row of slice counts.
-STEPS = 64
-
-
-def score_slice(c: str) -> Column:
-    bounded = F.least(F.greatest(F.col(c), F.lit(-1e6)), F.lit(1e6))
-    return F.floor(bounded * SLICES_PER_UNIT)
+STEPS = 8
 
 
 def placed_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -53,12 +48,15 @@ def top_spans(
     """Spans of time with a score, one row for each step at which the score's percentile reaches ``share``.
 
     The percentile is that of ``percentile_rank`` among the spans that hold at the step. No panel is
-    built: spans come and go as +1 and -1 on slices of the score axis; running sums give each step's
-    count per slice, and so the slice in which the cut-off lies. Spans above it are expanded as they
-    are; those in it are ranked by value; those below never are. ``spans`` should be a stored table.
+    built: spans come and go as +1 and -1 on slices of the score axis, laid between quantiles of all spans;
+    running sums give each step's count per slice, and so the slice in which the cut-off lies. Spans above
+    it are expanded as they are; those in it are ranked by value; those below never are. ``spans`` is
+    read several times and should be a stored table.
     """
     c = F.col
-    sliced = spans.withColumn("_slice", score_slice(score))
+    ends = spans.groupBy(*keys).agg(F.percentile_approx(score, [0.02, 0.98]).alias("_ends"))
+    place = F.width_bucket(c(score), c("_ends")[0], c("_ends")[1], F.lit(SLICES))
+    sliced = spans.join(ends, list(keys)).withColumn("_slice", F.coalesce(place, F.lit(0))).drop("_ends")
     moves = sliced.select(*keys, "_slice", F.inline(F.array(
         F.struct(c(start).alias("_at"), F.lit(1).alias("_d")),
         F.struct((c(stop) + 1).alias("_at"), F.lit(-1).alias("_d")),

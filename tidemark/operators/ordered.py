@@ -108,12 +108,13 @@ def running(
 PART = "_part"
 
 
-def range_buckets(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def range_buckets(df: DataFrame, order: Sequence[str], number: int | None = None) -> DataFrame:
     """The rows, written once, with ``PART``: a range of ``order`` from sampled splitters.
 
     As a bucket it follows the data: no range holds much more than its share unless one value does.
     """
-    return cut_lineage(df.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
+    dealt = df.repartitionByRange(*order) if number is None else df.repartitionByRange(number, *order)
+    return cut_lineage(dealt.withColumn(PART, F.spark_partition_id()))
 
 
 def ordinals(df, keys, order, bucket, name: str = "ordinal") -> DataFrame:
