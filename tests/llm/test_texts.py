@@ -223,3 +223,12 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
     few = df.where("vec_id in (0, 3)")
     assert [tuple(r)[:3] for r in topk.top_k(few.where("vec_id = 0"), few).collect()] == [(0, 1, 3)]
+
+
+def test_top_k_refuses_what_leaves_64_bits(spark):
+    make = lambda *v: spark.createDataFrame([(50 * i, list(x)) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    for rows in (make([1e300, 1.0], [2.0, 1.0]), make([3e11, 1.0], [3e11, 1.0])):
+        with pytest.raises(Exception, match="53 bits|64 bits"):
+            topk.top_k(rows, rows).collect()
+    fine = make([1e6, 1.0], [1e6, -1.0])
+    assert [r.score for r in topk.top_k(fine, fine).orderBy("query_id").collect()] == [(256 * 10**6) ** 2 - 256**2] * 2

@@ -15,7 +15,8 @@ ranking per query with a limit before the shuffle merges them.
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do rows
 without an id, which could not be named; vectors of different length don't meet; rows that share the query's
 id are its own and no candidates; each repeated query row is a query; fewer candidates than k are all
-returned; ties go to the smaller id. Scores are 64-bit integers. Only id and vector are read.
+returned; ties go to the smaller id. Scores are 64-bit integers; components of 2**53 or more once scaled, and
+vectors whose products could leave 64 bits, are refused. Only id and vector are read.
 """
 
 from __future__ import annotations
@@ -45,7 +46,10 @@ def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> Dat
     """(id, v) of the rows that take part."""
     x = F.transform(column(vec_col), lambda c: c.cast("double"))
     good = column(vec_col).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    v = F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long"))
+    large = F.raise_error(F.lit("a scaled component does not fit 53 bits")).cast("long")
+    v = F.transform(x, lambda c: F.when(
+        F.abs(c * F.lit(float(scale))) < float(1 << 53), F.floor(c * F.lit(float(scale))).cast("long")
+    ).otherwise(large))
     return df.where(good & column(id_col).isNotNull()).select(column(id_col).cast("long").alias("id"), v.alias("v"))
 
 
@@ -92,6 +96,8 @@ class Index:
     def best(self, own: int, q: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int]]:
         """(score, id) of the k best of this block; ``floor``: a score that k candidates elsewhere reach."""
         n, dim = self.v.shape
+        if self.top * int(np.abs(q).max(initial=0)) * max(dim, 1) >= 1 << 63:
+            raise OverflowError("an inner product could leave 64 bits")
         mine = slice(*np.searchsorted(self.ids, [own, own + 1]))
         open_ = n - (mine.stop - mine.start)
         if not open_:
