@@ -155,12 +155,17 @@ def test_stream_delivery_equals_batch(spark, folder):
     assert batch == stream
 
 
-def test_append_sink_is_replayable(spark):
-    from tidemark.streaming.alerts import append_new
+def test_a_batch_that_breaks_off_and_runs_again_counts_once(spark):
+    from tidemark.streaming.alerts import append_once, committed
 
     target = tempfile.mkdtemp(prefix="spark-") + "/alerts"
-    sink = append_new(target, "k")
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k int, v string")
-    for _ in range(2):
-        sink(df, 0)
-    assert spark.read.parquet(target).count() == 2
+    sink = append_once(target)
+    first, second = (spark.createDataFrame([(i, x), (i + 1, x)], "k int, v string") for i, x in ((1, "a"), (5, "b")))
+    sink(first, 0)
+    # Half of a batch is written, and the log entry isn't.
+    second.limit(1).write.parquet(f"{target}/batch=1")
+    read = lambda: sorted(map(tuple, committed(spark, target, "k int, v string").collect()))
+    assert read() == [(1, "a"), (2, "a")]
+    for n, batch in ((1, second), (0, first), (1, second)):
+        sink(batch, n)
+    assert read() == [(1, "a"), (2, "a"), (5, "b"), (6, "b")]

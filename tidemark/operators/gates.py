@@ -431,6 +431,21 @@ def masked(blocked: Column, safe: dict[str, Column], df: DataFrame) -> DataFrame
     )
 
 
+def alert_view(alerts: DataFrame, reason: str = "display_blocked_reason") -> DataFrame:
+    """Alerts for display: a blocked one keeps what it is, and loses what was derived for it.
+
+    Its trigger says whether a signal or the alert itself is the cause.
+    """
+    c = F.col
+    derived = (c("source_object_type") == "Signal") & (c(reason) != "ALERT_CONTENT_INTEGRITY_FAILED")
+    trigger = F.when(derived, "SIGNAL_DERIVED_DISPLAY_BLOCKED").otherwise("ALERT_DERIVED_DISPLAY_BLOCKED")
+    return masked(c(reason).isNotNull(), {
+        "title": F.lit("withheld"), "message": F.lit("withheld"), "latency_status": F.lit("UNAVAILABLE"),
+        "trigger_reason": trigger, "confidence": F.lit(None).cast("double"),
+        "source_links": F.array().cast("array<string>"), "invalidation_conditions": F.array(F.lit("REVIEW_REQUIRED")),
+    }, alerts)
+
+
 def display_view(df: DataFrame, reason: Column, maps: Iterable[str], blocked_status: Column):
     """Result rows for display: blocked ones lose their metric maps and show why."""
     empty = F.create_map().cast("map<string,double>")

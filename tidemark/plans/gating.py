@@ -499,39 +499,6 @@ def _monitoring_contract(t):
     )
 
 
-@query(
-    "alert_display", "B-22",
-    "WITH " + SIGNALS_SQL + """
-    SELECT signal_id, CASE WHEN b THEN 'SIGNAL_DERIVED_DISPLAY_BLOCKED' ELSE array_to_string(rules,
-        ',') END AS trigger_reason, CASE WHEN b THEN 'UNAVAILABLE' ELSE latency_status END
-        AS latency_status, CASE WHEN NOT b THEN round(probability, 6) END AS confidence,
-      CASE WHEN data_mode <> 'DEMO_FIXTURE' THEN 'ALERT_SIGNAL_LINEAGE_INVALID'
-           WHEN snapshot_id = '3' THEN 'PROVIDER_LICENSE_BLOCKED' END AS display_blocked_reason
-    FROM (SELECT *, data_mode <> 'DEMO_FIXTURE' OR snapshot_id = '3' AS b FROM sg) x""",
-    "news",
-)
-def _alert_display(t):
-    c = F.col
-    alerts = signal_history(t).select(
-        "signal_id", F.array_join("rules", ",").alias("trigger_reason"), "latency_status",
-        c("probability").alias("confidence"), F.array("source_link").alias("source_links"),
-        F.when(c("data_mode") != "DEMO_FIXTURE", "ALERT_SIGNAL_LINEAGE_INVALID")
-        .when(c("snapshot_id") == "3", "PROVIDER_LICENSE_BLOCKED").alias("display_blocked_reason"),
-    )
-    shown = gates.masked(
-        c("display_blocked_reason").isNotNull(),
-        {
-            "trigger_reason": F.lit("SIGNAL_DERIVED_DISPLAY_BLOCKED"),
-            "latency_status": F.lit("UNAVAILABLE"),
-            "confidence": F.lit(None).cast("double"),
-            "source_links": F.array().cast("array<string>"),
-        },
-        alerts,
-    )
-    return shown.select("signal_id", "trigger_reason", "latency_status",
-                        r6(c("confidence")).alias("confidence"), "display_blocked_reason")
-
-
 @query(
     "result_display", "B-25 B-24 C-12",
     """SELECT p_partkey AS model_id,

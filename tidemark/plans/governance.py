@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import row_hash
+from tidemark.functions.scalars import r6
 from tidemark.operators import gates, governance, integrity, ledger
 from tidemark.operators.governance import Check
-from tidemark.plans import ledgers, views
+from tidemark.plans import gating, ledgers, views
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage
 
@@ -447,3 +448,168 @@ def _governance_recheck(t):
         F.array_join(F.array_except("reasons_then", "reasons_now"), ",").alias("cleared"),
         changed.alias("policy_changed"), (~changed & (F.size("reasons_now") == 0)).alias("executable"),
     )
+
+
+# ---------------------------------------------------------------- B-22
+
+SHOWN = ["alert_id", "source_object_type", "title", "message", "latency_status", "trigger_reason", "confidence",
+         "source_links", "invalidation_conditions"]
+ALERT_SEAL = ["alert_id", "source_object_type", "title", "trigger_reason", "confidence"]
+
+ALERT_SQL = FIXTURE_SQL + "," + _moment(NOW, "held_now").replace("'LICENSE_REGION_DENIED'", "'PROVIDER_LICENSE_BLOCKED'") + f""",
+last_run AS (SELECT desk_id, arg_max(status, (started_at, run_id)) AS status FROM runs_f GROUP BY 1),
+health AS (SELECT d.desk_id, CASE WHEN kill_switch THEN 'GLOBAL_KILL_SWITCH' WHEN status IS NULL THEN 'PIPELINE_NOT_RUN'
+    WHEN status <> 'SUCCEEDED' THEN 'PIPELINE_' || status END AS reason
+  FROM desks_f d LEFT JOIN last_run r ON r.desk_id = d.desk_id),
+sa AS (SELECT s.*, s.signal_id * 10 + 1 AS alert_id, CASE WHEN part % 37 = 2 THEN 'Other' ELSE 'Signal' END AS kind,
+    part % 47 = 5 AS spoilt, part % 41 = 3 AS unlinked, part % 29 = 6 AS elsewhere, h.reason AS health, sn.provider_code,
+    sn.dataset_type, sn.license_scope, codes, CAST(substr(s.snapshot_id, 6) AS INT) AS k,
+    EXISTS (SELECT 1 FROM news_items_f n WHERE n.snapshot_id = s.snapshot_id AND s.decided_at < n.valid_from
+      AND n.valid_from <= {NOW}) AS news_changed
+  FROM signals_f s JOIN health h ON h.desk_id = s.desk_id JOIN held_now m ON m.signal_id = s.signal_id
+  LEFT JOIN snapshots_f sn ON sn.snapshot_id = s.snapshot_id WHERE part % 4 = 0),
+sr AS (SELECT alert_id, kind, latency_status, state AS trigger_reason, probability AS confidence,
+    CASE WHEN spoilt THEN 'ALERT_CONTENT_INTEGRITY_FAILED' WHEN kind = 'Other' THEN 'ALERT_LINEAGE_UNVERIFIED'
+      WHEN health IS NOT NULL THEN 'CURRENT_CANDIDATE_OUTPUT_BLOCKED:' || health
+      WHEN unlinked THEN 'ALERT_SIGNAL_LINEAGE_INVALID' WHEN edited THEN 'SIGNAL_RECORD_INTEGRITY_FAILED'
+      WHEN provider_code IS NULL OR list_contains(codes, 'INSTRUMENT_MASTER_MISSING') OR elsewhere
+        OR dataset_type <> 'MARKET_BARS' OR data_mode <> 'DEMO_FIXTURE' OR license_scope = 'SCOPE_UNCLEAR'
+        THEN 'ALERT_SIGNAL_LINEAGE_INVALID'
+      WHEN len(list_filter(codes, lambda x: x LIKE 'MODEL%' OR x LIKE 'REAL_DATA%')) > 0 THEN 'MODEL_GOVERNANCE_BLOCKED'
+      WHEN news_changed THEN 'NEWS_LINEAGE_BLOCKED'
+      WHEN list_contains(codes, 'PROVIDER_LICENSE_BLOCKED') THEN 'PROVIDER_LICENSE_BLOCKED'
+      WHEN k = 5 AND EXISTS (SELECT 1 FROM contents_f WHERE snapshot_id = 'bars-5' AND year(event_time) = 1997)
+        THEN 'ALERT_SOURCE_INTEGRITY_BLOCKED' END AS reason FROM sa),
+er AS (SELECT c.event_code * 10 + 2 AS alert_id, 'ScheduledEvent' AS kind, 'ON_TIME' AS latency_status,
+    status AS trigger_reason, 0.5::DOUBLE AS confidence,
+    CASE WHEN c.event_code % 31 = 1 OR c.event_code % 23 = 2 OR NOT is_current OR status <> 'SCHEDULED'
+        OR upper(license_scope) LIKE '%UNCLEAR%' OR c.event_code % 59 = 3 THEN 'ALERT_EVENT_LINEAGE_INVALID'
+      WHEN flag = 'LICENSE_UNCLEAR' THEN 'ALERT_EVENT_QUALITY_BLOCKED'
+      WHEN r.review_status <> 'APPROVED' OR r.expires_at <= {NOW} OR NOT list_contains(r.regions, c.region)
+        THEN 'PROVIDER_LICENSE_BLOCKED' END AS reason
+  FROM calendar c JOIN registry r ON r.provider_code = c.provider_code),
+yr AS (SELECT run_id * 10 + 3 AS alert_id, 'System' AS kind, 'ON_TIME' AS latency_status, status AS trigger_reason,
+    NULL::DOUBLE AS confidence, CASE WHEN run_id % 4 = 1 OR run_id % 5 = 0 THEN 'ALERT_SYSTEM_LINEAGE_INVALID' END AS reason
+  FROM runs_f WHERE status <> 'SUCCEEDED'),
+al AS (SELECT * FROM sr UNION ALL SELECT * FROM er UNION ALL SELECT * FROM yr)
+SELECT alert_id, kind AS source_object_type, reason AS display_blocked_reason,
+  CASE WHEN reason IS NULL THEN 'alert ' || alert_id ELSE 'withheld' END AS title,
+  CASE WHEN reason IS NULL THEN 'because of ' || trigger_reason ELSE 'withheld' END AS message,
+  CASE WHEN reason IS NULL THEN latency_status ELSE 'UNAVAILABLE' END AS latency_status,
+  CASE WHEN reason IS NULL THEN trigger_reason WHEN kind = 'Signal' AND reason <> 'ALERT_CONTENT_INTEGRITY_FAILED'
+    THEN 'SIGNAL_DERIVED_DISPLAY_BLOCKED' ELSE 'ALERT_DERIVED_DISPLAY_BLOCKED' END AS trigger_reason,
+  CASE WHEN reason IS NULL THEN round(confidence, 6) END AS confidence,
+  CASE WHEN reason IS NULL THEN 'src' ELSE '' END AS source_links,
+  CASE WHEN reason IS NULL THEN 'next close' ELSE 'REVIEW_REQUIRED' END AS invalidation_conditions
+FROM al"""
+
+
+def _with_texts(rows: DataFrame) -> DataFrame:
+    """What every alert of the fixture shows, sealed."""
+    c = F.col
+    full = rows.withColumns({
+        "title": F.concat(F.lit("alert "), c("alert_id").cast("string")),
+        "message": F.concat(F.lit("because of "), c("trigger_reason")),
+        "source_links": F.array(F.lit("src")), "invalidation_conditions": F.array(F.lit("next close")),
+    })
+    return integrity.seal(full, ALERT_SEAL, "content_hash")
+
+
+@query("alert_display", "B-22", "WITH " + ALERT_SQL, "calendar registry")
+def _alert_display(t):
+    """Alerts of signals, calendar events and the system, each judged by what its kind of source is joined to."""
+    c = F.col
+    rests = Rests(t)
+    content = lambda df: Check("ALERT_CONTENT_INTEGRITY_FAILED", c("content_hash") != row_hash(df, ALERT_SEAL))
+
+    def judged(df: DataFrame, checks: list[Check]) -> DataFrame:
+        reason = F.try_element_at(governance.failures(checks), F.lit(1))["reason"]
+        return df.withColumn("display_blocked_reason", reason).select(*SHOWN, "display_blocked_reason")
+
+    # Signals: their desk's run, and the versions that hold now.
+    desks = fixture(t, "desks").join(
+        fixture(t, "runs").groupBy("desk_id").agg(F.max_by("status", F.struct("started_at", "run_id")).alias("run")),
+        "desk_id", "left",
+    )
+    signals = cut_lineage(rests.signals().filter("part % 4 = 0").withColumn("now", F.lit(AT.isoformat()).cast("timestamp")))
+    history, keys = rests.histories["news"]
+    wide = governance.digest_at(signals, history, keys, {"decided_at": "news_then", "now": "news_now"})
+    wide = wide.join(rests.snapshots.select("snapshot_id", F.struct(
+        "provider_code", "dataset_type", "license_scope", "data_mode", "intact").alias("snapshot")), "snapshot_id", "left")
+    for table, by, name in (
+        (rests.models, {"model_id": "model_id"}, "model"),
+        (rests.master, {"instrument_id": "instrument_id"}, "instrument"),
+        (rests.rights, {"provider_code": "provider_code"}, "rights"),
+    ):
+        wide = governance.version_at(wide, table, by, "now", name)
+    part, snapshot, instrument = c("part"), c("snapshot"), c("instrument")
+    wide = _with_texts(wide.join(desks, "desk_id").withColumns({
+        "intact": c("record_hash") == row_hash(wide, SEALED), "alert_id": c("signal_id") * 10 + 1,
+        "source_object_type": F.when(part % 37 == 2, "Other").otherwise("Signal"),
+        "source_object_id": F.when(part % 41 != 3, c("signal_id")), "trigger_reason": c("state"),
+        # The sealed value; rows of edited signals show it as it was.
+        "confidence": (part % 100).cast("double") / 100.0,
+        "alert_provider": F.when(part % 29 == 6, "provX").otherwise(c("provider_code")),
+    }))
+    wide = wide.withColumn("content_hash", F.when(part % 47 == 5, "x").otherwise(c("content_hash")))
+    placed = gates.license_reasons(c("rights"), c("now"), {"display", "derivative", "cache"}, instrument["mic"], instrument["region"])
+    from_signals = judged(wide, [
+        content(wide),
+        Check("ALERT_LINEAGE_UNVERIFIED", c("source_object_type") != "Signal"),
+        Check("CURRENT_CANDIDATE_OUTPUT_BLOCKED", c("kill_switch") | c("run").isNull() | (c("run") != "SUCCEEDED"),
+              F.concat(F.lit("CURRENT_CANDIDATE_OUTPUT_BLOCKED:"), F.when(c("kill_switch"), "GLOBAL_KILL_SWITCH")
+                       .when(c("run").isNull(), "PIPELINE_NOT_RUN").otherwise(F.concat(F.lit("PIPELINE_"), c("run"))))),
+        Check("ALERT_SIGNAL_LINEAGE_INVALID", c("source_object_id") != c("signal_id")),
+        Check("SIGNAL_RECORD_INTEGRITY_FAILED", ~c("intact")),
+        Check("ALERT_SIGNAL_LINEAGE_INVALID", snapshot.isNull() | instrument.isNull()
+              | (c("alert_provider") != snapshot["provider_code"]) | (snapshot["dataset_type"] != "MARKET_BARS")
+              | (snapshot["data_mode"] != c("data_mode")) | gates.unclear(snapshot["license_scope"])),
+        Check("MODEL_GOVERNANCE_BLOCKED", F.size(gates.model_rules(c("data_mode"), c("model"))) > 0),
+        Check("NEWS_LINEAGE_BLOCKED", ~c("news_then").eqNullSafe(c("news_now"))),
+        Check("PROVIDER_LICENSE_BLOCKED", F.size(placed) > 0),
+        Check("ALERT_SOURCE_INTEGRITY_BLOCKED", ~snapshot["intact"]),
+    ])
+
+    # Calendar events: an alert keeps the id and the provider it was raised for.
+    code = c("event_code")
+    raised = gating.events(t).select(
+        (code * 10 + 2).alias("alert_id"), F.lit("ScheduledEvent").alias("source_object_type"),
+        F.when(code % 31 == 1, -code).otherwise(code).alias("source_object_id"),
+        F.when(code % 23 == 2, "provX").otherwise(c("provider_code")).alias("alert_provider"),
+        c("status").alias("trigger_reason"), F.lit("ON_TIME").alias("latency_status"), F.lit(0.5).alias("confidence"),
+    )
+    facts = gating.events(t).select(code.alias("source_object_id"), F.struct(
+        "provider_code", "is_current", "status", "license_scope", "raw_payload_hash", "quality_flags", "region").alias("event"))
+    event = c("event")
+    known = views.registry(t)
+    calendar = _with_texts(raised).join(facts, "source_object_id", "left").join(
+        known.select(c("provider_code").alias("alert_provider"), F.struct(*known.columns).alias("rights")), "alert_provider", "left")
+    from_events = judged(calendar, [
+        content(calendar),
+        Check("ALERT_EVENT_LINEAGE_INVALID", event.isNull() | (c("alert_provider") != event["provider_code"])
+              | ~event["is_current"] | (event["status"] != "SCHEDULED") | gates.unclear(event["license_scope"])
+              | (F.length(event["raw_payload_hash"]) != 64)),
+        Check("ALERT_EVENT_QUALITY_BLOCKED", gates.flags_blocked(event["quality_flags"], gates.BLOCKING_EVENT_FLAGS)),
+        Check("PROVIDER_LICENSE_BLOCKED", F.size(gates.license_reasons(
+            c("rights"), F.lit(AT.isoformat()).cast("timestamp"), {"display", "cache"}, region=event["region"])) > 0),
+    ])
+
+    # The system: nothing to join, but it names no provider.
+    run = c("run_id")
+    failed = _with_texts(fixture(t, "runs").filter("status <> 'SUCCEEDED'").select(
+        (run * 10 + 3).alias("alert_id"), F.lit("System").alias("source_object_type"),
+        F.when(run % 4 == 1, "OTHER").otherwise("SYSTEM_HEALTH").alias("alert_type"),
+        F.when(run % 5 == 0, "prov0").alias("alert_provider"), c("status").alias("trigger_reason"),
+        F.lit("ON_TIME").alias("latency_status"), F.lit(None).cast("double").alias("confidence"),
+    ))
+    from_system = judged(failed, [
+        content(failed),
+        Check("ALERT_SYSTEM_LINEAGE_INVALID",
+              ~c("alert_type").isin("SYSTEM_HEALTH", "PORTFOLIO_RISK") | c("alert_provider").isNotNull()),
+    ])
+    shown = gates.alert_view(from_signals.unionByName(from_events).unionByName(from_system))
+    return shown.select(
+        "alert_id", "source_object_type", "display_blocked_reason", "title", "message", "latency_status", "trigger_reason",
+        r6(c("confidence")).alias("confidence"), F.array_join("source_links", ",").alias("source_links"),
+        F.array_join("invalidation_conditions", ",").alias("invalidation_conditions"),
+    )

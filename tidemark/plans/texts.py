@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tidemark.functions.scalars import r6, show_number, show_percent, show_time
 from tidemark.operators import gates, integrity, reports
 from tidemark.plans import gating, market, views
 from tidemark.plans.registry import query
+from tidemark.session import stage_folder
 from tidemark.sources import payloads, snapshots
 
 SPACE_RE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -368,6 +370,29 @@ def _calendar_versions(t):
     return out.select(F.col("o_orderkey").alias("version_id"), "is_current")
 
 
+@query(
+    "calendar_history", "A-07",
+    """WITH v AS (SELECT o_orderkey, o_custkey, o_orderpriority,
+           o_orderdate + INTERVAL '4000' DAY * CAST(o_orderkey % 3 AS INT) AS valid_from FROM orders)
+       SELECT o_orderkey AS version_id, strftime(valid_from, '%Y-%m-%d') AS valid_from,
+         strftime(lead(valid_from) OVER w, '%Y-%m-%d') AS valid_to, lead(valid_from) OVER w IS NULL AS is_current
+       FROM v WINDOW w AS (PARTITION BY o_custkey, o_orderpriority ORDER BY valid_from, o_orderkey)""",
+)
+def _calendar_history(t):
+    """Three batches merged into a stored history; every batch offers part of the first again."""
+    folder = f"{stage_folder(t.spark)}/history-{uuid.uuid4().hex}"
+    part = F.col("o_orderkey") % 3
+    at = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval((part * 4000).cast("int"))
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", at.alias("ingested_at"),
+                           F.sha2("o_orderstatus", 256).alias("record_hash"))
+    for n in range(3):
+        batch = rows.filter((part == n) | (F.col("o_orderkey") % 9 == 0))
+        snapshots.merge_stored(t.spark, folder, batch, ["o_custkey", "o_orderpriority"], "o_orderkey", "ingested_at", 8)
+    out = t.spark.read.parquet(folder)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return out.select(F.col("o_orderkey").alias("version_id"), day("valid_from"), day("valid_to"), "is_current")
+
+
 @query(
     "backfill_calendar", "A-14",
     """SELECT o_orderkey AS id, 'legacy-' || substr(sha256('legacy-scheduled-event:' || o_orderkey), 1,

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.operators.integrity import IntegrityError, fingerprint, verify_fingerprint
+from tidemark.operators.ordered import Running, month, running
+from tidemark.session import cut_lineage
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
@@ -106,6 +109,63 @@ def supersede(versions: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return versions.join(top, list(keys)).withColumn("is_current", rank == F.col("_top")).drop("_top")
 
 
+def merge_versions(
+    history: DataFrame, batch: DataFrame, keys: Sequence[str], revision: str, at: str,
+    digest: str = "record_hash",
+) -> DataFrame:
+    """Rows of a version history that a batch changes or adds.
+
+    ``history`` has the batch's columns with ``valid_from``, ``valid_to`` and ``is_current``. A revision that
+    is stored already is a replay if its content is the same, and fails the job if not. New revisions follow
+    the open row of their key in order of ``at`` and close what comes before them. Rows of other keys,
+    and closed rows, aren't touched and aren't returned.
+    """
+    known = [*keys, revision]
+    actions = classify_upsert(history, batch, known, digest)
+    clash = F.raise_error(F.lit("a stored revision was offered with other content"))
+    checked = actions.withColumn(
+        "action", F.when(F.col("action") == "CONFLICT", clash).otherwise(F.col("action"))
+    )
+    fresh = batch.dropDuplicates(known).join(
+        checked.filter(F.col("action") == "NEW").select(*known), known, "left_semi"
+    ).withColumn("valid_from", F.col(at))
+    touched = fresh.select(*keys).distinct()
+    open_ = history.filter("is_current").join(touched, list(keys), "left_semi").drop("valid_to", "is_current")
+    rows = cut_lineage(open_.unionByName(fresh))
+    following = running(
+        rows, keys, ["valid_from", revision], month("valid_from"),
+        {"valid_to": Running("last", F.col("valid_from"), exclusive=True)}, reverse=True,
+    )
+    return following.withColumn("is_current", F.col("valid_to").isNull()).select(*history.columns)
+
+
+def merge_stored(
+    spark: SparkSession, folder: str, batch: DataFrame, keys: Sequence[str], revision: str, at: str,
+    buckets: int = 64,
+) -> None:
+    """Merge a batch into the history at ``folder``, which is laid out by a hash of the key.
+
+    Only buckets with keys of the batch are read and written again. A merge that broke off is finished by
+    running it once more: what it had stored by then is a replay.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+    schema = StructType([*batch.schema.fields]).add("valid_from", "timestamp").add("valid_to", "timestamp").add(
+        "is_current", "boolean")
+    offered = cut_lineage(batch.select("*", slot))
+    mine = [r.bucket for r in offered.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    try:
+        stored = spark.read.schema(StructType([*schema.fields]).add("bucket", "integer")).parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], StructType([*schema.fields]).add("bucket", "integer"))
+    stored = stored.filter(F.col("bucket").isin(mine)).drop("bucket")
+    changed = cut_lineage(merge_versions(stored, offered.drop("bucket"), keys, revision, at))
+    kept = stored.join(changed.select(*keys, revision), [*keys, revision], "left_anti")
+    merged = cut_lineage(kept.unionByName(changed).select("*", slot))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+
+
 def backfill_calendar(legacy: DataFrame) -> DataFrame:
     """Give old calendar rows a clock set, a derived revision and a review flag."""
     digest = F.sha2(F.concat(F.lit("legacy-scheduled-event:"), F.col("id").cast("string")), 256)
