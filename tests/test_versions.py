@@ -2,13 +2,15 @@
 
 import os
 import tempfile
+import time
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import backtest
-from tidemark.sources.snapshots import apply_upsert, merge_stored
+from tidemark.operators.integrity import IntegrityError
+from tidemark.sources.snapshots import apply_upsert, check_parts, merge_stored, register_parts, snapshot_hash, touched_parts
 
 D = lambda n: datetime(2024, 1, n)
 ROW = "provider string, code int, revision string, at timestamp, record_hash string"
@@ -62,3 +64,28 @@ def test_two_bars_of_one_instrument_at_one_time_fail(spark):
         ("event_time", "published_at", "first_seen_at", "available_at", "as_of")], F.lit(1.0).alias("total_return_close"))
     with pytest.raises(ValueError, match="two bars"):
         backtest.prepare(row.union(row))
+
+
+def test_only_new_parts_are_registered_and_only_touched_ones_checked(spark):
+    folder = tempfile.mkdtemp(prefix="spark-") + "/parts"
+    rows = spark.range(60).select(
+        "id", (F.col("id") % 3).cast("int").alias("part"), F.lit(D(1)).alias("as_of"), F.lit(D(2)).alias("available_at"))
+    first = register_parts(rows.filter("part < 2"), None, "part", folder, ["id"])
+    assert sorted((r.part, r.row_count) for r in first.collect()) == [(0, 20), (1, 20)]
+    second = register_parts(rows, first, "part", folder, ["id"])
+    assert [r.part for r in second.collect()] == [2]
+    manifest = first.unionByName(second)
+    assert register_parts(rows, manifest, "part", folder, ["id"]).count() == 0
+    assert snapshot_hash(manifest, "part").first() == snapshot_hash(manifest.orderBy(F.desc("part")), "part").first()
+    with pytest.raises(IntegrityError, match="number of rows"):
+        register_parts(rows.filter("id > 0"), manifest, "part", folder, ["id"])
+    schema = spark.read.parquet(folder).schema
+    stored = lambda: spark.read.schema(schema).parquet(folder)
+    assert touched_parts(stored(), manifest, "part").count() == 0
+    time.sleep(1.1)
+    moved = spark.createDataFrame(stored().filter("part = 1").collect(), schema).withColumn("id", F.col("id") + F.when(F.col("id") == 4, 1).otherwise(0))
+    moved.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(folder)
+    assert [r.part for r in touched_parts(stored(), manifest, "part").collect()] == [1]
+    extra = stored().filter("part > 0").unionByName(rows.limit(1).withColumn("part", F.lit(9)).select(schema.names))
+    assert {r.part: r.status for r in check_parts(extra, manifest, "part", ["id"]).collect()} == {
+        0: "missing", 1: "changed", 2: "intact", 9: "unregistered"}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.clocks import minutes, point_in_time_slice
 from tidemark.functions.hashing import content_key
 from tidemark.functions.scalars import r6
-from tidemark.operators import integrity, ledger, validate
+from tidemark.operators import integrity, ledger, reports, validate
 from tidemark.plans import gating, market, views
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage
@@ -575,7 +575,7 @@ def _replay_equality(t):
 
 @query(
     "run_summary", "D-18 D-16",
-    "WITH " + BOOK_SQL + """
+    "WITH " + BOOK_SQL + "," + gating.SIGNALS_SQL + """
     SELECT (SELECT count(*) FROM bars) AS fact_count, (SELECT count(*) FROM bars WHERE greatest(
         event_time, available_at) <= TIMESTAMP '2001-06-01 00:00:00') AS known_fact_count,
       (SELECT count(DISTINCT instrument_id) FROM bars) AS instrument_count,
@@ -583,14 +583,22 @@ def _replay_equality(t):
       (SELECT round(sum(cash_delta), 4) FROM book) AS cash,
       (SELECT count(*) FROM (SELECT 1 FROM book WHERE instrument_id IS NOT NULL
         GROUP BY portfolio_id, instrument_id HAVING abs(sum(quantity_delta)) > 1e-9) p)
-        AS position_count""",
-    "bars ledger macro",
+        AS position_count,
+      (SELECT round(sum(fee_amount), 4) FROM book) AS total_fees,
+      (SELECT count(*) FROM book WHERE entry_type = 'BUY') AS fill_count,
+      (SELECT count(*) FROM sg WHERE is_current) AS signal_count,
+      (SELECT count(*) FROM sg WHERE is_current AND state LIKE '%CANDIDATE%') AS candidate_count,
+      (SELECT count(*) FROM sg WHERE is_current AND state IN ('BLOCKED_BY_RISK', 'DATA_STALE')) AS blocked_count,
+      (SELECT arg_max(data_mode, signal_id) FROM sg) AS data_mode""",
+    "bars ledger macro news",
 )
 def _run_summary(t):
     facts = views.facts(t)
     known = point_in_time_slice(facts, AT, strict=False)
     b = book(t)
     one = lambda df, c: df.agg(c.alias("x")).scalar()
+    signals = gating.signal_history(t)
+    state, current = F.col("state"), signals.filter("is_current")
     return facts.agg(
         F.count("*").alias("fact_count"), F.count_distinct("instrument_id").alias("instrument_count")
     ).select(
@@ -598,4 +606,10 @@ def _run_summary(t):
         one(views.macro(t), F.count("*")).alias("macro_fact_count"),
         (F.round(one(b, F.sum("cash_delta")), 4) + F.lit(0.0)).alias("cash"),
         one(ledger.positions(b), F.count("*")).alias("position_count"),
+        (F.round(one(b, F.sum("fee_amount")), 4) + F.lit(0.0)).alias("total_fees"),
+        one(b, F.count_if(F.col("entry_type") == "BUY")).alias("fill_count"),
+        one(current, F.count("*")).alias("signal_count"),
+        one(current, F.count_if(state.contains("CANDIDATE"))).alias("candidate_count"),
+        one(current, F.count_if(state.isin(*reports.BLOCKED_STATES))).alias("blocked_count"),
+        one(signals, F.max_by("data_mode", "signal_id")).alias("data_mode"),
     )

@@ -13,7 +13,7 @@ from tidemark.functions.scalars import r6, show_number, show_percent, show_time
 from tidemark.operators import gates, integrity, reports
 from tidemark.plans import gating, market, views
 from tidemark.plans.registry import query
-from tidemark.session import stage_folder
+from tidemark.session import cut_lineage, stage_folder
 from tidemark.sources import payloads, snapshots
 
 SPACE_RE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -485,6 +485,53 @@ def _snapshot_entry(t):
                         market.stamp("available_at"))
 
 
+@query(
+    "snapshot_parts", "A-01 A-04 A-05 I-03",
+    """WITH p AS (SELECT 'MARKET_BARS' AS dataset_type, year(event_time) AS part FROM bars
+         UNION ALL SELECT 'MACRO_FACTS', year(event_time) FROM macro)
+       SELECT dataset_type, part, count(*) AS row_count, CASE WHEN part < 2000 THEN 1 ELSE 2 END AS batch,
+         CASE WHEN dataset_type = 'MARKET_BARS' AND part IN (1997, 1998) THEN 'changed' ELSE 'intact' END AS status
+       FROM p GROUP BY 1, 2""",
+    "bars macro",
+)
+def _snapshot_parts(t):
+    """Bars and macro facts registered by year, in two batches; then one row of a stored part is altered.
+
+    A revision of a macro fact is its vintage. The check hashes the parts whose files are younger than their entry.
+    """
+    spark, base = t.spark, f"{stage_folder(t.spark)}/snapshots-{uuid.uuid4().hex}"
+    macro = views.macro(t).withColumn("as_of", F.col("event_time"))
+    columns = {
+        "MARKET_BARS": ["instrument_id", "event_time", "close", "volume", "available_at", "revision"],
+        "MACRO_FACTS": ["series_code", "event_time", "value", "available_at", "revision"],
+    }
+    out = None
+    for kind, df in (("MARKET_BARS", market.staged_bars(t)), ("MACRO_FACTS", macro)):
+        folder, rows = f"{base}/{kind}", df.select(*columns[kind], "as_of", F.year("event_time").alias("part"))
+        first = snapshots.register_parts(rows.filter("part < 2000"), None, "part", folder, columns[kind])
+        first = cut_lineage(first.withColumn("batch", F.lit(1)))
+        second = snapshots.register_parts(rows, first, "part", folder, columns[kind]).withColumn("batch", F.lit(2))
+        manifest = cut_lineage(first.unionByName(second))
+        schema = spark.read.parquet(folder).schema
+        if kind == "MARKET_BARS":
+            old = cut_lineage(spark.read.parquet(folder).filter("part in (1997, 1998)"))
+            low = old.groupBy("part").agg(F.min(F.struct("event_time", "instrument_id")).alias("_low"))
+            one = (F.struct("event_time", "instrument_id") == F.col("_low"))
+            flipped = old.join(low, "part").withColumn("close", F.col("close") + F.when(one, 0.01).otherwise(0.0)).drop("_low")
+            flipped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(folder)
+        stored = spark.read.schema(schema).parquet(folder)
+        young = cut_lineage(snapshots.touched_parts(stored, manifest, "part"))
+        checked = snapshots.check_parts(
+            stored.join(young, "part", "left_semi"), manifest.join(young, "part", "left_semi"), "part", columns[kind]
+        ).select("part", "status")
+        rows = manifest.join(checked, "part", "left").select(
+            F.lit(kind).alias("dataset_type"), F.col("part").cast("bigint").alias("part"), "row_count", "batch",
+            F.coalesce("status", F.lit("intact")).alias("status"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(
     "record_seals", "I-01 I-07 I-12",
     """SELECT portfolio_id, count(*) AS records, count(*) FILTER (WHERE entry_id % 50 = 7) AS broken

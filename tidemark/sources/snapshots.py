@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.operators.integrity import IntegrityError, fingerprint, verify_fingerprint
+from tidemark.functions.hashing import row_hash
+from tidemark.operators.integrity import IntegrityError, fingerprint, tree_hash, verify_fingerprint
 from tidemark.operators.ordered import Running, month, running
 from tidemark.session import cut_lineage
 
@@ -60,6 +61,73 @@ def register_snapshot(df: DataFrame, registry: DataFrame, dataset_type: str, fol
     return fresh.withColumn("uri", F.lit(None).cast("string"))
 
 
+# ---------------------------------------------------------------- snapshots in parts
+
+def part_manifest(df: DataFrame, part: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """(part, row_count, sha256, as_of, available_at) of each part of a table, in one pass over it."""
+    hashed = tree_hash(df, [part], row_hash(df, columns), "sha256").withColumnRenamed("items", "row_count")
+    clocks = df.groupBy(part).agg(F.max("as_of").alias("as_of"), F.max("available_at").alias("available_at"))
+    return hashed.join(clocks, part)
+
+
+def snapshot_hash(manifest: DataFrame, part: str) -> DataFrame:
+    """(rows, sha256) of a snapshot from the entries of its parts: the tree above them."""
+    return fingerprint(manifest.select(part, "row_count", "sha256"))
+
+
+def register_parts(
+    df: DataFrame, manifest: DataFrame | None, part: str, folder: str, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Write the parts that ``manifest`` doesn't have yet and return their entries, read back and verified.
+
+    Parts that are registered are neither hashed again nor written, only counted: one that is offered with another
+    number of rows fails.
+    """
+    spark = df.sparkSession
+    if manifest is not None:
+        counts = df.groupBy(part).agg(F.count("*").alias("_n"))
+        known = counts.join(manifest.select(part, "row_count"), part)
+        wrong = known.filter(F.col("_n") != F.col("row_count"))
+        if not wrong.isEmpty():
+            raise IntegrityError("a registered part was offered with another number of rows")
+        df = df.join(manifest.select(part), part, "left_anti")
+    fresh = cut_lineage(df)
+    entries = cut_lineage(part_manifest(fresh, part, columns))
+    fresh.write.option("compression", "zstd").mode("append").partitionBy(part).parquet(folder)
+    stored = spark.read.schema(fresh.schema).parquet(folder).join(entries.select(part), part, "left_semi")
+    found = check_parts(stored, entries, part, columns).filter("status <> 'intact'")
+    if not found.isEmpty():
+        raise IntegrityError("a part reads back differently from what was written")
+    # Written, as a plan that scans one folder twice, before and after a write, would take both for the same.
+    return cut_lineage(entries.join(file_times(spark.read.schema(fresh.schema).parquet(folder), part), part))
+
+
+def file_times(stored: DataFrame, part: str) -> DataFrame:
+    """(part, stored_at): when a file of the part was last written, from the files' metadata alone."""
+    return stored.groupBy(part).agg(F.max("_metadata.file_modification_time").alias("stored_at"))
+
+
+def touched_parts(stored: DataFrame, manifest: DataFrame, part: str) -> DataFrame:
+    """Parts with a file younger than their entry; only these need their rows hashed again."""
+    return file_times(stored, part).withColumnRenamed("stored_at", "_now").join(manifest, part).filter(
+        F.col("_now") > F.col("stored_at")
+    ).select(part)
+
+
+def check_parts(
+    stored: DataFrame, manifest: DataFrame, part: str, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """(part, row_count, status): intact, changed, missing, or unregistered."""
+    now = tree_hash(stored, [part], row_hash(stored, columns), "_sha").withColumnRenamed("items", "_rows")
+    both = manifest.select(part, "row_count", "sha256").join(now, part, "full_outer")
+    same = (F.col("_sha") == F.col("sha256")) & (F.col("_rows") == F.col("row_count"))
+    status = (
+        F.when(F.col("sha256").isNull(), "unregistered").when(F.col("_sha").isNull(), "missing")
+        .when(same, "intact").otherwise("changed")
+    )
+    return both.select(part, F.coalesce("row_count", "_rows").alias("row_count"), status.alias("status"))
+
+
 def insert_absent(existing: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Candidates whose key is not stored yet; stored rows are never overwritten."""
     return candidates.join(existing.select(*keys), list(keys), "left_anti")
