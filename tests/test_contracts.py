@@ -169,3 +169,11 @@ def test_a_batch_that_breaks_off_and_runs_again_counts_once(spark):
     for n, batch in ((1, second), (0, first), (1, second)):
         sink(batch, n)
     assert read() == [(1, "a"), (2, "a"), (5, "b"), (6, "b")]
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("a&amp;&amp</title>", "a&&amp"), ("&ltb&gt; &#38;#65; &notit; &copy", "&ltb> &#65; &notit; &copy"), ("&#x42;&#66 &", "B&#66 &"),
+])
+def test_plain_text_closed_references_only(spark, raw, want):
+    df = spark.createDataFrame([(raw,)], "s string")
+    assert df.select(text.plain_text(F.col("s"), closed=True)).first()[0] == want

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,17 +30,30 @@ def _references(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
-def unescape(c: Column) -> Column:
-    """Decode all character references of HTML, also those without a semicolon.
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _closed_reference(m: re.Match) -> str:
+    return html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0]
+
+
+@F.pandas_udf(T.StringType())
+def _closed_references(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: _CLOSED.sub(_closed_reference, s), na_action="ignore")
+
+
+def unescape(c: Column, closed: bool = False) -> Column:
+    """Decode all character references of HTML; ``closed`` leaves those without a semicolon as they stand.
 
     The table of names is the standard library's; only texts with an ampersand reach it.
     """
-    return F.coalesce(_references(F.when(c.contains("&"), c)), c)
+    decode = _closed_references if closed else _references
+    return F.coalesce(decode(F.when(c.contains("&"), c)), c)
 
 
-def plain_text(c: Column, max_length: int | None = None) -> Column:
+def plain_text(c: Column, max_length: int | None = None, closed: bool = False) -> Column:
     """Unescape, drop tags and control characters, collapse whitespace, cut to a length."""
-    text = F.regexp_replace(unescape(c), TAG, " ")
+    text = F.regexp_replace(unescape(c, closed), TAG, " ")
     text = F.regexp_replace(text, CONTROL, "")
     text = F.trim(F.regexp_replace(text, SPACES, " "))
     return F.substring(text, 1, max_length) if max_length else text
