@@ -177,3 +177,11 @@ def test_a_batch_that_breaks_off_and_runs_again_counts_once(spark):
 def test_plain_text_closed_references_only(spark, raw, want):
     df = spark.createDataFrame([(raw,)], "s string")
     assert df.select(text.plain_text(F.col("s"), closed=True)).first()[0] == want
+
+
+def test_article_titles_with_closed_references_only(spark):
+    raw = spark.createDataFrame(
+        [('{"articles": [{"url": "https://a.b/p", "title": "x&amp;&amp</title>", "seendate": "20240305060708"}]}',)], "j string"
+    )
+    title = lambda **o: payloads.articles_from_json(raw, "j", **o).first().title
+    assert (title(closed=True), title()) == ("x&&amp", "x&&")

@@ -61,12 +61,15 @@ def bars_from_json(df: DataFrame, payload: str, strict: bool = True) -> DataFram
     )
 
 
-def articles_from_json(df: DataFrame, payload: str) -> DataFrame:
-    """Explode ``{"articles": [...]}``; items without url, title or a readable time are skipped."""
+def articles_from_json(df: DataFrame, payload: str, closed: bool = False) -> DataFrame:
+    """Explode ``{"articles": [...]}``; items without url, title or a readable time are skipped.
+
+    ``closed`` is that of ``plain_text``.
+    """
     shape = "struct<articles:array<struct<url:string,title:string,domain:string,seendate:string>>>"
     a = F.col("_a")
-    title = plain_text(a["title"], 500)
-    source = plain_text(F.coalesce(a["domain"], F.lit("unknown")), 160)
+    title = plain_text(a["title"], 500, closed)
+    source = plain_text(F.coalesce(a["domain"], F.lit("unknown")), 160, closed)
     rows = df.withColumn("_parsed", F.from_json(payload, shape)).select(
         *df.columns, F.explode("_parsed.articles").alias("_a")
     )
