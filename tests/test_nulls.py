@@ -101,3 +101,21 @@ def test_stored_error_codes_stay(spark):
     )
     got = {r["run_id"]: (r["status"], r["error_code"]) for r in alerts.expire_leases(runs, F.lit(now)).collect()}
     assert got == {1: ("FAILED", "OLD"), 2: ("FAILED", "TASK_LEASE_EXPIRED"), 3: ("RUNNING", None)}
+
+
+def test_average_cost_of_nothing_and_of_no_one(spark, tmp_path):
+    from tests.harness import duck, _rows
+    from tidemark.plans import QUERIES
+    from tidemark.sources.tables import SCHEMAS
+
+    at = dt.datetime(2024, 1, 2)
+    rows = [(1, at, 7, "purchase", 0.0, '{"k": 1}'), (2, at, None, "purchase", 5.0, '{"k": 2}'), (3, at, 8, "purchase", None, '{"k": 3}'),
+            (4, at, None, "signup", 1.0, '{"k": 4}'), (5, at, 9, "purchase", 9.5, '{"k": 5}'), (6, at, 9, "purchase", -30.0, '{"k": 6}')]
+    for name, schema in SCHEMAS.items():
+        spark.createDataFrame(rows if name == "events" else [], schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duck("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got, cur = QUERIES["average_cost"](spark, str(tmp_path)), con.execute(QUERIES["average_cost"].sql)
+    names = [d[0] for d in cur.description]
+    want = _rows(cur.fetchall(), names)
+    assert len(want) == 5 and _rows(map(tuple, got.collect()), got.columns) == want

@@ -45,10 +45,12 @@ def positions(entries: DataFrame, at: datetime | None = None) -> DataFrame:
 
 
 def average_cost(fills: DataFrame, held: DataFrame) -> DataFrame:
-    cost = fills.groupBy(*HELD).agg(F.sum(F.col("gross_amount") + F.col("fee")).alias("_cost"))
-    return held.join(cost, HELD, "left").select(
-        *HELD, "quantity",
-        F.coalesce(F.try_divide("_cost", "quantity"), F.lit(0.0)).alias("average_cost"),
+    """Cost of the fills (NULL without any) and what a unit of the holding cost; NULL keys are a key like any other."""
+    cost = fills.groupBy(*HELD).agg(F.sum(F.col("gross_amount") + F.col("fee")).alias("cost"))
+    same = [held[k].eqNullSafe(cost[k]) for k in HELD]
+    return held.join(cost, same[0] & same[1], "left").select(
+        *[held[k] for k in HELD], "quantity", "cost",
+        F.coalesce(F.try_divide("cost", "quantity"), F.lit(0.0)).alias("average_cost"),
     )
 
 

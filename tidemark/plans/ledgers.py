@@ -39,10 +39,9 @@ def book(t) -> DataFrame:
     """Entries with exactly one opening per portfolio (the first)."""
     entries = stretched(t)
     opening = F.col("entry_type") == "OPENING_CASH"
-    first = entries.filter(opening).groupBy("portfolio_id").agg(F.min("entry_id").alias("_first"))
-    return entries.join(first, "portfolio_id", "left").filter(
-        ~opening | (F.col("entry_id") == F.col("_first"))
-    ).drop("_first")
+    rest = [c for c in entries.columns if c not in ("portfolio_id", "entry_id")]
+    first = entries.filter(opening).groupBy("portfolio_id").agg(F.min(F.struct("entry_id", *rest)).alias("_first"))
+    return entries.filter(~opening).unionByName(first.select("portfolio_id", "_first.*"))
 
 
 @query(
@@ -79,8 +78,11 @@ def _average_cost(t):
         "portfolio_id", "instrument_id", (-F.col("cash_delta")).alias("gross_amount"),
         F.col("fee_amount").alias("fee"),
     )
+    # The logarithm of nothing is minus infinity, of less no number.
+    paid, inf = F.col("average_cost"), float("inf")
+    logged = F.when(paid > 0, F.log(paid)).when(paid == 0, -inf).otherwise(float("nan"))
     return ledger.average_cost(fills, ledger.positions(b)).select(
-        "portfolio_id", "instrument_id", "quantity", r6(F.log("average_cost")).alias("log_cost")
+        "portfolio_id", "instrument_id", "quantity", r6(F.when(F.col("cost").isNotNull(), logged)).alias("log_cost")
     )
 
 
