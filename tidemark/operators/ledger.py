@@ -6,8 +6,10 @@ import math
 from collections.abc import Iterator, Sequence
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.clocks import CLOCKS, cutoff, known_at, minutes
@@ -67,73 +69,173 @@ def position_at(requests: DataFrame, entries: DataFrame, time: str) -> DataFrame
     return out.withColumn("quantity", F.coalesce("quantity", F.lit(0.0)))
 
 
-def nav_history(entries: DataFrame, bars: DataFrame, at: datetime) -> DataFrame:
-    """Net asset value per portfolio at every bar time of the instruments it holds at ``at``.
+#: Portfolios that are marked together, so that a price is sent to their task once.
+TOGETHER = 256
+
+
+def nav_rows(entries: DataFrame, bars: DataFrame, at: datetime) -> DataFrame:
+    """What a year of a group of portfolios is marked by, written once: prices and, per portfolio, what it had and books.
 
-    Cash changes when an entry is booked; the mark of a holding changes when its quantity or its
-    price does. Those changes are summed per time and accumulated, so no (time x holding) panel is
-    built. Only instruments held at ``at`` are marked, in the past as well.
+    Columns are ``part`` (group), ``block`` (year), the portfolio (NULL for a price), the instrument (NULL for cash),
+    ``t`` in microseconds (NULL for what holds when the block begins), ``v`` (price or quantity), ``cash`` and ``peak``.
+    Only instruments held at ``at`` are marked, in the past as well; a price is sent once to a group, not to each holder.
     """
     c = F.col
-    booked = through(entries, at)
-    bought = booked.filter(c("instrument_id").isNotNull()).select(
-        *HELD, "occurred_at", "entry_id", "quantity_delta"
-    )
-    held = positions(booked).select(*HELD).join(
-        bought.groupBy(*HELD).agg(F.min("occurred_at").alias("_since")), HELD
-    )
-    # Prices are carried forward once per instrument, not once per holder.
+    booked = through(entries, at).filter(c("portfolio_id").isNotNull())
+    held = cut_lineage(positions(booked).select(*HELD))
+    groups = max(1, math.ceil(held.select(*KEY).distinct().count() / TOGETHER))
+    part = F.pmod(F.xxhash64("portfolio_id"), F.lit(groups)).cast("int").alias("part")
+    wanted = held.select("instrument_id").distinct()
     slim = bars.select("instrument_id", "event_time", "available_at", "first_seen_at", "revision",
-                       "close", "fx_rate")
+                       "close", "fx_rate").join(wanted, "instrument_id", "left_semi")
     known = latest_version(slim, ["instrument_id", "event_time"]).select(
-        "instrument_id", c("event_time").alias("t"), "close", "fx_rate"
+        "instrument_id", c("event_time").alias("_t"), "close", "fx_rate"
     )
+    # Prices are carried forward once per instrument, not once per holder.
     carried = running(
-        known, ["instrument_id"], ["t"], month("t"),
-        {
-            "p1": Running("last", c("close")), "p0": Running("last", c("close"), True),
-            "f1": Running("last", c("fx_rate")), "f0": Running("last", c("fx_rate"), True),
-        },
-    )
-    worth = lambda n: F.coalesce(c(f"p{n}") * c(f"f{n}"), F.lit(0.0))
-    prices = cut_lineage(
-        carried.select("instrument_id", "t", worth(1).alias("px"), (worth(1) - worth(0)).alias("dpx"))
-    )
-    # A price move acts on the quantity held before it, a purchase on the price at its time.
-    priced = asof(
-        bought.join(held.select(*HELD), HELD, "left_semi"), prices, ["instrument_id"],
-        "occurred_at", "t", ["px"],
-    ).select(
-        *HELD, c("occurred_at").alias("t"), F.lit(1).alias("side"), c("entry_id").alias("tie"),
-        c("quantity_delta").alias("q"), F.lit(0.0).alias("dpx"),
-        (c("quantity_delta") * F.coalesce("px", F.lit(0.0))).alias("d"),
-    )
-    # Before the first purchase a price has nothing to act on, but it still is a valuation time.
-    moves = held.join(prices, "instrument_id")
-    marks = moves.filter(c("t") >= c("_since")).select(
-        *HELD, "t", F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("tie"),
-        F.lit(0.0).alias("q"), "dpx", F.lit(0.0).alias("d"),
-    )
-    scanned = running(
-        priced.unionByName(marks), HELD, ["t", "side", "tie"], month("t"),
-        {"before": Running("sum", c("q"), True)},
+        known, ["instrument_id"], ["_t"], month("_t"),
+        {"p": Running("last", c("close")), "f": Running("last", c("fx_rate"))},
     )
-    moved = scanned.select(
-        *KEY, "t", (c("before") * c("dpx") + c("d")).alias("d"), (c("side") == 0).alias("priced")
-    )
-    early = moves.filter(c("t") < c("_since")).select(
-        *KEY, "t", F.lit(0.0).alias("d"), F.lit(True).alias("priced")
-    )
-    cash = booked.select(
-        *KEY, c("occurred_at").alias("t"), c("cash_delta").alias("d"), F.lit(False).alias("priced")
-    )
-    steps = moved.unionByName(early).unionByName(cash).groupBy(*KEY, "t").agg(
-        F.sum("d").alias("d"), F.bool_or("priced").alias("priced")
-    )
-    total = running(
-        cut_lineage(steps), KEY, ["t"], month("t"), {"nav": Running("sum", c("d"))}
+    prices = cut_lineage(carried.select(
+        "instrument_id", F.year("_t").alias("block"), F.unix_micros("_t").alias("t"),
+        F.coalesce(c("p") * c("f"), F.lit(0.0)).alias("v"),
+    ))
+    blocks = cut_lineage(prices.select("block").distinct())
+    ends = prices.groupBy("instrument_id", "block").agg(F.max_by("v", "t").alias("v"))
+    before = Window.partitionBy("instrument_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    opening = wanted.crossJoin(blocks).join(ends, ["instrument_id", "block"], "left").select(
+        "instrument_id", "block", F.lit(None).cast("bigint").alias("t"), F.last("v", ignorenulls=True).over(before).alias("v")
+    ).filter(c("v").isNotNull())
+    none = lambda kind: F.lit(None).cast(kind)
+    id_type = entries.schema["portfolio_id"].dataType
+    marks = held.select(part, "instrument_id").distinct().join(prices.unionByName(opening), "instrument_id").select(
+        "part", "block", none(id_type).alias("portfolio_id"), "instrument_id", "t", "v", F.lit(0.0).alias("cash")
+    )
+    # Quantities count where the instrument is held at the end, cash always.
+    changes = booked.join(held.withColumn("_held", F.lit(True)), HELD, "left").select(
+        part, F.year("occurred_at").alias("block"), "portfolio_id",
+        F.when(c("_held"), c("instrument_id")).alias("instrument_id"), F.unix_micros("occurred_at").alias("t"),
+        F.when(c("_held"), F.coalesce("quantity_delta", F.lit(0.0))).otherwise(0.0).alias("v"),
+        F.coalesce("cash_delta", F.lit(0.0)).alias("cash"),
+    )
+    changes = cut_lineage(changes.join(held.select(*KEY).distinct(), KEY, "left_semi"))
+    sums = changes.groupBy("part", "portfolio_id", "instrument_id", "block").agg(F.sum("v").alias("v"), F.sum("cash").alias("cash"))
+    later = sums.withColumnRenamed("block", "_from").crossJoin(blocks).filter("block > _from").drop("_from")
+    every = held.select(part, *HELD).crossJoin(blocks).withColumns({"v": F.lit(0.0), "cash": F.lit(0.0)})
+    had = later.unionByName(every).groupBy("part", "block", *HELD).agg(F.sum("v").alias("v"), F.sum("cash").alias("cash"))
+    rows = marks.unionByName(changes).unionByName(had.withColumn("t", none("bigint")))
+    return cut_lineage(rows.withColumn("peak", none("double")))
+
+
+def _mark(kind: str, at_least: int = 1 << 14):
+    """Fold over rows of ``nav_rows`` by (part, block, portfolio, instrument, t): navs, or each block's top, end or fall.
+
+    Held are the prices of one block of one group, and one portfolio's rows in it.
+    """
+    start = -(1 << 62)
+
+    def navs(prices: dict, lots: dict, booked: list) -> tuple[np.ndarray, np.ndarray]:
+        seen = [prices[i][0] for i in lots if i in prices]
+        times = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
+        times = times[times > start]
+        nav = np.zeros(len(times))
+        if len(times):
+            level = lambda ts, vs: np.concatenate([[0.0], vs])[np.searchsorted(ts, times, "right")]
+            for i, (ts, qs) in lots.items():
+                if i in prices:
+                    nav += level(np.array(ts), np.cumsum(qs)) * level(*prices[i])
+            booked.sort(key=lambda x: x[0])
+            nav += level(np.array([x[0] for x in booked]), np.cumsum([x[1] for x in booked]))
+        return times, nav
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size, kinds = [], 0, None
+        prices, lots, booked, peak = {}, {}, [], None
+        group = owner = None
+
+        def close() -> None:
+            nonlocal size, peak
+            if owner is not None:
+                times, nav = navs(prices, lots, booked)
+                if len(times) and kind == "nav":
+                    out.append((np.full(len(times), len(owners)), times, nav))
+                    owners.append(owner)
+                    size += len(times)
+                elif len(times):
+                    top = np.maximum.accumulate(nav if peak is None else np.maximum(nav, peak))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        fall = (nav / top - 1)[top != 0]
+                    least = np.fmin.reduce(fall) if len(fall) else None
+                    out.append((group[1], int(times[-1]), float(nav[-1]), float(top[-1]), None if least is None else float(least)))
+                    owners.append(owner)
+                    size += 1
+            lots.clear()
+            booked.clear()
+            peak = None
+
+        def batch_of() -> pa.RecordBatch:
+            if kind == "nav":
+                index, times, nav = (np.concatenate([o[k] for o in out]) for k in range(3))
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(owners, kinds).take(pa.array(index)), pa.array(times), pa.array(nav)], ["portfolio_id", "t", "nav"])
+            types = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(owners, kinds), *[pa.array(x, t) for x, t in zip(zip(*out), types)]],
+                ["portfolio_id", "block", "t", "nav", "top", "fall"])
+
+        owners: list = []
+        for batch in batches:
+            kinds = batch.schema.field("portfolio_id").type
+            for own_part, block, who, what, t, v, cash, high in zip(*[x.to_pylist() for x in batch.columns]):
+                if (own_part, block) != group or who != owner:
+                    close()
+                    if owner is None and who is not None and (own_part, block) == group:
+                        prices = {i: (np.array(x[0]), np.array(x[1])) for i, x in prices.items()}
+                    if (own_part, block) != group:
+                        group, prices = (own_part, block), {}
+                    owner = who
+                    if size >= at_least:
+                        yield batch_of()
+                        out.clear()
+                        owners.clear()
+                        size = 0
+                t = start if t is None else t
+                if who is None:
+                    ts, vs = prices.setdefault(what, ([], []))
+                    ts.append(t)
+                    vs.append(v)
+                elif high is not None:
+                    peak = high
+                else:
+                    if what is not None:
+                        ts, qs = lots.setdefault(what, ([], []))
+                        ts.append(t)
+                        qs.append(v)
+                    booked.append((t, cash))
+        close()
+        if size:
+            yield batch_of()
+
+    return fold
+
+
+def _marked(rows: DataFrame, kind: str) -> DataFrame:
+    order = ["part", "block", "portfolio_id", "instrument_id", "t"]
+    ordered = rows.select(*order, "v", "cash", "peak").repartition("part", "block").sortWithinPartitions(*order)
+    who = rows.schema["portfolio_id"].dataType.simpleString()
+    rest = "t long, nav double" if kind == "nav" else "block int, t long, nav double, top double, fall double"
+    return ordered.mapInArrow(_mark(kind), f"portfolio_id {who}, {rest}")
+
+
+def nav_history(entries: DataFrame, bars: DataFrame, at: datetime) -> DataFrame:
+    """Net asset value per portfolio at every bar time of the instruments it holds at ``at``.
+
+    Groups of portfolios are marked a year at a time from the prices sent to the group, so neither holders and bars
+    nor times and holdings are paired in a table; what a year begins with are sums over the years before.
+    """
+    return _marked(nav_rows(entries, bars, at), "nav").select(
+        *KEY, F.timestamp_micros("t").alias("valuation_time"), "nav"
     )
-    return total.filter("priced").select(*KEY, c("t").alias("valuation_time"), "nav")
 
 
 def valuation(
