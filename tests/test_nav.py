@@ -53,6 +53,20 @@ def test_nav_at_every_time(books):
     assert {(r[0], r[1]): pytest.approx(r[2], abs=1e-9) for r in got} == want
 
 
+def test_track_is_that_of_the_history(books):
+    entries, bars, book, priced = books
+    want = {}
+    for (who, t), nav in sorted(brute(entries, bars).items()):
+        top, fall, _, _ = want.get(who, (nav, None, None, None))
+        top = max(top, nav)
+        falls = [x for x in (fall, nav / top - 1 if top else None) if x is not None]
+        want[who] = (top, min(falls, default=None), t, nav)
+    got = ledger.nav_track(book, priced, AT).select(
+        "portfolio_id", "max_drawdown", F.unix_seconds("valuation_time"), "marked_nav").collect()
+    near = lambda x: None if x is None else pytest.approx(x, rel=1e-9, abs=1e-9)
+    assert {r[0]: (near(r[1]), r[2], near(r[3])) for r in got} == {w: x[1:] for w, x in want.items()}
+
+
 def test_prices_go_to_groups_not_to_holders(books):
     _, bars, book, priced = books
     rows = ledger.nav_rows(book, priced, AT).filter("portfolio_id is null and t is not null")

@@ -238,6 +238,24 @@ def nav_history(entries: DataFrame, bars: DataFrame, at: datetime) -> DataFrame:
     )
 
 
+def nav_track(entries: DataFrame, bars: DataFrame, at: datetime) -> DataFrame:
+    """Per portfolio: last valuation time and value, and the deepest fall below the highest value so far.
+
+    Each year's highest value comes first; then years are marked again, given the highest value before them.
+    """
+    c = F.col
+    rows = nav_rows(entries, bars, at)
+    years = cut_lineage(_marked(rows, "top").drop("fall"))
+    before = Window.partitionBy(*KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = years.select(*KEY, "block", F.max("top").over(before).alias("peak")).filter(c("peak").isNotNull())
+    part = rows.filter(c("portfolio_id").isNotNull()).select("part", *KEY).distinct()
+    again = rows.unionByName(tops.join(part, KEY), allowMissingColumns=True)
+    return _marked(again, "fall").groupBy(*KEY).agg(
+        F.timestamp_micros(F.max("t")).alias("valuation_time"), F.max_by("nav", "t").alias("marked_nav"),
+        F.min("fall").alias("max_drawdown"),
+    )
+
+
 def valuation(
     entries: DataFrame, bars: DataFrame, at: datetime, stale_after_minutes: int | None = None
 ) -> DataFrame:
@@ -247,16 +265,7 @@ def valuation(
     without positions is worth its cash.
     """
     c, now = F.col, cutoff(at, "utc")
-    history = nav_history(entries, bars, at)
-    peaks = running(
-        history, KEY, ["valuation_time"], month("valuation_time"),
-        {"peak": Running("max", c("nav"))},
-    )
-    track = peaks.groupBy(*KEY).agg(
-        F.max("valuation_time").alias("valuation_time"),
-        F.max_by("nav", "valuation_time").alias("marked_nav"),
-        F.min(F.try_divide("nav", "peak") - 1).alias("max_drawdown"),
-    )
+    track = nav_track(entries, bars, at)
     newest = bars.groupBy("instrument_id").agg(
         F.max("event_time").alias("last_time"),
         F.max_by(
