@@ -185,3 +185,27 @@ def test_article_titles_with_closed_references_only(spark):
     )
     title = lambda **o: payloads.articles_from_json(raw, "j", **o).first().title
     assert (title(closed=True), title()) == ("x&&amp", "x&&")
+
+
+def test_upcoming_stream_writes_times_not_pairs(spark, tmp_path, monkeypatch):
+    from tidemark.plans import alerting
+    from tidemark.sources.tables import SCHEMAS
+
+    at = datetime(2024, 1, 20, 12)
+    due = at.replace(hour=0) - (at - datetime(2001, 5, 26, 12))
+    due = datetime(due.year, due.month, due.day + 1)
+    rows = {"events": [(k, at, 3 * k, "view", 1.0, "{}") for k in range(3)],
+            "orders": [(k, 3 * k, "O", 1.0, due, "5-LOW") for k in range(40)]}
+    for name in ("events", "orders"):
+        spark.createDataFrame(rows[name], SCHEMAS[name]).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    (part,) = (tmp_path / "events.parquet").glob("part-*.parquet")
+    data = part.read_bytes()
+    for f in list((tmp_path / "events.parquet").iterdir()):
+        f.unlink()
+    (tmp_path / "events.parquet").rmdir()
+    (tmp_path / "events.parquet").write_bytes(data)
+    written = []
+    run = alerting._run_stream
+    monkeypatch.setattr(alerting, "_run_stream", lambda *a: written.append(run(*a)) or written[-1])
+    assert QUERIES["stream_upcoming"](spark, str(tmp_path)).count() == 120
+    assert written[0].count() == 3
