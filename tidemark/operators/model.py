@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.clocks import CLOCKS, causal_rows, known_at, minutes, require_clocks
 from tidemark.functions.scalars import logistic
-from tidemark.operators.ordered import frame_median, frames, latest_version, month, ordinals
+from tidemark.operators.ordered import array_frames, latest_version, month, ordinals
 from tidemark.session import cut_lineage
 
 YEAR = math.sqrt(252)
@@ -26,14 +27,18 @@ def universe_benchmark(bars: DataFrame, delay_minutes: float = 30) -> tuple[Data
     """Facts known in time (latest vintage) and their cross-sectional mean per event time."""
     require_clocks(bars, CLOCKS)
     known = latest_version(causal_rows(bars, delay_minutes), ["instrument_id", "event_time"])
+    return known, benchmark_of(known)
+
+
+def benchmark_of(known: DataFrame) -> DataFrame:
+    """Cross-sectional mean per event time of facts with one vintage each."""
     clocks = [c for c in CLOCKS if c != "event_time"]
-    benchmark = known.groupBy("event_time").agg(
+    return known.groupBy("event_time").agg(
         F.avg("total_return_close").alias("benchmark_total_return_close"),
         *[F.max(c).alias(f"benchmark_{c}") for c in clocks],
         # One row per instrument and time is left, so counting rows counts instruments.
         F.count("*").alias("benchmark_constituent_count"),
     )
-    return known, benchmark
 
 
 def supervised_dataset(
@@ -56,29 +61,33 @@ def supervised_dataset(
     )
     placed = ordinals(slim, ["instrument_id"], ["event_time"], month("event_time"))
 
-    def returns(w):
-        return {"ret": F.try_divide("p", F.lag("p").over(w)) - 1}
-
-    def features(w):
-        full = lambda n, x: F.when(c("ordinal") >= n, x)
-        last = lambda n: w.rowsBetween(-(n - 1), 0)
-        change = lambda n: F.try_divide("p", F.lag("p", n).over(w)) - 1
-        ahead = (
-            F.try_divide(F.lead("p", horizon).over(w), c("p"))
-            - F.try_divide(F.lead("b", horizon).over(w), c("b")) - cost_bps / 10000
-        )
+    def rolled(f, x):
+        ret = f.change(x["p"])
+        # The least of an unknown change and 0 is 0.
+        fall = (np.where(ret[1] & (ret[0] < 0), ret[0], 0.0), np.ones(len(ret[0]), bool))
         return {
-            "momentum_21": change(21), "momentum_63": change(63), "momentum_126": change(126),
-            "volatility_21": full(22, F.stddev_samp("ret").over(last(21)) * YEAR),
-            "downside_21": full(
-                22, F.stddev_samp(F.least("ret", F.lit(0.0))).over(last(21)) * YEAR
-            ),
-            "trend_50": full(50, F.try_divide("p", F.avg("p").over(last(50))) - 1),
-            "volume_ratio": full(21, F.try_divide(c("volume"), frame_median(c("volume"), last(21)))),
-            "excess": ahead,
+            **{f"_p{n}": f.lag(x["p"], n) for n in (21, 63, 126)},
+            "_p_ahead": f.lag(x["p"], -horizon), "_b_ahead": f.lag(x["b"], -horizon),
+            "_sd": f.sd(ret, 21), "_fall": f.sd(fall, 21), "_mean": f.mean(x["p"], 50),
+            "_median": f.median(x["volume"], 21),
         }
 
-    out = frames(placed, ["instrument_id"], [returns, features], back=126, ahead=horizon)
+    wide = array_frames(
+        placed, ["instrument_id"], ["p", "b", "volume"], rolled,
+        ["_p21", "_p63", "_p126", "_p_ahead", "_b_ahead", "_sd", "_fall", "_mean", "_median"],
+        back=126, ahead=horizon,
+    )
+    full = lambda n, x: F.when(c("ordinal") >= n, x)
+    out = wide.withColumns(
+        {
+            **{f"momentum_{n}": F.try_divide("p", f"_p{n}") - 1 for n in (21, 63, 126)},
+            "volatility_21": full(22, c("_sd") * YEAR),
+            "downside_21": full(22, c("_fall") * YEAR),
+            "trend_50": full(50, F.try_divide("p", "_mean") - 1),
+            "volume_ratio": full(21, F.try_divide("volume", "_median")),
+            "excess": F.try_divide("_p_ahead", "p") - F.try_divide("_b_ahead", "b") - cost_bps / 10000,
+        }
+    )
     complete = out.filter(
         known_features() & c("excess").isNotNull()
     ).withColumn("label", (c("excess") > 0).cast("int"))
@@ -178,9 +187,39 @@ def _newton_step(
     return pd.DataFrame(out, columns=["beta", "best", "slope"])
 
 
+# Groups of at most this many rows are solved where they lie.
+SMALL = 4096
+
+
+def _solver(keys: list[str], features: list[str], penalty: list[float], steps: int, tolerance: float, rounds: int):
+    """The steps of ``fit_logistic`` over the rows of one small group, as arrays."""
+
+    def solve(table: pa.Table) -> pa.Table:
+        x = np.column_stack([table[f].cast(pa.float64()).to_numpy() for f in features])
+        x = np.column_stack([x, np.ones(len(x))])
+        y, weight = table["label"].cast(pa.float64()).to_numpy(), np.asarray(penalty)
+        beta = best = np.zeros(x.shape[1])
+        slope, done = np.inf, 0
+        while done < steps * rounds and not (done % steps == 0 and slope <= tolerance):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
+            gradient = x.T @ (p - y) + weight * beta
+            now = float(np.abs(gradient).max()) / len(x)
+            if now < slope:
+                hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(weight)
+                beta, best, slope = beta - np.linalg.solve(hessian, gradient), beta, now
+            else:
+                beta = (beta + best) / 2
+            done += 1
+        group = table.select(keys).slice(0, 1)
+        group = group.append_column("best", pa.array([best.tolist()], pa.list_(pa.float64())))
+        return group.append_column("slope", pa.array([slope], pa.float64()))
+
+    return solve
+
+
 def fit_logistic(
     rows: DataFrame, keys: list[str], features: list[str], strength: float, steps: int = 7,
-    tolerance: float = 1e-7, rounds: int = 12, residual: bool = False,
+    tolerance: float = 1e-7, rounds: int = 12, residual: bool = False, small: int = SMALL,
 ) -> DataFrame:
     """L2-regularised logistic regression per group by Newton steps: ``beta``, intercept last.
 
@@ -188,12 +227,27 @@ def fit_logistic(
     hold any number of rows. Only the solution of the small system sees a group as one row. The
     intercept is not penalised. Steps that don't lower the largest gradient a row are halved; after
     every ``steps`` of them the largest left of any group, one number, decides on another round.
-    ``residual`` adds it per group as ``slope``.
+    ``residual`` adds it per group as ``slope``. Groups of at most ``small`` rows take the same steps in one
+    task each; only larger ones pay for a pass a step.
     """
     size = len(features) + 1
     x = [F.col(f) for f in features] + [F.lit(1.0)]
     penalty = [1.0 / strength] * len(features) + [1e-12]
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    rows = rows.select(*keys, *features, "label")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    large = cut_lineage(sizes.filter(F.col("_n") > small).select(*keys))
+    some_large = not large.isEmpty()
+    key_types = [f for f in rows.schema.fields if f.name in keys]
+    solved = (rows.join(large, keys, "left_anti") if some_large else rows).groupBy(*keys).applyInArrow(
+        _solver(keys, features, penalty, steps, tolerance, rounds),
+        T.StructType([*sorted(key_types, key=lambda f: keys.index(f.name)), T.StructField("best", _POINT),
+                      T.StructField("slope", T.DoubleType())]),
+    )
+    kept_columns = [*keys, F.col("best").alias("beta"), *(["slope"] if residual else [])]
+    if not some_large:
+        return solved.select(*kept_columns)
+    rows = cut_lineage(rows.join(large, keys, "left_semi"))
     zero = F.array(*[F.lit(0.0)] * size)
     state = rows.select(*keys).distinct().withColumns(
         {"beta": zero, "best": zero, "slope": F.lit(float("inf"))}
@@ -225,8 +279,7 @@ def fit_logistic(
         left = state.agg(F.max("slope")).first()[0]
         if left is None or left <= tolerance:
             break
-    out = state.select(*keys, F.col("best").alias("beta"), *(["slope"] if residual else []))
-    return out
+    return solved.select(*kept_columns).unionByName(state.select(*kept_columns))
 
 
 def evaluate_per_instrument(assigned: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ import math
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.clocks import CLOCKS, causal_rows
 from tidemark.functions.scalars import r6
 from tidemark.operators import integrity, model
+from tidemark.operators.ordered import latest_version
 from tidemark.plans import views
-from tidemark.plans.market import BENCH_SQL, staged_bars
+from tidemark.plans.market import BENCH_SQL
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage
 
@@ -40,8 +42,17 @@ ds AS (SELECT *, CASE WHEN excess > 0 THEN 1 ELSE 0 END AS label FROM d2
 
 
 def dataset(t):
-    known, bench = model.universe_benchmark(staged_bars(t))
-    return model.supervised_dataset(known, bench, HORIZON)
+    """The benchmark and the bars joined to it rest on the same latest vintages, written once."""
+    bars = views.facts(t).select(
+        "instrument_id", *CLOCKS, "revision", "total_return_close", "volume", "bid_ask_spread_bps"
+    )
+    known = cut_lineage(latest_version(causal_rows(bars), ["instrument_id", "event_time"]))
+    return model.supervised_dataset(known, model.benchmark_of(known), HORIZON)
+
+
+def folds(t):
+    """The dataset with folds and roles; it is read several times, so it is written first."""
+    return model.walk_forward(cut_lineage(dataset(t)), ["instrument_id"], HORIZON)
 
 
 @query(
@@ -77,14 +88,14 @@ def _model_dataset(t):
     "bars",
 )
 def _walk_forward_folds(t):
-    assigned = model.walk_forward(dataset(t), ["instrument_id"], HORIZON)
+    assigned = folds(t)
     return assigned.groupBy("instrument_id", "fold", "role").agg(F.count("*").alias("samples"))
 
 
 @query("model_evaluation", "J-12 J-13")
 def _model_evaluation(t):
     """Per-instrument walk-forward evaluation with calibrated probabilities."""
-    assigned = cut_lineage(model.walk_forward(dataset(t), ["instrument_id"], HORIZON))
+    assigned = cut_lineage(folds(t))
     predictions = cut_lineage(model.evaluate_per_instrument(assigned))
     scores = model.brier(predictions, ["instrument_id"]).join(
         model.calibration_error(predictions, ["instrument_id"]), "instrument_id"
@@ -101,7 +112,7 @@ def _model_evaluation(t):
 @query("pooled_model", "J-12")
 def _pooled_model(t):
     """One model over all instruments, last fold."""
-    assigned = cut_lineage(model.walk_forward(dataset(t), ["instrument_id"], HORIZON))
+    assigned = cut_lineage(folds(t))
     predictions = model.evaluate_pooled(assigned, 2)
     return model.brier(predictions).select(
         r6(F.col("brier_score")).alias("brier_score"),
