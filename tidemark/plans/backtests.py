@@ -6,10 +6,13 @@ import math
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.clocks import CLOCKS
 from tidemark.functions.scalars import r6
 from tidemark.operators import backtest
-from tidemark.plans.market import staged_bars
+from tidemark.plans import views
+from tidemark.plans.market import EXECUTION_COLUMNS
 from tidemark.plans.registry import query
+from tidemark.session import cut_lineage
 
 YEAR = math.sqrt(252)
 
@@ -50,8 +53,15 @@ targets AS (SELECT mode, o.idx, i, CASE WHEN mode = 'momentum' THEN 1.0::DOUBLE
        FROM o LEFT JOIN cut ON cut.idx = o.idx)"""
 
 
+def _bars(t):
+    """The bars with the columns a backtest reads, written once."""
+    return cut_lineage(views.facts(t).select(
+        "instrument_id", *CLOCKS, "total_return_close", *EXECUTION_COLUMNS
+    ))
+
+
 def _run(t) -> backtest.Backtest:
-    return backtest.Backtest(staged_bars(t))
+    return backtest.Backtest(_bars(t))
 
 
 @query(
@@ -62,10 +72,10 @@ def _run(t) -> backtest.Backtest:
     "bars",
 )
 def _pit_targets(t):
-    shared = backtest.prepare(staged_bars(t))
-    return shared["weights"].join(shared["times"], "idx").select(
-        "mode", F.date_format("event_time", "yyyy-MM-dd").alias("day"), "instrument_id",
-        r6(F.col("weight")).alias("weight"),
+    shared = backtest.prepare(_bars(t))
+    days = shared["times"].select("idx", F.date_format("event_time", "yyyy-MM-dd").alias("day"))
+    return shared["weights"].join(days, "idx").select(
+        "mode", "day", "instrument_id", r6(F.col("weight")).alias("weight"),
     )
 
 
