@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import model
 from tidemark.operators.ordered import array_frames, frame_median, frames
-from tidemark.plans import QUERIES
+from tidemark.plans import QUERIES, market
+from tidemark.sources.tables import Tables
 
 
 def test_array_frames_equal_windows(spark):
@@ -75,3 +76,11 @@ def test_small_groups_are_fitted_without_a_pass_a_step(spark):
     for k in (0, 1, 2):
         np.testing.assert_allclose(few[k], stepwise[k], atol=1e-9)
         np.testing.assert_allclose(mixed[k], stepwise[k], atol=1e-9)
+
+
+def test_staged_bars_hold_the_columns_asked_for(spark, folder):
+    t = Tables(spark, folder)
+    few = market.staged_bars(t, "instrument_id", "event_time", "close")
+    assert few.columns == ["instrument_id", "event_time", "close"]
+    whole = market.staged_bars(t).select(*few.columns)
+    assert few.exceptAll(whole).isEmpty() and few.count() == whole.count()

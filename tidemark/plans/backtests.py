@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.clocks import CLOCKS
 from tidemark.functions.scalars import r6
 from tidemark.operators import backtest
-from tidemark.plans import views
-from tidemark.plans.market import EXECUTION_COLUMNS
+from tidemark.plans.market import EXECUTION_COLUMNS, staged_bars
 from tidemark.plans.registry import query
-from tidemark.session import cut_lineage
 
 YEAR = math.sqrt(252)
 
@@ -55,9 +53,7 @@ targets AS (SELECT mode, o.idx, i, CASE WHEN mode = 'momentum' THEN 1.0::DOUBLE
 
 def _bars(t):
     """The bars with the columns a backtest reads, written once."""
-    return cut_lineage(views.facts(t).select(
-        "instrument_id", *CLOCKS, "total_return_close", *EXECUTION_COLUMNS
-    ))
+    return staged_bars(t, "instrument_id", *CLOCKS, "total_return_close", *EXECUTION_COLUMNS)
 
 
 def _run(t) -> backtest.Backtest:
