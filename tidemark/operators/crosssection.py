@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.ordered import PART, Running, last_rows, ordinals, range_buckets, running
 from tidemark.session import cut_lineage
 
-# Slices of the score axis in which spans are counted along time.
-SLICES = 64
+# Slices of the score axis in which spans are counted along time, for each doubling of a score.
+SLICES = 16
 # Steps of time that share a row of slice counts.
 STEPS = 8
 
@@ -42,21 +42,31 @@ def percentile_rank(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame
     )
 
 
-def top_spans(
-    spans: DataFrame, keys: Sequence[str], score: str, share: float, start: str = "enter", stop: str = "until"
+def score_slice(score: Column) -> Column:
+    """The score rounded to few binary digits: it never falls as the score rises, and near scores share it."""
+    wide = score * F.lit(2.0 ** 52 / SLICES + 1)
+    ends = F.when(score > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    return F.when(F.abs(score) < 1e290, wide - (wide - score)).when(F.isnan(score), score).otherwise(ends)
+
+
+def span_cuts(
+    spans: DataFrame, keys: Sequence[str], score: str, share: float, start: str = "enter", stop: str = "until",
+    lowest: float | None = None,
 ) -> DataFrame:
-    """Spans of time with a score, one row for each step at which the score's percentile reaches ``share``.
+    """(keys, idx, sure, least): the score from which the percentile reaches ``share``, one row a step.
+
+    Scores up to ``lowest`` are counted, but a cut-off among them is not looked for.
 
-    The percentile is that of ``percentile_rank`` among the spans that hold at the step. No panel is
-    built: spans come and go as +1 and -1 on slices of the score axis, laid between quantiles of all spans;
-    running sums give each step's count per slice, and so the slice in which the cut-off lies. Spans above
-    it are expanded as they are; those in it are ranked by value; those below never are. ``spans`` is
-    read several times and should be a stored table.
+    The percentile is that of ``percentile_rank`` among the spans that hold at the step; it is reached in
+    slices from ``sure`` on, and by scores from ``least`` on. No panel is built: spans come and go as +1 and -1 on
+    slices of the score axis; running sums give each step's count per slice, and so the slice in which the
+    cut-off lies. Only spans in that slice are expanded and ranked by value.
     """
     c = F.col
-    ends = spans.groupBy(*keys).agg(F.percentile_approx(score, [0.02, 0.98]).alias("_ends"))
-    place = F.width_bucket(c(score), c("_ends")[0], c("_ends")[1], F.lit(SLICES))
-    sliced = spans.join(ends, list(keys)).withColumn("_slice", F.coalesce(place, F.lit(0))).drop("_ends")
+    place = score_slice(c(score))
+    if lowest is not None:
+        place = F.when(c(score) > lowest, place).otherwise(float("-inf"))
+    sliced = spans.select(*keys, score, start, stop, place.alias("_slice"))
     moves = sliced.select(*keys, "_slice", F.inline(F.array(
         F.struct(c(start).alias("_at"), F.lit(1).alias("_d")),
         F.struct((c(stop) + 1).alias("_at"), F.lit(-1).alias("_d")),
@@ -71,25 +81,53 @@ def top_spans(
     below = F.coalesce(
         F.sum("_n").over(step.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    placed = counts.withColumns({"_below": below, "_total": F.sum("_n").over(step)}).filter(
+    placed = cut_lineage(counts.withColumns({"_below": below, "_total": F.sum("_n").over(step)}).filter(
         (c("_below") + c("_n")) / c("_total") >= share
-    )
-    reached = placed.groupBy(*keys, "_slice", F.expr(f"idx div {STEPS}").alias("_bin")).agg(
-        F.collect_list(F.struct(
-            "idx", "_below", "_total", ((c("_below") + 1) / c("_total") >= share).alias("_sure")
-        )).alias("_steps")  # at most one entry a step
+    ).withColumn("_sure", (c("_below") + 1) / c("_total") >= share))
+    if lowest is not None:
+        placed = placed.filter(c("_slice") > float("-inf"))
+    sure = placed.groupBy(*keys, "idx").agg(F.min(F.when(c("_sure"), c("_slice"))).alias("sure"))
+    reached = cut_lineage(
+        placed.filter(~c("_sure")).groupBy(*keys, "_slice", F.expr(f"idx div {STEPS}").alias("_bin"))
+        .agg(F.collect_list(F.struct("idx", "_below", "_total")).alias("_steps"))  # at most one entry a step
     )
     pieces = sliced.withColumn(
         "_bin", F.explode(F.sequence(F.expr(f"{start} div {STEPS}"), F.expr(f"{stop} div {STEPS}")))
     ).join(reached, [*keys, "_slice", "_bin"])
     inside = F.filter("_steps", lambda x: x["idx"].between(c(start), c(stop)))
-    kept = [x for x in spans.columns if x not in (start, stop)]
-    found = cut_lineage(pieces.select(*kept, F.inline(inside)))
-    edge = found.filter(~c("_sure"))
-    values = placed_values(edge, [*keys, "idx"], score).withColumnRenamed("_below", "_under")
+    edge = cut_lineage(pieces.select(*keys, score, F.inline(inside)).groupBy(*keys, "idx", score).agg(
+        F.count("*").alias("_same"), F.max("_below").alias("_below"), F.max("_total").alias("_total")))
+    values = running(
+        range_buckets(edge, [*keys, "idx", score]), [*keys, "idx"], [score], F.col(PART),
+        {"_under": Running("sum", c("_same"), exclusive=True)},
+    )
     rank = (c("_below") + c("_under") + 1 + (c("_same") - 1) / 2.0) / c("_total")
-    in_edge = edge.join(values, [*keys, "idx", score]).filter(rank >= share)
-    return found.filter("_sure").select(*kept, "idx").unionByName(in_edge.select(*kept, "idx"))
+    least = values.filter(rank >= share).groupBy(*keys, "idx").agg(F.min(score).alias("least"))
+    return cut_lineage(sure.join(least, [*keys, "idx"], "left"))
+
+
+def reaches(score: Column, sure: Column, least: Column) -> Column:
+    """Whether a score is above the cut-off of its step (``span_cuts``)."""
+    return F.coalesce(score >= least, F.lit(False)) | F.coalesce(score_slice(score) >= sure, F.lit(False))
+
+
+def above_cuts(
+    spans: DataFrame, cuts: DataFrame, keys: Sequence[str], score: str, start: str = "enter", stop: str = "until"
+) -> DataFrame:
+    """Spans of time, one row for each step at which the score is above the step's cut-off."""
+    kept = [x for x in spans.columns if x not in (start, stop)]
+    cells = spans.select(*kept, F.explode(F.sequence(start, stop)).alias("idx"))
+    return cells.join(cuts, [*keys, "idx"]).filter(reaches(F.col(score), F.col("sure"), F.col("least"))).select(*kept, "idx")
+
+
+def top_spans(
+    spans: DataFrame, keys: Sequence[str], score: str, share: float, start: str = "enter", stop: str = "until"
+) -> DataFrame:
+    """Spans of time with a score, one row for each step at which the score's percentile reaches ``share``.
+
+    ``spans`` is read several times and should be a stored table.
+    """
+    return above_cuts(spans, span_cuts(spans, keys, score, share, start, stop), keys, score, start, stop)
 
 
 def exact_median(
@@ -122,6 +160,15 @@ def capped_weights(
     At most budget/cap members can sit at the cap and they are the heaviest ones. So only the few
     heaviest per group are ordered (cut map-side); everyone else needs just the group total.
     """
+    terms = capped_terms(df, keys, weight, member, budget, cap)
+    share = capped_share(F.col(weight), F.col(member), budget, cap)
+    return df.join(terms, list(keys)).withColumn(name, share).drop("_k", "_rest", "_edge")
+
+
+def capped_terms(
+    df: DataFrame, keys: Sequence[str], weight: str, member: str, budget: float, cap: float
+) -> DataFrame:
+    """(keys, _k, _rest, _edge): what ``capped_share`` needs to know of a group."""
     w = F.greatest(F.col(weight), F.lit(0.0))
     rows = df.withColumn("_w", w)
     most = int(math.floor(budget / cap + 1e-9)) + 1
@@ -137,7 +184,7 @@ def capped_weights(
         <= F.lit(cap * (1 + 1e-12))
     )
     first_open = F.min(F.when(F.col("_open"), F.struct(place.alias("k"), F.col("_ahead"))))
-    solved = (
+    return (
         top.groupBy(*keys)
         .agg(
             first_open.alias("_cut"),
@@ -158,17 +205,14 @@ def capped_weights(
             *keys, "_k", "_rest", F.when(F.col("_k") > 0, F.try_element_at("_top", "_k")).alias("_edge")
         )
     )
-    capped = F.coalesce(
-        (F.col("_w") > F.col("_edge._w"))
-        | ((F.col("_w") == F.col("_edge._w")) & (F.col(member) <= F.col("_edge._m"))),
-        F.lit(False),
-    )
-    share = F.col("_w") * F.greatest(F.lit(budget) - F.col("_k") * cap, F.lit(0.0)) / F.col("_rest")
-    return (
-        rows.join(solved, list(keys))
-        .withColumn(name, F.when(capped, F.lit(float(cap))).otherwise(F.coalesce(share, F.lit(0.0))))
-        .drop("_w", "_k", "_rest", "_edge")
-    )
+
+
+def capped_share(weight: Column, member: Column, budget: float, cap: float) -> Column:
+    """A member's share from the terms of its group: the cap for the heaviest, in proportion for the rest."""
+    w, edge = F.greatest(weight, F.lit(0.0)), F.col("_edge")
+    capped = F.coalesce((w > edge["_w"]) | ((w == edge["_w"]) & (member <= edge["_m"])), F.lit(False))
+    share = w * F.greatest(F.lit(budget) - F.col("_k") * cap, F.lit(0.0)) / F.col("_rest")
+    return F.when(capped, F.lit(float(cap))).otherwise(F.coalesce(share, F.lit(0.0)))
 
 
 def concentration_rules(
