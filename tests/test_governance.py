@@ -69,3 +69,12 @@ def test_digests_follow_the_rows_that_hold(spark, versions):
     # The order of rows and of changes doesn't matter.
     again = governance.digest_history(versions.orderBy(F.desc("v")), ["owner"], ["v", "id"])
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in history.collect()}
+
+
+def test_reasons_keep_order_without_a_filter_by_a_function(spark):
+    from tidemark.operators import gates
+
+    df = spark.createDataFrame([(1, None), (2, True), (3, False)], "id int, x boolean")
+    codes = gates.reasons(("A", F.col("x")), ("B", F.col("id") > 1), ("A", F.lit(True)))
+    assert [r.codes for r in df.orderBy("id").select(codes.alias("codes")).collect()] == [["A"], ["A", "B"], ["B", "A"]]
+    assert "lambdafunction" not in df.select(codes)._jdf.queryExecution().optimizedPlan().toString()
