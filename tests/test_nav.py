@@ -3,10 +3,14 @@
 import datetime as dt
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tests.harness import compare
 from tidemark.operators import ledger
+from tidemark.plans import QUERIES
+from tidemark.sources.tables import SCHEMAS
 
 AT = dt.datetime(2004, 6, 1, tzinfo=dt.timezone.utc)
 UTC = dt.timezone.utc
@@ -71,3 +75,27 @@ def test_prices_go_to_groups_not_to_holders(books):
     _, bars, book, priced = books
     rows = ledger.nav_rows(book, priced, AT).filter("portfolio_id is null and t is not null")
     assert rows.count() <= len(bars) and rows.select("part").distinct().count() == 1
+
+
+def test_gate_judges_a_book_whose_value_never_left_zero_by_its_nav(spark, tmp_path):
+    """Opened with a debt after the first mark, so the highest value is zero and no drawdown is known; its NAV still is."""
+    at = lambda day: dt.datetime(2024, 1, day)
+    kinds = ["signup", "purchase", "click"]
+    events = [(1, at(20), 1, kinds[0], 1.0, '{"k": 1}'), (2, at(21), 1, kinds[1], 30.0, '{"k": 1}'),  # 1 % 7 = 1: a debt of 500
+              (3, at(1), 3, kinds[0], 1.0, '{"k": 1}'), (4, at(1), 3, kinds[1], 30.0, '{"k": 1}'),
+              (5, at(1), 8, kinds[0], 1.0, '{"k": 1}'), (6, at(1), 8, kinds[1], 30.0, '{"k": 1}'), (7, at(2), 8, kinds[1], 30.0, '{"k": 2}')]
+    month = lambda n: dt.datetime(1995 + n // 12, n % 12 + 1, 3)
+    lines = [(n, 5, 1, 1, 3.0, 90.0, 0.05, 0.02, "N", "O", month(n)) for n in range(77)] + [(99, 5, 2, 1, 3.0, 90.0, 0.05, 0.02, "N", "O", month(1))]
+    rows = {"events": events, "lineitem": lines, "supplier": [(k, f"s{k}", 0, 1.0) for k in (1, 2)],
+            "nation": [(0, "N", 0)], "region": [(0, "AFRICA")]}
+    con = duckdb.connect()
+    for name, r in rows.items():
+        frame = spark.createDataFrame(r, SCHEMAS[name])
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    query = QUERIES["portfolio_gate"]
+    got = {r["portfolio_id"]: r for r in query(spark, str(tmp_path)).collect()}
+    assert got[1]["max_drawdown"] is None and got[1]["nav"] < 0
+    assert "PORTFOLIO_OPENING_CAPITAL_INVALID" in got[1]["rules"] and "PORTFOLIO_VALUATION_UNAVAILABLE" in got[1]["rules"]
+    assert got[8]["nav"] is None and got[8]["rules"] == "PORTFOLIO_VALUATION_UNAVAILABLE"
+    assert compare(spark, con, str(tmp_path), query)[2] is None

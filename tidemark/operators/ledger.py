@@ -307,7 +307,8 @@ def portfolio_gate(
 
     A book without positions is judged by its cash alone, and only if it was ever opened. Otherwise NAV and
     drawdown come from the valuation; holdings missing from the instrument master stop the check of
-    concentration. An opening of nothing counts as ``initial_cash``.
+    concentration. An opening of nothing counts as ``initial_cash``. A book whose highest value never left zero has
+    no drawdown: that makes its valuation unavailable, but what its NAV alone decides is judged as ever.
     """
     c = F.col
     valued = cut_lineage(valuation(entries, bars, at, stale_after_minutes))
@@ -327,7 +328,7 @@ def portfolio_gate(
         # At most one entry per breached cap: 1 / smallest cap per level bounds the list.
         F.array_sort(F.collect_list(F.struct("level", "rule"))).alias("_b")
     )
-    flat, marked = c("holdings").isNull(), c("nav").isNotNull() & c("max_drawdown").isNotNull()
+    flat, marked, fell = c("holdings").isNull(), c("nav").isNotNull(), c("max_drawdown").isNotNull()
     funds = F.when(flat, c("opening")).otherwise(
         F.when(F.coalesce("opening", F.lit(0.0)) == 0, F.lit(initial_cash)).otherwise(c("opening"))
     )
@@ -341,7 +342,7 @@ def portfolio_gate(
     no_codes = F.array().cast("array<string>")
     rules = F.concat(
         F.array_compact(F.array(
-            F.when(~flat & ~marked, "PORTFOLIO_VALUATION_UNAVAILABLE"),
+            F.when(~flat & ~(marked & fell), "PORTFOLIO_VALUATION_UNAVAILABLE"),
             F.when(priced & (c("_funds") <= 0), "PORTFOLIO_OPENING_CAPITAL_INVALID"),
             F.when(priced & (c("_funds") > 0) & lost, "PORTFOLIO_MAX_SIMULATION_LOSS"),
             F.when(held & (c("max_drawdown") <= -limits.max_drawdown), "PORTFOLIO_MAX_DRAWDOWN"),
@@ -354,7 +355,7 @@ def portfolio_gate(
     text = lambda xs: F.lit("|".join(repr(float(x)) for x in xs))
     context = F.sha2(F.concat_ws(
         SEPARATOR, F.array_join(F.transform("rules", escaped), SEPARATOR),
-        F.when(flat, text(bounds)).otherwise(text([*bounds, *caps])),
+        F.when(flat, text(bounds)).otherwise(text([*bounds, *caps])), F.when(~flat & ~fell, F.lit("no drawdown")),
     ), 256)
     return (
         valued.join(unknown, KEY, "left").join(breaches, KEY, "left")

@@ -273,7 +273,7 @@ def _portfolio_gate(t):
     """Books fed by their valuation. Equal context numbers stand for equal context hashes."""
     out = cut_lineage(gated(t))
     kinds = out.groupBy("context_hash").agg(F.min(F.concat(
-        F.array_join("rules", ","), F.when(F.col("holdings").isNull(), "-").otherwise("+")
+        F.array_join("rules", ","), F.when(F.col("holdings").isNull() | F.col("max_drawdown").isNull(), "-").otherwise("+")
     )).alias("kind"))
     number = kinds.withColumn("context", F.dense_rank().over(Window.orderBy("kind")).cast("bigint"))
     return out.join(number, "context_hash").select(
