@@ -232,3 +232,38 @@ def test_top_k_refuses_what_leaves_64_bits(spark):
             topk.top_k(rows, rows).collect()
     fine = make([1e6, 1.0], [1e6, -1.0])
     assert [r.score for r in topk.top_k(fine, fine).orderBy("query_id").collect()] == [(256 * 10**6) ** 2 - 256**2] * 2
+
+
+def test_no_vectors_are_broadcast(spark, monkeypatch):
+    """Query blocks times index blocks must not meet in the driver: only numbers of blocks are broadcast, by a row a length."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = topk.top_k(df.where("vec_id % 5 = 0"), df)
+    ints = {i: [int(np.floor(256 * np.float64(np.float32(x)))) for x in v] for i, v in rows}
+    want = [(q, r + 1, i, -s) for q in ints if q % 5 == 0 for r, (s, i) in enumerate(sorted(
+        (-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:5])]
+    assert sorted(tuple(r) for r in out.collect()) == want
+    plan = out._jdf.queryExecution().executedPlan()
+    sent, left = [], [plan]
+    while left:
+        node = left.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            left.append(node.executedPlan())
+        elif "QueryStage" in name:
+            left.append(node.plan())
+        else:
+            if name == "BroadcastExchange":
+                sent.append(node.schema().simpleString())
+            left += [node.children().apply(k) for k in range(node.children().size())]
+    assert sent == ["struct<dim:int,block:array<bigint>>"]
+
+
+def test_packed_integers_come_back():
+    for top in (0, 1, (1 << 15) - 1, 1 << 15, (1 << 31) - 1, 1 << 31, 1 << 62):
+        v = np.array([[top, -top, 3], [0, 1, -1]], np.int64)
+        assert (topk.unpacked(topk.packed(v.ravel()), 2, 3) == v).all()
+    assert topk.unpacked(topk.packed(np.zeros(0, np.int64)), 4, 0).shape == (4, 0)

@@ -9,8 +9,9 @@ stops as soon as few vectors can reach the k-th best lower bound, which is proof
 the possible members are then scored exactly from their whole vectors, whatever their number.
 
 Index blocks are packed where the rows are read, without a shuffle by any key. Blocks of the stated query
-set meet all index blocks through a join on the block number; each meeting yields k rows a query, and a
-ranking per query with a limit before the shuffle merges them.
+set go to the task of each index block by its number, behind the index block itself, which comes once; each meeting
+yields k rows a query, and a ranking per query with a limit before the shuffle merges them. Only numbers of blocks
+are broadcast, never vectors.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do rows
 without an id, which could not be named; vectors of different length don't meet; rows that share the query's
@@ -53,8 +54,19 @@ def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> Dat
     return df.where(good & column(id_col).isNotNull()).select(column(id_col).cast("long").alias("id"), v.alias("v"))
 
 
+def packed(v: np.ndarray) -> bytes:
+    """64-bit integers in the narrowest of 2, 4 and 8 bytes that holds them all."""
+    low, high = v.min(initial=0), v.max(initial=0)
+    kinds = (np.int16, np.int32, np.int64)
+    return v.astype(next(k for k in kinds if np.iinfo(k).min <= low and high <= np.iinfo(k).max)).tobytes()
+
+
+def unpacked(v: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(v, f"i{len(v) // (n * dim) if n * dim else 8}").astype(np.int64).reshape(n, dim)
+
+
 def pack(vectors: DataFrame, most: int) -> DataFrame:
-    """Blocks (dim, ids, v) of at most ``most`` vectors of one length, as packed 64-bit integers."""
+    """Blocks (dim, ids, v) of at most ``most`` vectors of one length, as packed integers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -63,7 +75,7 @@ def pack(vectors: DataFrame, most: int) -> DataFrame:
             ids, rows = zip(*held.pop(dim))
             v = np.concatenate(rows) if dim else np.zeros(0, np.int64)
             return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())],
+                [pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([packed(v)], pa.binary())],
                 ["dim", "ids", "v"],
             )
 
@@ -86,7 +98,7 @@ class Index:
         self.ids = np.frombuffer(ids, np.int64)
         by_id = np.argsort(self.ids, kind="stable")
         self.ids = self.ids[by_id]
-        self.v = np.frombuffer(v, np.int64).reshape(len(self.ids), dim)[by_id]
+        self.v = unpacked(v, len(self.ids), dim)[by_id]
         self.order = np.argsort(self.v, axis=0, kind="stable").T.astype(np.int32).copy()
         self.sorted = np.take_along_axis(self.v, self.order.T, axis=0).T.copy()
         top = np.abs(self.v).max(initial=0)
@@ -160,18 +172,19 @@ def top_k(
         .select("dim", F.col("ids").alias("q_ids"), F.col("v").alias("q"), F.monotonically_increasing_id().alias("asked"))
     )
     # The meetings of blocks: every query block goes to every index block of its length, by block number.
-    tasks = index.groupBy("dim").agg(F.collect_list("block").alias("block"))
-    tasks = asked.join(tasks, "dim").select("asked", "q_ids", "q", F.explode("block").alias("block"))
+    tasks = F.broadcast(index.groupBy("dim").agg(F.collect_list("block").alias("block")))
+    sent = asked.join(tasks, "dim").select(F.explode("block").alias("block"), "asked", "dim", F.col("q_ids").alias("ids"), F.col("q").alias("v"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, index_ = None, None
+        index_ = None
         floors: dict[tuple[int, int], list[int]] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                if row["block"] != last:
-                    last, index_ = row["block"], Index(row["dim"], row["ids"], row["v"])
-                ids = np.frombuffer(row["q_ids"], np.int64)
-                q = np.frombuffer(row["q"], np.int64).reshape(len(ids), row["dim"])
+                if row["asked"] is None:
+                    index_ = Index(row["dim"], row["ids"], row["v"])
+                    continue
+                ids = np.frombuffer(row["ids"], np.int64)
+                q = unpacked(row["v"], len(ids), row["dim"])
                 if len(floors) > 1 << 16:
                     floors.clear()
                 out = []
@@ -183,7 +196,10 @@ def top_k(
                 cols = list(zip(*out)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["asked", "place", "query_id", "vec_id", "score"])
 
-    met = tasks.join(index, "block").select("asked", "q_ids", "q", "block", "dim", "ids", "v").sortWithinPartitions("block")
+    # An index block comes before the query blocks sent to it. The number of parts is stated: the work is in what is
+    # computed, so parts that are small in bytes must not be put together.
+    met = index.withColumn("asked", F.lit(None).cast("long")).unionByName(sent)
+    met = met.repartition(4 * blocks, "block").sortWithinPartitions("block", F.asc_nulls_first("asked"))
     found = met.mapInArrow(work, "asked long, place long, query_id long, vec_id long, score long")
     order = Window.partitionBy("asked", "place", "query_id").orderBy(F.col("score").desc(), "vec_id")
     ranks = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
