@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import model
+from tidemark.plans import QUERIES, models
 
 
 def newton(x: np.ndarray, y: np.ndarray, strength: float, steps: int = 100):
@@ -86,3 +87,40 @@ def test_separable_scores_converge(spark):
         beta = np.array(row.beta)
         slope = x.T @ (1 / (1 + np.exp(-np.clip(x @ beta, -500, 500))) - y) + np.array([beta[0], 1e-12 * beta[1]])
         assert np.abs(slope).max() < 1e-4 and row.slope <= 1e-7
+
+
+def samples(spark):
+    """Instruments of several lengths, one too short, one with a single label, one constant in a feature."""
+    rng = np.random.default_rng(4)
+    parts = []
+    for who, n in enumerate([400, 250, 95, 60, 300, 130]):
+        pdf = pd.DataFrame(rng.normal(size=(n, len(model.FEATURES))), columns=list(model.FEATURES))
+        pdf["instrument_id"], pdf["event_time"] = who, pd.date_range("2020-01-01", periods=n, tz="UTC")
+        pdf["label"] = (rng.random(n) < 1 / (1 + np.exp(-pdf["momentum_21"] + pdf["spread_bps"]))).astype("int32")
+        parts.append(pdf)
+    parts[4]["label"] = np.int32(1)
+    parts[1]["spread_bps"] = 0.1
+    return spark.createDataFrame(pd.concat(parts).sample(frac=1, random_state=1))
+
+
+def test_instruments_taken_whole_predict_as_by_tables(spark):
+    data = samples(spark)
+    by = ["instrument_id", "fold", "event_time"]
+    want = model.evaluate_per_instrument(model.walk_forward(data, ["instrument_id"], 5)).toPandas().sort_values(by, ignore_index=True)
+    assert set(want["instrument_id"]) >= {0, 1} and 3 not in set(want["instrument_id"]) and len(want) > 500
+    for small in (model.SMALL, 200, 0):
+        out = model.evaluate_instruments(data, 5, small=small)
+        got = out.toPandas().sort_values(by, ignore_index=True)
+        assert out.columns == list(want.columns)
+        pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-7, atol=1e-7)
+    assert model.evaluate_instruments(data.limit(0), 5).count() == 0
+
+
+def test_evaluation_writes_no_features(spark, folder, monkeypatch):
+    """Neither the dataset nor its rows for each fold are staged, only the bars known and what is predicted."""
+    written = []
+    for module in (model, models):
+        kept = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda df, kept=kept: written.append(df.columns) or kept(df))
+    assert QUERIES["model_evaluation"](spark, folder).count() == 10
+    assert not any({"momentum_21", "z0", "role", "score"} & set(columns) for columns in written)

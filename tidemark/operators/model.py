@@ -191,13 +191,11 @@ def _newton_step(
 SMALL = 4096
 
 
-def _solver(keys: list[str], features: list[str], penalty: list[float], steps: int, tolerance: float, rounds: int):
-    """The steps of ``fit_logistic`` over the rows of one small group, as arrays."""
+def _newton(penalty: list[float], steps: int = 7, tolerance: float = 1e-7, rounds: int = 12):
+    """The steps of ``fit_logistic`` over the rows of one group as arrays: (best point, largest gradient a row)."""
 
-    def solve(table: pa.Table) -> pa.Table:
-        x = np.column_stack([table[f].cast(pa.float64()).to_numpy() for f in features])
-        x = np.column_stack([x, np.ones(len(x))])
-        y, weight = table["label"].cast(pa.float64()).to_numpy(), np.asarray(penalty)
+    def newton(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+        x, weight = np.column_stack([x, np.ones(len(x))]), np.asarray(penalty)
         beta = best = np.zeros(x.shape[1])
         slope, done = np.inf, 0
         while done < steps * rounds and not (done % steps == 0 and slope <= tolerance):
@@ -210,6 +208,17 @@ def _solver(keys: list[str], features: list[str], penalty: list[float], steps: i
             else:
                 beta = (beta + best) / 2
             done += 1
+        return best, slope
+
+    return newton
+
+
+def _solver(keys: list[str], features: list[str], penalty: list[float], steps: int, tolerance: float, rounds: int):
+    newton = _newton(penalty, steps, tolerance, rounds)
+
+    def solve(table: pa.Table) -> pa.Table:
+        x = np.column_stack([table[f].cast(pa.float64()).to_numpy() for f in features])
+        best, slope = newton(x, table["label"].cast(pa.float64()).to_numpy())
         group = table.select(keys).slice(0, 1)
         group = group.append_column("best", pa.array([best.tolist()], pa.list_(pa.float64())))
         return group.append_column("slope", pa.array([slope], pa.float64()))
@@ -329,6 +338,77 @@ def evaluate_per_instrument(assigned: DataFrame) -> DataFrame:
     )
 
 
+def _evaluator(horizon: int, folds: int, embargo: int):
+    """``walk_forward`` and ``evaluate_per_instrument`` over the rows of one instrument, as arrays."""
+    names, least, gap = list(FEATURES), max(80, horizon * 4), horizon + embargo
+    fitted, calibrated = _newton([1.0 / 0.5] * len(names) + [1e-12]), _newton([1.0, 1e-12])
+
+    def evaluate(table: pa.Table) -> pa.Table:
+        table = table.sort_by("event_time")
+        x = np.column_stack([table[f].cast(pa.float64()).to_numpy() for f in names])
+        y, n = table["label"].cast(pa.float64()).to_numpy(), table.num_rows
+        size = max(1, (n - least - gap) // folds)
+        plain = table.select(["instrument_id", "event_time", "label"])
+        columns = {"fold": pa.int32(), "p": pa.float64(), "p_base": pa.float64()}
+        out = [plain.slice(0, 0)]
+        for name, kind in columns.items():
+            out[0] = out[0].append_column(name, pa.array([], kind))
+        for fold in range(folds) if n > least + gap + folds else ():
+            end = least + fold * size
+            start, since = end + gap, end - max(20, end // 5)
+            stop, until = min(n, start + size), max(since - gap, 0)
+            if stop <= start or not all(len(set(part.tolist())) > 1 for part in (y[:until], y[since:end])):
+                continue
+            middle, spread = x[:until].mean(0), x[:until].std(0)
+            spread[(x[:until].max(0) == x[:until].min(0)) | (spread <= 0)] = 1.0
+            z = (x - middle) / spread
+            beta, score = fitted(z[:until], y[:until])[0], 0.0
+            for i in (-1, *range(len(names))):
+                score = score + beta[i] * (z[:, i] if i >= 0 else 1.0)
+            slope, shift = calibrated(score[since:end, None], y[since:end])[0]
+            with np.errstate(over="ignore"):
+                p = 1.0 / (1.0 + np.exp(-(score[start:stop] * slope + shift)))
+            base = np.where(x[start:stop, names.index("momentum_63")] > 0, 0.58, 0.42)
+            part = plain.slice(start, stop - start)
+            for (name, kind), values in zip(columns.items(), (np.full(stop - start, fold), p, base)):
+                part = part.append_column(name, pa.array(values, kind))
+            out.append(part)
+        return pa.concat_tables(out).select(["instrument_id", "fold", "event_time", "label", "p", "p_base"])
+
+    return evaluate
+
+
+def evaluate_instruments(
+    data: DataFrame, horizon: int, counted: DataFrame | None = None, folds: int = 3, embargo: int = 5,
+    small: int = SMALL,
+) -> DataFrame:
+    """``evaluate_per_instrument`` of ``walk_forward`` of the dataset, without its rows once for each fold.
+
+    An instrument of at most ``small`` rows goes to one task whole, which cuts the folds, fits and calibrates and
+    sends out what it predicts; longer ones go by tables. ``counted`` has at least the rows of each instrument,
+    where counting those of ``data`` would derive them twice.
+    """
+    c = F.col
+    data = data.filter(c("instrument_id").isNotNull())
+    sizes = (data if counted is None else counted).groupBy("instrument_id").agg(F.count("*").alias("_n"))
+    large = cut_lineage(sizes.filter(c("_n") > small).select("instrument_id"))
+    some_large = not large.isEmpty()
+    data = cut_lineage(data) if some_large else data
+    kinds = {f.name: f.dataType for f in data.schema}
+    whole = (data.join(large, "instrument_id", "left_anti") if some_large else data).groupBy("instrument_id").applyInArrow(
+        _evaluator(horizon, folds, embargo),
+        T.StructType([
+            T.StructField("instrument_id", kinds["instrument_id"]), T.StructField("fold", T.IntegerType()),
+            *[T.StructField(x, kinds[x]) for x in ("event_time", "label")],
+            *[T.StructField(x, T.DoubleType()) for x in ("p", "p_base")],
+        ]),
+    )
+    if not some_large:
+        return whole
+    rest = walk_forward(data.join(large, "instrument_id", "left_semi"), ["instrument_id"], horizon, folds, embargo)
+    return whole.unionByName(evaluate_per_instrument(cut_lineage(rest)))
+
+
 def evaluate_pooled(assigned: DataFrame, fold: int) -> DataFrame:
     """One model over all instruments for a fold: distributed fit, then distributed calibration.
 

@@ -41,18 +41,22 @@ ds AS (SELECT *, CASE WHEN excess > 0 THEN 1 ELSE 0 END AS label FROM d2
        WHERE rn >= 127 AND excess IS NOT NULL)"""
 
 
-def dataset(t):
-    """The benchmark and the bars joined to it rest on the same latest vintages, written once."""
+def known_bars(t):
+    """The latest vintages known in time, written once."""
     bars = views.facts(t).select(
         "instrument_id", *CLOCKS, "revision", "total_return_close", "volume", "bid_ask_spread_bps"
     )
-    known = cut_lineage(latest_version(causal_rows(bars), ["instrument_id", "event_time"]))
+    return cut_lineage(latest_version(causal_rows(bars), ["instrument_id", "event_time"]))
+
+
+def dataset(known):
+    """The benchmark and the bars joined to it rest on the same vintages."""
     return model.supervised_dataset(known, model.benchmark_of(known), HORIZON)
 
 
 def folds(t):
     """The dataset with folds and roles; it is read several times, so it is written first."""
-    return model.walk_forward(cut_lineage(dataset(t)), ["instrument_id"], HORIZON)
+    return model.walk_forward(cut_lineage(dataset(known_bars(t))), ["instrument_id"], HORIZON)
 
 
 @query(
@@ -66,7 +70,7 @@ def folds(t):
     "bars",
 )
 def _model_dataset(t):
-    return dataset(t).select(
+    return dataset(known_bars(t)).select(
         "instrument_id", F.date_format("event_time", "yyyy-MM-dd").alias("day"),
         *[r6(F.col(c)).alias(c) for c in model.FEATURES if c != "spread_bps"], "spread_bps", "label",
     )
@@ -95,8 +99,10 @@ def _walk_forward_folds(t):
 @query("model_evaluation", "J-12 J-13")
 def _model_evaluation(t):
     """Per-instrument walk-forward evaluation with calibrated probabilities."""
-    assigned = cut_lineage(folds(t))
-    predictions = cut_lineage(model.evaluate_per_instrument(assigned))
+    known = known_bars(t)
+    predictions = cut_lineage(model.evaluate_instruments(dataset(known), HORIZON, known).select(
+        "instrument_id", "label", "p", "p_base"
+    ))
     scores = model.brier(predictions, ["instrument_id"]).join(
         model.calibration_error(predictions, ["instrument_id"]), "instrument_id"
     )
