@@ -5,6 +5,7 @@ import tempfile
 import uuid
 from datetime import datetime, timezone
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -209,3 +210,25 @@ def test_upcoming_stream_writes_times_not_pairs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(alerting, "_run_stream", lambda *a: written.append(run(*a)) or written[-1])
     assert QUERIES["stream_upcoming"](spark, str(tmp_path)).count() == 120
     assert written[0].count() == 3
+
+
+def test_upcoming_pairs_come_from_lists_of_events(spark, tmp_path, monkeypatch):
+    """Lists of bounded length, of times ahead only; an event without a code is an event, and equal codes stay two."""
+    from tests.harness import compare, duck
+    from tidemark.plans import alerting
+    from tidemark.sources.tables import SCHEMAS
+
+    at, due = datetime(2024, 1, 20, 12), datetime(2001, 5, 27)  # checks are moved 8,275 days back
+    codes = [*range(40), None, None, 7]
+    rows = {name: [] for name in SCHEMAS}
+    rows["events"] = [(k, at, 3 * k, "view", 1.0, "{}") for k in range(3)]
+    rows["orders"] = [(k, 3, "O", 1.0, due, "5-LOW") for k in codes] + [(k, 3, "O", 1.0, due.replace(day=1), "5-LOW") for k in range(90)]
+    for name in SCHEMAS:
+        pq.write_table(spark.createDataFrame(rows[name], SCHEMAS[name]).toArrow(), f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(alerting, "EVENTS", 16)
+    query = QUERIES["stream_upcoming"]
+    out = query(spark, str(tmp_path))
+    lists = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(_codes" in lists
+    assert out.filter("event_code is null").count() == 6 and out.filter("event_code = 7").count() == 6
+    assert compare(spark, duck(str(tmp_path)), str(tmp_path), query)[1:] == (3 * len(codes), None)
