@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import model
 from tidemark.plans import QUERIES, models
+from tidemark.sources.tables import Tables
 
 
 def newton(x: np.ndarray, y: np.ndarray, strength: float, steps: int = 100):
@@ -124,3 +125,16 @@ def test_evaluation_writes_no_features(spark, folder, monkeypatch):
         monkeypatch.setattr(module, "cut_lineage", lambda df, kept=kept: written.append(df.columns) or kept(df))
     assert QUERIES["model_evaluation"](spark, folder).count() == 10
     assert not any({"momentum_21", "z0", "role", "score"} & set(columns) for columns in written)
+
+
+def test_dataset_made_at_the_evaluation_is_that_of_tables(spark, folder):
+    known = models.known_bars(Tables(spark, folder))
+    # Odd rows: unknown, zero and no numbers.
+    odd = F.pmod(F.xxhash64("event_time"), F.lit(97))
+    price = F.when(odd == 1, F.lit(None)).when(odd == 2, 0.0).otherwise(F.col("total_return_close"))
+    spread = F.when(odd == 3, float("nan")).when(odd == 4, F.lit(None)).otherwise(F.col("bid_ask_spread_bps"))
+    known = model.cut_lineage(known.withColumns({"total_return_close": price, "bid_ask_spread_bps": spread}))
+    benchmark, by = model.benchmark_of(known), ["instrument_id", "fold", "event_time"]
+    want, got = (model.evaluate_bars(known, benchmark, 5, small=n).toPandas().sort_values(by, ignore_index=True) for n in (0, model.SMALL))
+    assert len(want) > 300
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-7, atol=1e-7)

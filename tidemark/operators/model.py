@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.clocks import CLOCKS, causal_rows, known_at, minutes, require_clocks
 from tidemark.functions.scalars import logistic
-from tidemark.operators.ordered import array_frames, latest_version, month, ordinals
+from tidemark.operators.ordered import array_frames, array_steps, latest_version, month, ordinals
 from tidemark.session import cut_lineage
 
 YEAR = math.sqrt(252)
@@ -41,52 +41,55 @@ def benchmark_of(known: DataFrame) -> DataFrame:
     )
 
 
-def supervised_dataset(
-    bars: DataFrame, benchmark: DataFrame, horizon: int, cost_bps: float = 8.0,
-    delay_minutes: float = 30,
-) -> DataFrame:
-    """Eight features and the label "beats the benchmark after costs over the horizon".
-
-    ``bars`` holds one vintage per (instrument, time). Rows known too late, with incomplete features
-    or without a full horizon are left out.
-    """
+def _joined(bars: DataFrame, benchmark: DataFrame, delay_minutes: float) -> DataFrame:
+    """Prices, volumes and spreads beside the benchmark, of rows known in time."""
     c = F.col
     clocks = [f"benchmark_{x}" for x in CLOCKS if x != "event_time"]
-    joined = bars.join(benchmark, "event_time").filter(
+    return bars.join(benchmark, "event_time").filter(
         known_at([*CLOCKS, *clocks]) <= c("event_time") + minutes(delay_minutes)
-    )
-    slim = joined.select(
+    ).select(
         "instrument_id", "event_time", c("total_return_close").alias("p"), "volume",
         c("benchmark_total_return_close").alias("b"), c("bid_ask_spread_bps").alias("spread_bps"),
     )
-    placed = ordinals(slim, ["instrument_id"], ["event_time"], month("event_time"))
 
-    def rolled(f, x):
+
+def _features(horizon: int, cost_bps: float):
+    """Features and excess return of consecutive rows of one instrument, as arrays of values and of which are known."""
+    year = YEAR
+
+    def features(f, x):
+        def ratio(a, b):
+            known = a[1] & b[1] & (b[0] != 0)
+            return np.where(known, a[0] / np.where(known, b[0], 1.0), 0.0), known
+
+        def change(b):
+            return tuple(v - 1 if k == 0 else v for k, v in enumerate(ratio(x["p"], b)))
+
+        def full(n, a):
+            return a[0], a[1] & (x["ordinal"][0] >= n)
+
         ret = f.change(x["p"])
         # The least of an unknown change and 0 is 0.
         fall = (np.where(ret[1] & (ret[0] < 0), ret[0], 0.0), np.ones(len(ret[0]), bool))
+        gain, other = (ratio(f.lag(x[k], -horizon), x[k]) for k in ("p", "b"))
+        deviations = {name: f.sd(v, 21) for name, v in (("volatility_21", ret), ("downside_21", fall))}
         return {
-            **{f"_p{n}": f.lag(x["p"], n) for n in (21, 63, 126)},
-            "_p_ahead": f.lag(x["p"], -horizon), "_b_ahead": f.lag(x["b"], -horizon),
-            "_sd": f.sd(ret, 21), "_fall": f.sd(fall, 21), "_mean": f.mean(x["p"], 50),
-            "_median": f.median(x["volume"], 21),
+            **{f"momentum_{n}": change(f.lag(x["p"], n)) for n in (21, 63, 126)},
+            **{name: full(22, (v * year, known)) for name, (v, known) in deviations.items()},
+            "trend_50": full(50, change(f.mean(x["p"], 50))),
+            "volume_ratio": full(21, ratio(x["volume"], f.median(x["volume"], 21))),
+            "excess": (gain[0] - other[0] - cost_bps / 10000, gain[1] & other[1]),
         }
 
-    wide = array_frames(
-        placed, ["instrument_id"], ["p", "b", "volume"], rolled,
-        ["_p21", "_p63", "_p126", "_p_ahead", "_b_ahead", "_sd", "_fall", "_mean", "_median"],
-        back=126, ahead=horizon,
-    )
-    full = lambda n, x: F.when(c("ordinal") >= n, x)
-    out = wide.withColumns(
-        {
-            **{f"momentum_{n}": F.try_divide("p", f"_p{n}") - 1 for n in (21, 63, 126)},
-            "volatility_21": full(22, c("_sd") * YEAR),
-            "downside_21": full(22, c("_fall") * YEAR),
-            "trend_50": full(50, F.try_divide("p", "_mean") - 1),
-            "volume_ratio": full(21, F.try_divide("volume", "_median")),
-            "excess": F.try_divide("_p_ahead", "p") - F.try_divide("_b_ahead", "b") - cost_bps / 10000,
-        }
+    return features
+
+
+def _dataset(slim: DataFrame, horizon: int, cost_bps: float) -> DataFrame:
+    c = F.col
+    placed = ordinals(slim, ["instrument_id"], ["event_time"], month("event_time"))
+    out = array_frames(
+        placed, ["instrument_id"], ["p", "b", "volume", "ordinal"], _features(horizon, cost_bps),
+        [*(x for x in FEATURES if x != "spread_bps"), "excess"], back=126, ahead=horizon,
     )
     complete = out.filter(
         known_features() & c("excess").isNotNull()
@@ -94,6 +97,18 @@ def supervised_dataset(
     return complete.select("instrument_id", "event_time", *FEATURES, "label")
 
 
+def supervised_dataset(
+    bars: DataFrame, benchmark: DataFrame, horizon: int, cost_bps: float = 8.0,
+    delay_minutes: float = 30,
+) -> DataFrame:
+    """Eight features and the label "beats the benchmark after costs over the horizon".
+
+    ``bars`` holds one vintage per (instrument, time). Rows known too late, with incomplete features
+    or without a full horizon are left out.
+    """
+    return _dataset(_joined(bars, benchmark, delay_minutes), horizon, cost_bps)
+
+
 FEATURES = (
     "momentum_21", "momentum_63", "momentum_126", "volatility_21", "downside_21", "trend_50",
     "volume_ratio", "spread_bps",
@@ -378,15 +393,40 @@ def _evaluator(horizon: int, folds: int, embargo: int):
     return evaluate
 
 
+def _derived(horizon: int, cost_bps: float):
+    """``_dataset`` over the rows of one instrument, as arrays."""
+    features, steps, names = _features(horizon, cost_bps), array_steps(), list(FEATURES)
+
+    def derive(table: pa.Table) -> pa.Table:
+        table, cells = table.sort_by("event_time"), {}
+        for name in ("p", "b", "volume", "spread_bps"):
+            column = table[name].cast(pa.float64())
+            cells[name] = (column.fill_null(0.0).to_numpy(), column.is_valid().to_numpy())
+        cells["ordinal"] = (np.arange(1.0, table.num_rows + 1), np.ones(table.num_rows, bool))
+        with np.errstate(all="ignore"):
+            out = features(steps, cells) | {"spread_bps": cells["spread_bps"]}
+        excess, kept = out.pop("excess")
+        for values, known in out.values():
+            kept = kept & known & ~np.isnan(values)
+        data = table.select(["instrument_id", "event_time"]).filter(pa.array(kept))
+        for name in names:
+            data = data.append_column(name, pa.array(out[name][0][kept], pa.float64()))
+        # Spark has NaN above every number.
+        return data.append_column("label", pa.array((~(excess[kept] <= 0)).astype(np.int32)))
+
+    return derive
+
+
 def evaluate_instruments(
     data: DataFrame, horizon: int, counted: DataFrame | None = None, folds: int = 3, embargo: int = 5,
-    small: int = SMALL,
+    small: int = SMALL, derive=None, tables=None,
 ) -> DataFrame:
     """``evaluate_per_instrument`` of ``walk_forward`` of the dataset, without its rows once for each fold.
 
     An instrument of at most ``small`` rows goes to one task whole, which cuts the folds, fits and calibrates and
     sends out what it predicts; longer ones go by tables. ``counted`` has at least the rows of each instrument,
-    where counting those of ``data`` would derive them twice.
+    where counting those of ``data`` would derive them twice. ``derive`` makes the dataset of an instrument's rows,
+    ``tables`` that of a table, if ``data`` holds what it is made of.
     """
     c = F.col
     data = data.filter(c("instrument_id").isNotNull())
@@ -394,21 +434,37 @@ def evaluate_instruments(
     large = cut_lineage(sizes.filter(c("_n") > small).select("instrument_id"))
     some_large = not large.isEmpty()
     data = cut_lineage(data) if some_large else data
-    kinds = {f.name: f.dataType for f in data.schema}
+    kinds, evaluate = {f.name: f.dataType for f in data.schema}, _evaluator(horizon, folds, embargo)
+
+    def run(table: pa.Table) -> pa.Table:
+        return evaluate(table if derive is None else derive(table))
+
     whole = (data.join(large, "instrument_id", "left_anti") if some_large else data).groupBy("instrument_id").applyInArrow(
-        _evaluator(horizon, folds, embargo),
+        run,
         T.StructType([
             T.StructField("instrument_id", kinds["instrument_id"]), T.StructField("fold", T.IntegerType()),
-            *[T.StructField(x, kinds[x]) for x in ("event_time", "label")],
+            T.StructField("event_time", kinds["event_time"]), T.StructField("label", kinds.get("label", T.IntegerType())),
             *[T.StructField(x, T.DoubleType()) for x in ("p", "p_base")],
         ]),
     )
     if not some_large:
         return whole
-    rest = walk_forward(data.join(large, "instrument_id", "left_semi"), ["instrument_id"], horizon, folds, embargo)
+    rest = data.join(large, "instrument_id", "left_semi")
+    rest = walk_forward(rest if tables is None else cut_lineage(tables(rest)), ["instrument_id"], horizon, folds, embargo)
     return whole.unionByName(evaluate_per_instrument(cut_lineage(rest)))
 
 
+def evaluate_bars(
+    bars: DataFrame, benchmark: DataFrame, horizon: int, cost_bps: float = 8.0, delay_minutes: float = 30,
+    small: int = SMALL,
+) -> DataFrame:
+    """``evaluate_instruments`` of ``supervised_dataset``: an instrument's dataset is made where it is evaluated."""
+    return evaluate_instruments(
+        _joined(bars, benchmark, delay_minutes), horizon, bars, small=small, derive=_derived(horizon, cost_bps),
+        tables=lambda rows: _dataset(rows, horizon, cost_bps),
+    )
+
+
 def evaluate_pooled(assigned: DataFrame, fold: int) -> DataFrame:
     """One model over all instruments for a fold: distributed fit, then distributed calibration.
 

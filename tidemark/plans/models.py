@@ -100,7 +100,7 @@ def _walk_forward_folds(t):
 def _model_evaluation(t):
     """Per-instrument walk-forward evaluation with calibrated probabilities."""
     known = known_bars(t)
-    predictions = cut_lineage(model.evaluate_instruments(dataset(known), HORIZON, known).select(
+    predictions = cut_lineage(model.evaluate_bars(known, model.benchmark_of(known), HORIZON).select(
         "instrument_id", "label", "p", "p_base"
     ))
     scores = model.brier(predictions, ["instrument_id"]).join(
